@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("near_dedup",)
+MODULES = ("quality_rules", "license_scan", "mixing", "near_dedup")
 
 
 def _merged(name: str) -> dict:
