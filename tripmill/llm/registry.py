@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "license_scan", "mixing", "secret_scan", "near_dedup")
+MODULES = ("quality_rules", "license_scan", "quality_classifier", "ann", "packing", "mixing", "secret_scan", "near_dedup")
 
 
 def _merged(name: str) -> dict:
