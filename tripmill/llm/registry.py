@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "license_scan", "quality_classifier", "ann", "packing", "mixing", "secret_scan", "near_dedup")
+MODULES = ("quality_rules", "license_scan", "quality_classifier", "ann", "packing", "mixing", "substring_dedup", "secret_scan", "near_dedup", "lm_scoring")
 
 
 def _merged(name: str) -> dict:
@@ -15,7 +15,9 @@ def _merged(name: str) -> dict:
 
 
 def queries() -> dict:
-    return _merged("QUERIES")
+    from corpus_pipeline import run
+
+    return _merged("QUERIES") | {"pipeline": run}
 
 
 def oracle_sql() -> dict:
