@@ -102,7 +102,7 @@ def weather_join(df: DataFrame, weather: DataFrame, within_us: int = 1_800_000_0
 def zone_join(df: DataFrame, zones: DataFrame, size: float = 0.05, default: str = "inconnu") -> DataFrame:
     """(zone_id, zone_type, ring) -> osm_zone of each sample: ray casting within the zones whose bounding box meets the
     sample's cell; of several the last by zone_id."""
-    z = zones.withColumns({f"_{f}_{c}": fn(F.transform("ring", lambda p, c=c: p[c])) for c in ("lat", "lon") for f, fn in (("lo", F.array_min), ("hi", F.array_max))})
+    z = zones.withColumns({f"_{f}_{c}": fn(F.expr(f"transform(ring, p -> p.{c})")) for c in ("lat", "lon") for f, fn in (("lo", F.array_min), ("hi", F.array_max))})
     for c in ("lat", "lon"):
         z = z.withColumn(f"cell_{c}", F.explode(F.sequence(geo.cell(F.col(f"_lo_{c}"), size), geo.cell(F.col(f"_hi_{c}"), size))))
     here = df.select("trip_id", "seq", "lat", "lon").withColumns({"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)})

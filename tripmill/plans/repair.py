@@ -190,14 +190,13 @@ UNION ALL SELECT trip_id, seq, 'moved' FROM (SELECT *, {lag('lat')} AS a, {lag('
 
 
 def densified(spark: SparkSession, d: str) -> DataFrame:
-    df = S.densify_step(view(spark, d).where("seq % 40 = 0"))
-    return df.withColumns({c: F.round(c, 9) for c in ("lat", "lon")})
+    return S.densify_step(view(spark, d).where("seq % 40 = 0"))
 
 
 DENSIFIED = f"""WITH p AS (SELECT trip_id, seq, lat, lon, {lead('lat')} AS lat2, {lead('lon')} AS lon2 FROM trace WHERE seq % 40 = 0),
 n AS (SELECT *, CASE WHEN lat2 IS NULL THEN 1 ELSE greatest(1, CAST(round_even({metres('lat', 'lon', 'lat2', 'lon2')} / 0.83e0, 0) AS INT)) END AS n FROM p),
 s AS (SELECT *, CAST(unnest(range(0, n)) AS INT) AS part FROM n)
-SELECT trip_id, seq, part, round(coalesce(lat + part / CAST(n AS DOUBLE) * (lat2 - lat), lat), 9) AS lat, round(coalesce(lon + part / CAST(n AS DOUBLE) * (lon2 - lon), lon), 9) AS lon FROM s"""
+SELECT trip_id, seq, part, coalesce(lat + part / CAST(n AS DOUBLE) * (lat2 - lat), lat) AS lat, coalesce(lon + part / CAST(n AS DOUBLE) * (lon2 - lon), lon) AS lon FROM s"""
 
 
 def leg_points(spark: SparkSession, d: str) -> DataFrame:
