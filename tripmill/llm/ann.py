@@ -165,7 +165,7 @@ def nearest_neighbours(
                 break
             needed += [held] * len(want.pop(cell, ()))
             held += int(sizes[cell])
-    budget = int(np.quantile(needed, recall)) + 1 if needed else n
+    budget = int(np.quantile(needed, recall, method="higher")) + 1 if needed else n
 
     q_blocks = -(-n_queries // query_block)
     blocks = np.maximum(1, -(-sizes.sum(axis=1) // block))

@@ -90,10 +90,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``documents``: a document appears once for each time it is taken, whole copies only but for at most
     one a source, in service when the budget ends, which is kept whole if at least half of it fits."""
-    own = [c for c in docs.columns if c not in ("doc_id", "source")]
-    mixed = mix_sources(docs, keep=tuple(own))
+    mixed = mix_sources(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row")), keep=("row",))
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(1)
-    return mixed.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    return mixed.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 SQL = r"""

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_column, small_slices, table
 from .quality_rules import repeated_words
@@ -163,8 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options
     return fit(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in got], float), **options)
 
 
-def score_quality(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``keep``, held_out, score."""
+def score_quality(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """doc_id, the columns of ``keep``, and the score under ``name``."""
     names = [c for c in docs.columns if c in keep and c not in ("doc_id", "text")]
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *names)
     with_text = "text" in keep
@@ -175,23 +176,20 @@ def score_quality(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ()) -
             for batch in small_slices(whole, "text"):
                 columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text" or with_text]
                 values = forest.score(features(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(values)], names=[*(f.name for f in fields), "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(values)], names=[*(f.name for f in fields), name])
 
-    from pyspark.sql import types as T
-
-    out = kept.mapInArrow(score, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
-    return out.withColumn("held_out", fold(F.col("doc_id")) == HELD_OUT)
+    return kept.mapInArrow(score, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
-    return score_quality(docs, train(docs, labels), keep=tuple(docs.columns)).where(F.col("score") >= threshold).select(docs.columns)
+    return score_quality(docs, train(docs, labels), keep=tuple(docs.columns), name="__score").where(F.col("__score") >= threshold).select(docs.columns)
 
 
 QUERIES = {"op3_quality_classifier": op3_quality_classifier}

@@ -100,7 +100,7 @@ def scan_secrets(docs: DataFrame, *, rate: float = 0.05, keep: tuple[str, ...] =
     kind (0 to 3) and end of every span in the order of start, then kind. Texts are scanned once; no shuffle but of counts."""
     assign = f"filter({matches('text', quoted(ASSIGN), group=2)}, m -> length(m.y) >= 8)"
     tag = lambda column, rank: f"transform({column}, m -> struct(m.s AS s, {rank} AS k, m.e AS e))"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c != "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     rows = rows.withColumn("a", F.expr(gated(f"text RLIKE {quoted('(?i)passw|secret|token|api_?key')}", assign)))
     rows = rows.withColumn("c", F.expr(gated("contains(text, 'AKIA')", matches("text", quoted(ACCESS)))))
     rows = rows.withColumn("h", F.expr(gated("text RLIKE '[0-9a-f]{32}'", matches("text", quoted(HEX)))))
@@ -130,12 +130,14 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """Documents with every found span replaced by ``mark`` and n_chars counted anew; documents without one are unchanged.
 
     Spans are applied in the order of start; one that starts within the span before is joined to it."""
-    scanned = scan_secrets(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    scanned = scan_secrets(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), keep=("row",))
     cut = f"""aggregate(found, struct(0 AS p, CAST('' AS STRING) AS t), (q, b) -> IF(b.s < q.p,
-        struct(greatest(q.p, b.e) AS p, q.t AS t), struct(b.e AS p, concat(q.t, substring(text, q.p + 1, b.s - q.p), '{mark}') AS t)), q -> concat(q.t, substring(text, q.p + 1)))"""
-    text = F.when(F.size("found") > 0, F.expr(cut)).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.size("found") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return scanned.withColumns(changed).select(docs.columns)
+        struct(greatest(q.p, b.e) AS p, q.t AS t), struct(b.e AS p, concat(q.t, substring(row.text, q.p + 1, b.s - q.p), '{mark}') AS t)), q -> concat(q.t, substring(row.text, q.p + 1)))"""
+    hit = F.size("found") > 0
+    new = {"text": F.when(hit, F.expr(cut)).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.length(new["text"])).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return scanned.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def _sql(rate: float = 0.05) -> str:
