@@ -18,8 +18,10 @@ def so_far() -> WindowSpec:
     return ordered().rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def from_here() -> WindowSpec:
-    return ordered().rowsBetween(W.currentRow, W.unboundedFollowing)
+def from_end() -> WindowSpec:
+    """From the last row of a trip back to the current one. A frame that ends at unbounded following says the same, but Spark
+    computes it anew for every row, so its work grows with the square of a trip's length."""
+    return trip().orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
 def centred(n: int) -> WindowSpec:
@@ -40,7 +42,7 @@ def ffill(c: str | Column) -> Column:
 
 
 def bfill(c: str | Column) -> Column:
-    return F.first(c, ignorenulls=True).over(from_here())
+    return F.last(c, ignorenulls=True).over(from_end())
 
 
 def gradient(c: str, at: str | None = None, spacing: float = 1.0) -> Column:

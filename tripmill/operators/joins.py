@@ -51,7 +51,8 @@ def asof_event(grid: DataFrame, events: DataFrame, tolerance_us: int = 500_000)
     both = grid.withColumn("_g", F.lit(1)).unionByName(src.withColumn("_g", F.lit(0)), allowMissingColumns=True)
     order = W.partitionBy("trip_id").orderBy("ts_us", "_g")
     both = both.withColumn("_b", F.last("_e", True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    both = both.withColumn("_a", F.first("_e", True).over(order.rowsBetween(0, W.unboundedFollowing)))
+    back = W.partitionBy("trip_id").orderBy(F.desc("ts_us"), F.desc("_g"))
+    both = both.withColumn("_a", F.last("_e", True).over(back.rowsBetween(W.unboundedPreceding, 0)))
     gap = lambda c: F.abs(F.col("ts_us") - F.col(f"{c}.t"))
     near = F.when(F.col("_a").isNull() | (gap("_b") <= gap("_a")), F.col("_b")).otherwise(F.col("_a"))
     both = both.where("_g = 1").withColumn("_n", near)

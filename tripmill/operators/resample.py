@@ -23,9 +23,9 @@ def resample_linear(df: DataFrame, columns: tuple[str, ...] = ("lat", "lon", "sp
     both = known.withColumn("_t", F.col("ts_us")).unionByName(time_grid(df, hz).withColumn("_g", F.lit(True)), allowMissingColumns=True)
     both = both.groupBy("trip_id", "ts_us").agg(*(F.first(c, True).alias(c) for c in columns), F.first("_t", True).alias("_t"), F.max("_g").alias("_g"))
     order = trip().orderBy("ts_us")
-    back, ahead = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
-    at = {"_ta": F.last("_t", True).over(back), "_tb": F.first("_t", True).over(ahead)}
-    ends = {f"_{s}_{c}": fn(c, True).over(w) for s, fn, w in (("a", F.last, back), ("b", F.first, ahead)) for c in columns}
+    back, ahead = order.rowsBetween(W.unboundedPreceding, 0), trip().orderBy(F.desc("ts_us")).rowsBetween(W.unboundedPreceding, 0)
+    at = {"_ta": F.last("_t", True).over(back), "_tb": F.last("_t", True).over(ahead)}
+    ends = {f"_{s}_{c}": fn(c, True).over(w) for s, fn, w in (("a", F.last, back), ("b", F.last, ahead)) for c in columns}
     share = F.when(F.col("_tb") > F.col("_ta"), (F.col("ts_us") - F.col("_ta")) / (F.col("_tb") - F.col("_ta"))).otherwise(0.0)
     drawn = {c: F.col(f"_a_{c}") + share * (F.col(f"_b_{c}") - F.col(f"_a_{c}")) for c in columns}
     both = both.withColumns({**at, **ends}).where("_g").withColumns(drawn)
