@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     by_ratio = W.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
     total = F.sum("source_size").over(W.partitionBy())
     before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    weights = F.sum("weight").over(by_ratio.rowsBetween(W.currentRow, W.unboundedFollowing))
+    weights = F.sum("weight").over(W.partitionBy()) - F.coalesce(F.sum("weight").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     levels = caps.withColumn("level", (total - before) / weights)
     open_ = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
     level = F.first(open_, ignorenulls=True).over(by_ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
