@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     return filled.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, most: int = 3, buckets: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, *, most: int = 3, buckets: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, source, the columns of ``keep``, size, source_size, target, taken (words taken, repeats
     counted) and ``finish``, the virtual finish time of its first copy."""
     spark = docs.sparkSession
