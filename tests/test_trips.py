@@ -211,3 +211,41 @@ def test_revisits_and_nearest_match_brute_force(spark):
     for i in range(120):
         best = min(pts, key=lambda p: (round(math.hypot(p[1] - lat[i], p[2] - lon[i]), 12), p[0]))
         assert got[i] == best[0]
+
+
+def test_small_operators(spark):
+    df = trace(spark, {"speed": [1.0, 2.0, 3.0], "acc_x": [9.80665, 0.0, -9.80665], "event": ["Stop", None, "WAIT_1"], "road_type": ["Primary", None, "service"], "altitude": [10.0, None, 9999.0]}).withColumn("delivery", F.col("seq") != 1)
+    assert column(clean.number_deliveries(df), "event") == ["stop_001", None, "stop_002"]
+    assert column(clean.to_g(df, "acc_x"), "acc_x_g") == [1.0, 0.0, -1.0]
+    assert column(clean.normalize_road_type(df), "road_type") == ["primary", "unknown", "service"]
+    assert column(report.stop_wait_phases(df), "is_wait") == [0, 0, 1]
+    assert column(clean.target_speed_diff(df.withColumn("target_speed", F.lit(2.0))), "speed_diff") == [-1.0, 0.0, 1.0]
+    assert quality.elevation_quality(df).first()["elevation_ok"] is False
+    assert clean.keep_road_types(df, ("service",)).count() == 1 and clean.exclude_events(df, ("Stop",)).count() == 2
+    holds = spark.createDataFrame([(1, 1, "b", 5), (1, 0, "a", 7)], "plan_id int, leg_idx int, stop_id string, hold_s int")
+    got = report.hold_summary(holds).first()
+    assert (got.n_holds, got.total_s, [i.stop_id for i in got["items"]]) == (2, 12, ["a", "b"])
+    assert detect.follow_up_event(trace(spark, {"event": ["stop_001", *[None] * 9, "x", None]})).where("event = 'x|ouverture'").count() == 1
+
+
+def test_stitch_holds_and_moves(spark):
+    points = spark.createDataFrame([(1, leg, i, 49.0 + 0.001 * (leg * 10 + i), 1.0, float(i)) for leg in (0, 1) for i in range(11)], "plan_id int, leg_idx int, pt_idx int, lat double, lon double, t_rel_s double")
+    legs = spark.createDataFrame([(1, 0, 10.0, 5), (1, 1, 10.0, 0)], "plan_id int, leg_idx int, duration_s double, service_s int")
+    rows = resample.stitch(points, legs, hz=1.0, start_us=0).orderBy("seq").collect()
+    assert [r.ts_us for r in rows] == [i * 1_000_000 for i in range(26)]
+    want = [49 + 0.001 * min(i, 10) for i in range(15)] + [49.01 + 0.001 * i for i in range(11)]
+    assert np.allclose([r.lat for r in rows], want) and rows[12].speed == 0 and rows[5].speed > 50
+    dense = resample.densify_1m(trace(spark, {"lat": [49.0, 49.0001], "lon": [1.0, 1.0]})).orderBy("part").collect()
+    assert len(dense) == 12 and dense[0].lat == 49.0 and abs(dense[-1].lat - 49.0001) < 1e-12
+
+
+def test_asof_ties_and_reach(spark):
+    grid = spark.createDataFrame([(1, 0, 1000, None), (1, 1, 2000, "own"), (1, 2, 900_000, "own")], "trip_id int, seq int, ts_us long, event string")
+    events = spark.createDataFrame([(1, 0, 500, "a"), (1, 1, 1500, "b"), (1, 2, 1500, "c"), (1, 3, 2500, "d")], "trip_id int, seq int, ts_us long, event string")
+    assert column(joins.asof_event(grid, events, 600), "event") == ["a", "c", "own"]
+
+
+def test_anchor_rules(spark):
+    rows = [(1, "brake", i, int(t * 1e6), 49.0 + m / 111_195, 1.0) for i, (t, m) in enumerate([(0, 0), (0.5, 50), (1.0, 5), (2.0, 60), (2.1, 300), (5.0, 305)])]
+    got = recurrences.anchor_events(spark.createDataFrame(rows, "trip_id int, event_type string, seq int, ts_us long, lat double, lon double"))
+    assert sorted(r.seq for r in got.collect()) == [0, 3, 5]

@@ -207,3 +207,32 @@ def lock_mid_stops(df: DataFrame, head: int = 10, tail: int = 10, blend: int = 5
     return df.join(last, ["trip_id", "seq"], "left").withColumn("speed", F.greatest(F.col("speed") * F.coalesce("_f", F.lit(1.0)), F.lit(0.0))).drop("_f")
 
 
+
+
+def number_deliveries(df: DataFrame, prefix: str = "stop_", flag: str = "delivery") -> DataFrame:
+    """Rows with the flag get the labels stop_001, stop_002, ... in order."""
+    on = F.coalesce(F.col(flag), F.lit(False))
+    nth = F.sum(F.when(on, 1).otherwise(0)).over(so_far())
+    return df.withColumn("event", F.when(on, F.format_string("%s%03d", F.lit(prefix), nth)).otherwise(F.col("event")))
+
+
+def to_g(df: DataFrame, *axes: str, milli: bool = False) -> DataFrame:
+    """<axis>_g in units of 9.80665 m/s2, or <axis>_mg in thousandths of 9.81 m/s2."""
+    return df.withColumns({f"{a}_mg" if milli else f"{a}_g": F.col(a) / 9.81 * 1000 if milli else F.col(a) / 9.80665 for a in axes})
+
+
+def target_speed_diff(df: DataFrame) -> DataFrame:
+    return df.withColumn("speed_diff", F.col("speed") - F.col("target_speed"))
+
+
+def normalize_road_type(df: DataFrame) -> DataFrame:
+    return df.withColumn("road_type", F.coalesce(F.lower("road_type"), F.lit("unknown")))
+
+
+def keep_road_types(df: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    return df.where(F.col("road_type").isin(list(types)))
+
+
+def exclude_events(df: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """Rows whose label is none of the given; rows without a label stay."""
+    return df.where(~F.coalesce(F.col("event").isin(list(labels)), F.lit(False)))

@@ -187,3 +187,8 @@ def detect_all(df: DataFrame) -> DataFrame:
     halts = standstills(df).groupBy("trip_id").agg(F.bool_or(F.col("n_rows") >= 1200).alias("stop"), F.bool_or(F.col("n_rows").between(300, 1199)).alias("wait"))
     ends = detect_ends(df).select("trip_id", F.col("initial_seq").isNotNull().alias("initial_acceleration"), F.col("final_seq").isNotNull().alias("final_deceleration"))
     return ends.join(halts, "trip_id", "left").join(hits, "trip_id", "left").na.fill(False)
+
+
+def lateral_segments(df: DataFrame, least: float = 0.005) -> DataFrame:
+    """Samples whose curvature is beyond the threshold, with their side: trip_id, seq, curvature, side."""
+    return df.where(F.abs("curvature") > least).select("trip_id", "seq", "curvature", F.when(F.col("curvature") > 0, "right").otherwise("left").alias("side"))

@@ -174,3 +174,31 @@ def compare_elevation(a: DataFrame, b: DataFrame) -> DataFrame:
     right = b.select("trip_id", "seq", F.col("altitude_m").alias("_alt"), F.col("slope_percent").alias("_slope"))
     d = F.col("altitude_m") - F.col("_alt")
     return a.join(right, ["trip_id", "seq"]).groupBy("trip_id").agg(F.count("*").alias("n"), F.avg(d).alias("mean_diff_m"), F.max(F.abs(d)).alias("most_diff_m"), F.avg(F.abs(F.col("slope_percent") - F.col("_slope"))).alias("mean_slope_diff"))
+
+
+def road_within_buffer(df: DataFrame, segments: DataFrame, buffer_m: float = 10.0, default: str = "inconnu", size: float = 0.002) -> DataFrame:
+    """(segment_id, lat1, lon1, lat2, lon2, highway) -> road_tag: that of the nearest segment within the buffer (metres over 111 320 as
+    degrees), ties to the smaller segment_id. Segments stand in every cell that their bounding box and the buffer touch."""
+    reach = buffer_m / 111_320
+    s = segments
+    for c in ("lat", "lon"):
+        lo, hi = F.least(f"{c}1", f"{c}2") - reach, F.greatest(f"{c}1", f"{c}2") + reach
+        s = s.withColumn(f"cell_{c}", F.explode(F.sequence(geo.cell(lo, size), geo.cell(hi, size))))
+    here = df.select("trip_id", "seq", "lat", "lon").withColumns({"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)})
+    dy, dx = F.col("lat2") - F.col("lat1"), F.col("lon2") - F.col("lon1")
+    along = ((F.col("lat") - F.col("lat1")) * dy + (F.col("lon") - F.col("lon1")) * dx) / (dy * dy + dx * dx)
+    t = F.when((dy == 0) & (dx == 0), 0.0).otherwise(F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)))
+    d = F.round(F.sqrt(F.pow(F.col("lat") - F.col("lat1") - t * dy, 2) + F.pow(F.col("lon") - F.col("lon1") - t * dx, 2)), 12)
+    near = here.join(s, ["cell_lat", "cell_lon"]).withColumn("_d", d).where(F.col("_d") <= reach)
+    best = near.groupBy("trip_id", "seq").agg(F.min(F.struct("_d", "segment_id", "highway")).getField("highway").alias("road_tag"))
+    return df.join(best, ["trip_id", "seq"], "left").na.fill(default, ["road_tag"])
+
+
+def proximity_labels(df: DataFrame, events: DataFrame, within_m: float = 3.0) -> DataFrame:
+    """(event_order, label, lat, lon) -> event of each sample: the first by order of those within the distance; else its own."""
+    size = within_m / 50_000
+    there = neighbours(events.select("event_order", F.col("label").alias("_label"), F.col("lat").alias("_elat"), F.col("lon").alias("_elon")), size, "_elat", "_elon")
+    here = df.select("trip_id", "seq", "lat", "lon").withColumns({"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)})
+    near = here.join(there, ["cell_lat", "cell_lon"]).where(geo.haversine(F.col("lat"), F.col("lon"), F.col("_elat"), F.col("_elon")) < within_m)
+    best = near.groupBy("trip_id", "seq").agg(F.min_by("_label", "event_order").alias("_near"))
+    return df.join(best, ["trip_id", "seq"], "left").withColumn("event", F.coalesce("_near", "event")).drop("_near")

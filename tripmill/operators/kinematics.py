@@ -111,21 +111,23 @@ def grade(df: DataFrame, out: str = "grade") -> DataFrame:
     return df.withColumn(out, F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)).drop("_ds", "_dz")
 
 
-def expected_imu(df: DataFrame, *, smooth_s: float = 0.5, hz: float = 10.0, gravity: bool = True, most_acc: float = 6.0, least_speed: float = 0.5, least_radius: float = 5.0, most_pitch: float = 1.0) -> DataFrame:
-    """The signals that speed, position and slope imply, to hold against the measured ones: exp_acc_x/y/z, exp_gyro_y/z."""
+def expected_imu(df: DataFrame, *, smooth_s: float = 0.5, hz: float = 10.0, gravity: bool = True, most_acc: float = 6.0, least_speed: float = 0.5, least_radius: float = 5.0, most_pitch: float = 1.0, flat: bool = False) -> DataFrame:
+    """The signals that speed, position and slope imply, to hold against the measured ones: exp_acc_x/y/z, exp_gyro_y/z.
+
+    ``flat``: acc_z is 0 and what counts as moving is the smoothed speed."""
     n = max(1, round(smooth_s * hz))
     df = grade(dt_s(df, "_dt"))
     df = df.withColumn("_t", F.sum(F.when(F.col("seq") == 0, 0.0).otherwise(F.col("_dt"))).over(so_far()))
     df = df.withColumn("_b", F.coalesce(F.radians(geo.bearing(lag("lat"), lag("lon"), F.col("lat"), F.col("lon"))), F.lit(0.0)))
     df = unwrap(df, "_b", "_psi0").withColumn("_psi", F.avg("_psi0").over(centred(n))).withColumn("_th", F.avg(F.atan("grade")).over(centred(n))).withColumn("_v", F.avg("speed").over(centred(n)))
-    moving = F.col("speed") > least_speed
+    moving = F.col("_v" if flat else "speed") > least_speed
     limit = F.greatest(F.col("_v"), F.lit(0.0)) / max(1.0, least_radius)
     df = df.withColumn("_yaw", F.when(moving, gradient("_psi", "_t")).otherwise(0.0))
     df = df.withColumn("exp_gyro_z", F.when(F.col("_yaw") > limit, limit).when(F.col("_yaw") < -limit, -limit).otherwise(F.col("_yaw")))
     df = df.withColumn("exp_gyro_y", clip(gradient("_th", "_t"), -most_pitch, most_pitch))
     df = df.withColumn("exp_acc_x", clip(gradient("_v", "_t"), -most_acc, most_acc) + (G * F.sin("_th") if gravity else F.lit(0.0)))
     df = df.withColumn("exp_acc_y", F.when(moving, F.col("_v") * F.col("exp_gyro_z")).otherwise(0.0))
-    return df.withColumn("exp_acc_z", G * F.cos("_th") if gravity else F.lit(0.0)).drop("_dt", "_t", "_b", "_psi0", "_psi", "_th", "_v", "_yaw")
+    return df.withColumn("exp_acc_z", G * F.cos("_th") if gravity and not flat else F.lit(0.0)).drop("_dt", "_t", "_b", "_psi0", "_psi", "_th", "_v", "_yaw")
 
 
 def rolling_mean(df: DataFrame, c: str, n: int, out: str | None = None) -> DataFrame:

@@ -151,3 +151,14 @@ def imu_coherence(df: DataFrame) -> DataFrame:
     return out.select("trip_id", "rmse", "p95", "bad_ratio", *(F.col("_q")[i].alias(f"radius_{p}") for i, p in enumerate(("p10", "p50", "p90"))))
 
 
+
+
+def detect_speed_unit(df: DataFrame) -> DataFrame:
+    """trip_id, speed_unit: 'mps' if speed as it stands is nearer to the positions, by median error, than speed over 3.6."""
+    return coherence(df).select("trip_id", "speed_unit")
+
+
+def elevation_quality(df: DataFrame, low: float = -450.0, high: float = 9000.0, most: float = 0.01) -> DataFrame:
+    """Per trip: the share of altitudes that are missing or out of range, and whether it is small enough."""
+    bad = F.avg((~F.coalesce(F.col("altitude").between(low, high), F.lit(False))).cast("int"))
+    return df.groupBy("trip_id").agg(bad.alias("reject_rate")).withColumn("elevation_ok", F.col("reject_rate") <= most)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,3 +126,30 @@ def curvature_smooth(df: DataFrame) -> DataFrame:
 
 def max_speed_summary(df: DataFrame) -> DataFrame:
     return step_m(df).agg(F.max("speed").alias("max_speed"), F.sum("step_m").alias("distance_m"), F.count_distinct("trip_id").alias("n_trips"))
+
+
+def speed_distribution(df: DataFrame, by: str = "road_type", parts: int = 10) -> DataFrame:
+    """Speed quantiles of each group, one row a quantile: the data of a violin plot."""
+    q = F.percentile("speed", F.array(*(F.lit(i / parts) for i in range(parts + 1))))
+    return df.groupBy(by).agg(q.alias("_q")).select(by, F.posexplode("_q").alias("k", "speed")).select(by, (F.col("k") / parts).alias("quantile"), "speed")
+
+
+def speed_stats(df: DataFrame) -> DataFrame:
+    return df.groupBy("trip_id").agg(F.min("speed").alias("min"), F.max("speed").alias("max"), F.avg("speed").alias("mean"))
+
+
+def category_bands(df: DataFrame, prefix: str = "event_") -> DataFrame:
+    """Runs of each 0/1 category column: trip_id, category, start_seq, end_seq. One window a category, over the same sort."""
+    bands = [spans(df, F.col(c) == 1).withColumn("category", F.lit(c[len(prefix) :])) for c in df.columns if c.startswith(prefix) and c not in ("event_id", "event_type")]
+    return reduce(DataFrame.unionByName, bands).select("trip_id", "category", "start_seq", "end_seq")
+
+
+def stop_wait_phases(df: DataFrame) -> DataFrame:
+    """is_stop and is_wait by the words in the label."""
+    has = lambda w: F.coalesce(F.lower("event").contains(w), F.lit(False)).cast("int")
+    return df.withColumns({"is_stop": has("stop"), "is_wait": has("wait")})
+
+
+def hold_summary(holds: DataFrame) -> DataFrame:
+    """(plan_id, leg_idx, stop_id, hold_s) -> plan_id, n_holds, total_s, items in order of legs."""
+    return holds.groupBy("plan_id").agg(F.count("*").alias("n_holds"), F.sum("hold_s").alias("total_s"), F.array_sort(F.collect_list(F.struct("leg_idx", "stop_id", "hold_s"))).alias("items"))

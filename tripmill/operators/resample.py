@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripmill.functions import geo
+from tripmill.functions.labels import is_blank
 from tripmill.functions.windows import lag, so_far, trip
-from tripmill.operators.kinematics import step_m
+from tripmill.operators.joins import asof_event
+from tripmill.operators.kinematics import gps_speed, rolling_mean, rolling_median, step_m
+from tripmill.operators.recurrences import slew_limit_dt
 
 
 def time_grid(df: DataFrame, hz: float = 10.0) -> DataFrame:
@@ -92,3 +95,48 @@ def consecutive_distinct(df: DataFrame) -> DataFrame:
     """Rows whose position differs from the one before."""
     same = (lag("lat") == F.col("lat")) & (lag("lon") == F.col("lon"))
     return df.withColumn("_same", F.coalesce(same, F.lit(False))).where("NOT _same").drop("_same")
+
+
+def densify_1m(points: DataFrame) -> DataFrame:
+    """Every segment with one point a whole metre, both ends included: trip_id, seq, part, lat, lon."""
+    order = W.partitionBy("trip_id").orderBy("seq")
+    nxt = lambda c: F.lead(c).over(order)
+    seg = points.select("trip_id", "seq", "lat", "lon", nxt("lat").alias("lat2"), nxt("lon").alias("lon2")).where("lat2 IS NOT NULL")
+    seg = seg.withColumn("n", F.greatest(F.lit(1), F.floor(geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).cast("int"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    share = F.col("part") / F.col("n")
+    return seg.select("trip_id", "seq", "part", (F.col("lat") + share * (F.col("lat2") - F.col("lat"))).alias("lat"), (F.col("lon") + share * (F.col("lon2") - F.col("lon"))).alias("lon"))
+
+
+def resample_full(df: DataFrame, hz: float = 10.0, tolerance_us: int = 500_000) -> DataFrame:
+    """Numbers linear by time on the grid, other columns from the last sample (else the next), labels from the nearest in reach."""
+    numbers = tuple(c for c, t in df.dtypes if t in ("double", "float"))
+    texts = [c for c, t in df.dtypes if t == "string" and c != "event"]
+    grid = resample_linear(df, numbers, hz)
+    if texts:
+        known = df.groupBy("trip_id", "ts_us").agg(*(F.min_by(c, "seq").alias(c) for c in texts))
+        both = grid.withColumn("_g", F.lit(1)).unionByName(known.withColumn("_g", F.lit(0)), allowMissingColumns=True)
+        order, back = trip().orderBy("ts_us", "_g"), trip().orderBy(F.desc("ts_us"), F.desc("_g"))
+        upto, after = order.rowsBetween(W.unboundedPreceding, 0), back.rowsBetween(W.unboundedPreceding, 0)
+        grid = both.withColumns({c: F.coalesce(F.last(c, True).over(upto), F.last(c, True).over(after)) for c in texts}).where("_g = 1").drop("_g")
+    return asof_event(grid, df.where(~is_blank(F.col("event"))), tolerance_us) if "event" in df.columns else grid
+
+
+def sync_grid(df: DataFrame, hz: float = 10.0, rate: float = 3.0, window: int = 5) -> DataFrame:
+    """The full resampling, then speed from the positions, slew-limited and smoothed."""
+    grid = gps_speed(resample_full(df, hz)).withColumn("speed", F.col("gps_speed_mps")).drop("gps_speed_mps", "gps_speed_kmh")
+    return rolling_mean(slew_limit_dt(grid, rate), "speed", window, "speed")
+
+
+def stitch(points: DataFrame, legs: DataFrame, hz: float = 10.0, start_us: int = 1_735_689_600_000_000) -> DataFrame:
+    """Leg points (plan_id, leg_idx, pt_idx, lat, lon, t_rel_s) and legs (plan_id, leg_idx, duration_s, service_s) -> one trace a plan
+    (trip_id, seq, ts_us, lat, lon, speed): legs end to end, each followed by a hold of its service time at its last point."""
+    before = W.partitionBy("plan_id").orderBy("leg_idx").rowsBetween(W.unboundedPreceding, -1)
+    at = legs.withColumn("t0", F.coalesce(F.sum(F.col("duration_s") + F.col("service_s")).over(before), F.lit(0.0)))
+    moving = points.join(at, ["plan_id", "leg_idx"])
+    last = moving.withColumn("_last", F.row_number().over(W.partitionBy("plan_id", "leg_idx").orderBy(F.desc("pt_idx")))).where("_last = 1")
+    hold = last.withColumn("t_rel_s", F.col("t_rel_s") + F.col("service_s")).where("service_s > 0")
+    us = (start_us + F.round((F.col("t0") + F.col("t_rel_s")) * 1e6)).cast("long")
+    rows = moving.drop("_last").unionByName(hold.drop("_last")).select(F.col("plan_id").alias("trip_id"), us.alias("ts_us"), "lat", "lon")
+    rows = rows.withColumn("seq", (F.row_number().over(trip().orderBy("ts_us", "lat", "lon")) - 1).cast("int"))
+    grid = gps_speed(resample_linear(rows, ("lat", "lon"), hz))
+    return rolling_median(grid, "gps_speed_mps", 3, "speed").drop("gps_speed_mps", "gps_speed_kmh")

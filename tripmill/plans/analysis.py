@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmill.functions.labels import PLATEAUS
+from tripmill.operators import clean as C
 from tripmill.operators import detect as D
 from tripmill.operators import joins as J
+from tripmill.operators import kinematics as K
 from tripmill.operators import quality as Q
 from tripmill.operators import recurrences as R
 from tripmill.operators import report as A
 from tripmill.plans.fixtures import view, with_views
 from tripmill.plans.motion import DT, TURN, rounded
-from tripmill.plans.sqltext import STEP, UPTO, frame, gradient_at, islands, lag, r6, road_type
+from tripmill.plans.sqltext import HEADING, STEP, UPTO, frame, gradient, gradient_at, islands, lag, r6, road_type
 
 BLANK = "(event IS NULL OR trim(event) = '')"
 
@@ -283,12 +285,46 @@ TRACKS = f"""WITH n AS (SELECT *, count(*) OVER (PARTITION BY trip_id) AS n FROM
 e AS (SELECT trip_id, count(DISTINCT run_id) AS n FROM {islands("event IN ('stop', 'wait')")} z WHERE run_id IS NOT NULL GROUP BY trip_id)
 SELECT k.trip_id, CAST(n_pts AS INT) AS n_pts, CAST(coalesce(e.n, 0) AS INT) AS n_events, {r6('last_lat')} AS last_lat FROM k LEFT JOIN e ON k.trip_id = e.trip_id"""
 
+def bands(spark: SparkSession, d: str) -> DataFrame:
+    df = J.event_categories(view(spark, d), {"stop": "still", "wait": "still", "freinage": "act", "acceleration": "act"})
+    return A.category_bands(df)
+
+
+BANDS = " UNION ALL ".join(f"SELECT trip_id, '{c}' AS category, min(seq) AS start_seq, max(seq) AS end_seq FROM {islands(f'event IN {labels}')} z WHERE run_id IS NOT NULL GROUP BY trip_id, run_id" for c, labels in (("still", ("stop", "wait")), ("act", ("freinage", "acceleration"))))
+
+
+def distribution(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.speed_distribution(C.normalize_road_type(J.highway_to_road_type(view(spark, d)))))
+
+
+DISTRIBUTION = f"SELECT road_type, {r6('k / 10e0')} AS quantile, {r6('q[k + 1]')} AS speed FROM (SELECT *, unnest(range(0, 11)) AS k FROM (SELECT {road_type()} AS road_type, quantile_cont(speed, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM trace GROUP BY 1) y) z"
+
+
+def stats(spark: SparkSession, d: str) -> DataFrame:
+    df = view(spark, d)
+    phases = A.stop_wait_phases(df).groupBy("trip_id").agg(F.sum("is_stop").alias("n_stop"), F.sum("is_wait").alias("n_wait"))
+    left = C.exclude_events(df, ("stop", "wait")).groupBy("trip_id").agg(F.count("*").alias("n_left"))
+    return rounded(A.speed_stats(df).join(phases, "trip_id").join(left, "trip_id"))
+
+
+STATS = f"SELECT trip_id, {r6('min(speed)')} AS min, {r6('max(speed)')} AS max, {r6('avg(speed)')} AS mean, count(*) FILTER (event LIKE '%stop%') AS n_stop, count(*) FILTER (event LIKE '%wait%') AS n_wait, count(*) FILTER (event IS NULL OR event NOT IN ('stop', 'wait')) AS n_left FROM trace GROUP BY trip_id"
+
+
+def lateral(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(D.lateral_segments(K.curvature_gradient(K.heading(view(spark, d)))))
+
+
+LATERAL = f"""WITH g AS (SELECT *, {gradient('radians(h)')} AS g FROM (SELECT *, {HEADING} AS h FROM trace) z), c AS (SELECT *, {gradient('g')} AS c FROM g)
+SELECT trip_id, seq, {r6('c')} AS curvature, CASE WHEN c > 0 THEN 'right' ELSE 'left' END AS side FROM c WHERE abs(c) > 0.005"""
+
 QUERIES = {
+    "a_bands": bands, "a_distribution": distribution, "a_stats": stats, "d_lateral": lateral,
     "a1_trip_summary": a1_trip_summary, "d_window_events": window_events, "d_halts": halts, "d_ends": ends, "d_anomalies": anomalies, "d_tagged": tagged, "d_onsets": onsets, "d_plateaus": plateaus, "d_deliveries": deliveries, "d_detected": detected, "d_anchored": anchored,
     "q_report": qa_report, "q_coherence": coherence, "q_realism": realism, "q_basics": basics, "q_validated": validated, "q_imu_coherence": imu_coherence,
     "a_metrics": metrics, "a_event_counts": event_counts, "a_heatmap": heatmap, "a_described": described, "a_imu_stats": imu_stats, "a_portions": portions, "a_windows": windows, "a_markers": markers, "a_spikes": spikes, "a_tracks": tracks,
 }
 ORACLES = {k: with_views(v, "trace") for k, v in {
+    "a_bands": BANDS, "a_distribution": DISTRIBUTION, "a_stats": STATS, "d_lateral": LATERAL,
     "a1_trip_summary": SUMMARY, "d_window_events": _window_events_sql(), "d_halts": HALTS, "d_ends": ENDS, "d_anomalies": ANOMALIES, "d_tagged": TAGGED, "d_onsets": ONSETS, "d_plateaus": PLATEAU_SQL, "d_deliveries": DELIVERIES,
     "q_report": QA, "q_coherence": COHERENCE, "q_realism": REALISM, "q_basics": BASICS, "q_validated": VALIDATED, "q_imu_coherence": IMU,
     "a_metrics": METRICS, "a_event_counts": f"SELECT event, count(*) AS n FROM trace WHERE NOT {BLANK} GROUP BY event", "a_heatmap": HEATMAP, "a_described": DESCRIBED, "a_imu_stats": IMU_STATS, "a_portions": PORTIONS, "a_windows": WINDOWS, "a_markers": MARKERS, "a_spikes": SPIKES, "a_tracks": TRACKS,

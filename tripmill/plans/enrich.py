@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripmill.operators import joins as J
@@ -143,11 +144,32 @@ def legs(spark: SparkSession, d: str) -> DataFrame:
 LEGS = f"""WITH l AS (SELECT plan_id, {metres('lat', 'lon', 'lead(lat) OVER w', 'lead(lon) OVER w')} AS m FROM delivery_plan WINDOW w AS (PARTITION BY plan_id ORDER BY stop_seq))
 SELECT plan_id, count(*) AS n_legs, {r6('sum(m)')} AS distance_m, {r6('sum(greatest(m / 13.9e0, 1e0))')} AS duration_s FROM l WHERE m IS NOT NULL GROUP BY plan_id"""
 
+def buffered(spark: SparkSession, d: str) -> DataFrame:
+    df = view(spark, d).where("seq % 10 = 0")
+    ends = view(spark, d).where("seq % 400 IN (0, 200)")
+    nxt = lambda c: F.lead(c).over(W.partitionBy("trip_id").orderBy("seq"))
+    segments = ends.select((F.col("trip_id") * 100000 + F.col("seq")).alias("segment_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), nxt("lat").alias("lat2"), nxt("lon").alias("lon2"), F.coalesce("osm_highway", F.lit("none")).alias("highway")).where("lat2 IS NOT NULL")
+    a = J.road_within_buffer(df, segments, 200.0).select("trip_id", "seq", "road_tag")
+    marks = df.where("seq % 250 = 0").select((F.col("trip_id") * 100000 + F.col("seq")).alias("event_order"), F.lit("near").alias("label"), F.col("lat") + 0.00001, "lon").toDF("event_order", "label", "lat", "lon")
+    return a.join(J.proximity_labels(df, marks).select("trip_id", "seq", "event"), ["trip_id", "seq"])
+
+
+BUFFERED = f"""WITH p AS MATERIALIZED (SELECT * FROM trace WHERE seq % 10 = 0),
+s AS MATERIALIZED (SELECT * FROM (SELECT trip_id * 100000 + seq AS segment_id, lat AS a, lon AS b, lead(lat) OVER w AS c, lead(lon) OVER w AS d, coalesce(osm_highway, 'none') AS highway FROM trace WHERE seq % 400 IN (0, 200) WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) z WHERE c IS NOT NULL),
+t AS (SELECT p.trip_id, p.seq, segment_id, highway, lat, lon, a, b, c, d, CASE WHEN c = a AND d = b THEN 0e0 ELSE least(greatest(((lat - a) * (c - a) + (lon - b) * (d - b)) / ((c - a) * (c - a) + (d - b) * (d - b)), 0e0), 1e0) END AS t
+      FROM p JOIN s ON lat BETWEEN least(a, c) - 0.01 AND greatest(a, c) + 0.01 AND lon BETWEEN least(b, d) - 0.01 AND greatest(b, d) + 0.01),
+m AS (SELECT trip_id, seq, highway, row_number() OVER (PARTITION BY trip_id, seq ORDER BY e, segment_id) AS r FROM (SELECT *, round(sqrt((lat - a - t * (c - a)) ** 2 + (lon - b - t * (d - b)) ** 2), 12) AS e FROM t) z WHERE e <= 200 / 111320e0),
+k AS (SELECT p.trip_id, p.seq, bool_or(q.seq IS NOT NULL AND {metres('p.lat', 'p.lon', 'q.lat + 0.00001', 'q.lon')} < 3) AS near FROM p LEFT JOIN p q ON q.seq % 250 = 0 AND abs(p.lat - q.lat) < 0.001 AND abs(p.lon - q.lon) < 0.001 GROUP BY p.trip_id, p.seq)
+SELECT p.trip_id, p.seq, coalesce(m.highway, 'inconnu') AS road_tag, CASE WHEN near THEN 'near' ELSE event END AS event FROM p LEFT JOIN m ON m.trip_id = p.trip_id AND m.seq = p.seq AND r = 1 JOIN k ON k.trip_id = p.trip_id AND k.seq = p.seq"""
+
+
 QUERIES = {
+    "j_buffered": buffered,
     "j_road_types": road_types, "j_asof": asof, "j_weather": weather, "j_nearest_road": nearest_road, "j_zones": zones, "j_elevation": elevation, "j_anchors": anchors, "j_flagged": flagged, "j_revisited": revisited,
     "l_scheduled": scheduled, "l_intervals": intervals, "l_legs": legs,
 }
 ORACLES = {
+    "j_buffered": with_views(BUFFERED, "trace"),
     "j_road_types": with_views(ROAD_TYPES, "trace"), "j_asof": with_views(ASOF, "trace"), "j_weather": with_views(WEATHER, "weather"), "j_nearest_road": with_views(NEAREST, "road_nodes"), "j_zones": with_views(ZONES, "zones"), "j_elevation": with_views(ELEVATION, "dem"),
     "j_anchors": with_views(ANCHORS, "trace"), "j_flagged": with_views(FLAGGED, "trace"), "j_revisited": with_views(REVISITED, "trace"),
     "l_scheduled": with_views(SCHEDULED, "delivery_plan"), "l_intervals": with_views(INTERVALS, "delivery_plan"), "l_legs": with_views(LEGS, "delivery_plan"),

@@ -219,7 +219,20 @@ def composed(spark: SparkSession, d: str) -> DataFrame:
     return rounded(df.groupBy("trip_id").agg(F.count("*").alias("n"), F.sum("distance_m").alias("distance_m"), F.max("speed").alias("max_speed"), F.avg("lat").alias("lat")))
 
 
+def synced(spark: SparkSession, d: str) -> DataFrame:
+    """The grid composition over whole trips; its parts have SQL of their own."""
+    return rounded(S.sync_grid(view(spark, d).where("seq % 4 <> 3")).groupBy("trip_id").agg(F.count("*").alias("n"), F.max("speed").alias("max_speed"), F.count("event").alias("n_events")))
+
+
+def stitched(spark: SparkSession, d: str) -> DataFrame:
+    """Delivery plans as traces; checked against a loop in the tests."""
+    plan = view(spark, d, "delivery_plan").where("stop_seq < 4")
+    legs = L.straight_line_legs(L.build_legs(plan))
+    return rounded(S.stitch(L.leg_points(legs), legs.select("plan_id", "leg_idx", "duration_s", "service_s"), hz=1.0).groupBy("trip_id").agg(F.count("*").alias("n"), F.max("speed").alias("max_speed"), F.avg("lat").alias("lat")))
+
+
 QUERIES = {
+    "r_synced": synced, "r_stitched": stitched,
     "p_projected": projected, "p_label_policy": label_policy, "c_geo_spikes": geo_spikes, "c_immobility": immobility, "c_jump_chain": jump_chain, "c_target_ramp": target_ramp, "c_dedupe": dedupe, "c_locks": locks, "c_blocks": blocks,
     "c_mid_stops": mid_stops, "c_slew": slew, "c_composed": composed, "r_resampled": resampled, "r_retimed": retimed, "r_thinned": thinned, "r_densified": densified, "r_leg_points": leg_points,
 }
