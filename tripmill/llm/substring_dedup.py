@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, cover: str = "minim
     wanted = several.groupBy("okey").agg(F.collect_list(F.struct("name", "spot")).alias("stretches"))
     texts = usable.dropDuplicates(["okey"]) if repeated else usable
     stretches = texts.join(wanted, "okey").select("okey", "text", "stretches").mapInArrow(fetch(length), "name long, okey long, start long, n int, bytes binary")
-    stretches = scratch.keep(stretches, "stretches")
+    fetched = stretches = scratch.keep(stretches, "stretches")
     common = several.groupBy("name").count().where(F.col("count") > hot).select("name", F.lit(True).alias("common"))
     stretches = stretches.join(common, "name", "left") if common.limit(1).count() else stretches.withColumn("common", F.lit(None).cast("boolean"))
     few = stretches.where("common IS NULL").select("name", "okey", "start", "n", "bytes").repartition("name").sortWithinPartitions("name", "okey", "start")
@@ -278,6 +278,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, cover: str = "minim
     found = found.union(many.select("okey", start.alias("s"), (start + length).alias("e")))
     spans = found.groupBy("okey").agg(F.collect_list(F.struct("s", "e")).alias("found"))
     spans = scratch.keep(spans, "spans")
+    scratch.drop(sample, compared, fetched)
     return rows.join(spans, "okey", "left").select("doc_id", "text", "found").mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
