@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripmill.functions.labels import POINT_EVENTS, ROAD_ORDER
-from tripmill.functions.windows import lag, spans, trip
+from tripmill.functions.windows import lag, ordered, trip
 from tripmill.operators.clean import round_keys
 from tripmill.operators.kinematics import step_m
 
@@ -49,24 +49,35 @@ def qa_report(df: DataFrame, hz: float = 10.0) -> DataFrame:
     return checklist(df, hz).withColumn("failed", F.concat_ws(", ", failed)).withColumn("ok", F.col("failed") == "").withColumn("summary", F.when(F.col("ok"), "OK").otherwise(F.concat(F.lit("KO: "), "failed")))
 
 
-def coherence(df: DataFrame, hz: float = 10.0, most_gap: float = 0.03, most_dv: float = 2.0, most_bad: float = 0.01) -> DataFrame:
-    """Whether time, distance and speed agree. The unit of speed is the one with the smaller median error against positions."""
+def _coherence_rows(df: DataFrame) -> DataFrame:
+    """Adds step_m, the time step, the speed from positions, the median errors of both units and the speed in the better one."""
     df = step_m(df).withColumn("_raw", (F.col("ts_us") - lag("ts_us")) / 1e6)
-    usual = _median(F.col("_raw"), F.col("_raw") > 0)
-    df = df.withColumn("_med", usual.over(trip())).withColumn("_dt", F.when(F.col("_raw") > 0, F.col("_raw")).otherwise(F.col("_med")))
+    df = df.withColumn("_med", _median(F.col("_raw"), F.col("_raw") > 0).over(trip())).withColumn("_dt", F.when(F.col("_raw") > 0, F.col("_raw")).otherwise(F.col("_med")))
     df = df.withColumn("_geo", F.col("step_m") / F.col("_dt"))
     err = lambda v: F.abs(v - F.col("_geo"))
     df = df.withColumn("_kmh", F.median(err(F.col("speed") / 3.6)).over(trip())).withColumn("_mps", F.median(err(F.col("speed"))).over(trip()))
-    df = df.withColumn("_v", F.when(F.col("_mps") < F.col("_kmh"), F.col("speed")).otherwise(F.col("speed") / 3.6))
-    out = df.groupBy("trip_id").agg(
-        (1 / F.first("_med")).alias("hz_obs"), F.sum("step_m").alias("dist_geo_m"), F.sum(F.col("_v") * F.col("_dt")).alias("dist_speed_m"), F.median(err(F.col("_v"))).alias("dv_median"),
-        F.avg((err(F.col("_v")) > most_dv).cast("int")).alias("frac_bad"), F.when(F.first("_mps") < F.first("_kmh"), "mps").otherwise("kmh").alias("speed_unit"),
-    )
+    return df.withColumn("_v", F.when(F.col("_mps") < F.col("_kmh"), F.col("speed")).otherwise(F.col("speed") / 3.6))
+
+
+def _coherence_aggregates(most_dv: float) -> list[Column]:
+    off = F.abs(F.col("_v") - F.col("_geo"))
+    return [
+        (1 / F.first("_med")).alias("hz_obs"), F.sum("step_m").alias("dist_geo_m"), F.sum(F.col("_v") * F.col("_dt")).alias("dist_speed_m"), F.median(off).alias("dv_median"),
+        F.avg((off > most_dv).cast("int")).alias("frac_bad"), F.when(F.first("_mps") < F.first("_kmh"), "mps").otherwise("kmh").alias("speed_unit"),
+    ]
+
+
+def _coherence_verdict(out: DataFrame, hz: float, most_gap: float, most_dv: float, most_bad: float) -> DataFrame:
     out = out.withColumn("dist_rel_err", F.abs(F.col("dist_speed_m") - F.col("dist_geo_m")) / F.greatest("dist_geo_m", F.lit(1e-6)))
     out = out.withColumns({"hz_ok": F.abs(F.col("hz_obs") - hz) <= 0.1, "dist_ok": F.col("dist_rel_err") <= most_gap, "speed_ok": (F.col("dv_median") <= most_dv) & (F.col("frac_bad") <= most_bad)})
     return out.withColumn("coherent", F.col("hz_ok") & F.col("dist_ok") & F.col("speed_ok"))
 
 
+def coherence(df: DataFrame, hz: float = 10.0, most_gap: float = 0.03, most_dv: float = 2.0, most_bad: float = 0.01) -> DataFrame:
+    """Whether time, distance and speed agree. The unit of speed is the one with the smaller median error against positions."""
+    return _coherence_verdict(_coherence_rows(df).groupBy("trip_id").agg(*_coherence_aggregates(most_dv)), hz, most_gap, most_dv, most_bad)
+
+
 def falling(values: DataFrame, value: str, types: tuple[str, ...] = ROAD_ORDER, tolerance: float = 15.0) -> DataFrame:
     """(trip_id, road_type, value) -> trip_id, ordered: the value does not rise along the road types by more than the tolerance,
     but for a rise from under 25 to over 45."""
@@ -81,33 +92,47 @@ def speed_vs_roadtype(df: DataFrame) -> DataFrame:
     return falling(df.groupBy("trip_id", "road_type").agg(F.avg(F.col("speed") * 3.6).alias("v")), "v")
 
 
+def _stop_rows(df: DataFrame) -> DataFrame:
+    """Adds, on the first row of each stop block, the rows since the last stop row before it (0 for the first block)."""
+    stop = F.coalesce(F.col("event") == "stop", F.lit(False))
+    df = df.withColumn("_stop", stop)
+    last = F.last(F.when(F.col("_stop"), F.col("seq")), ignorenulls=True).over(ordered().rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.col("_stop") & ~F.coalesce(lag("_stop"), F.lit(False))
+    return df.withColumn("_gap", F.when(fresh, F.coalesce(F.col("seq") - last, F.lit(0))))
+
+
+def _stop_aggregates() -> list[Column]:
+    return [F.count("_gap").alias("n_stops"), F.min(F.when(F.col("_gap") > 0, F.col("_gap"))).alias("_least_gap"), F.count("event").alias("_labels")]
+
+
+def _stop_verdict(least: int) -> Column:
+    return F.when(F.col("n_stops") == 0, F.col("_labels") <= 10).otherwise(F.coalesce(F.col("_least_gap") > least, F.lit(True)) | (F.col("n_stops") <= 6))
+
+
 def stop_spacing(df: DataFrame, least: int = 800) -> DataFrame:
     """Per trip: stop blocks, and whether all gaps between them are over ``least`` rows; up to 6 blocks, or none among up to 10
     labels, are tolerated."""
-    blocks = spans(df, F.col("event") == "stop")
-    gap = F.col("start_seq") - F.lag("end_seq").over(W.partitionBy("trip_id").orderBy("start_seq"))
-    blocks = blocks.withColumn("_gap", gap).groupBy("trip_id").agg(F.count("*").alias("n_stops"), F.min("_gap").alias("_gap"))
-    labels = df.groupBy("trip_id").agg(F.count("event").alias("_labels"))
-    out = labels.join(blocks, "trip_id", "left").withColumn("n_stops", F.coalesce("n_stops", F.lit(0)))
-    ok = F.when(F.col("n_stops") == 0, F.col("_labels") <= 10).otherwise(F.coalesce(F.col("_gap") > least, F.lit(True)) | (F.col("n_stops") <= 6))
-    return out.select("trip_id", "n_stops", ok.alias("stop_spacing_ok"))
+    return _stop_rows(df).groupBy("trip_id").agg(*_stop_aggregates()).select("trip_id", "n_stops", _stop_verdict(least).alias("stop_spacing_ok"))
 
 
 def realism_report(df: DataFrame) -> DataFrame:
-    """One row a trip: frequency, ends, smoothness, jumps, variability, labels, spacing and coherence, plus counts of point events."""
+    """One row a trip: frequency, ends, smoothness, jumps, variability, labels, spacing and coherence, plus counts of point events.
+    All of it is one pass: one shuffle, one sort and one aggregate."""
     kmh = F.col("speed") * 3.6
-    rows = step_m(df).withColumn("_dt", (F.col("ts_us") - lag("ts_us")) / 1e6).withColumn("_dv", F.abs(kmh - lag(kmh)))
+    rows = _stop_rows(_coherence_rows(df)).withColumn("_dv", F.abs(kmh - lag(kmh)))
     moving = (F.col("speed") > 0.5) & ~F.coalesce(F.col("event").isin(list(POINT_EVENTS)), F.lit(False))
     std = lambda c: F.stddev_samp(F.when(moving, F.col(c)))
     has = lambda e: F.coalesce(F.bool_or(F.col("event") == e), F.lit(False))
-    out = rows.groupBy("trip_id").agg(
-        (F.abs(F.median("_dt") - 0.1) < 0.01).alias("frequency_ok"), (F.min_by(kmh, "seq") <= 1).alias("starts_at_zero"), (F.max_by(kmh, "seq") <= 1).alias("ends_at_zero"),
+    checks = [
+        (F.abs(F.median("_raw") - 0.1) < 0.01).alias("frequency_ok"), (F.min_by(kmh, "seq") <= 1).alias("starts_at_zero"), (F.max_by(kmh, "seq") <= 1).alias("ends_at_zero"),
         (F.coalesce(F.max("_dv"), F.lit(0.0)) <= 20).alias("smooth"), (F.max("step_m") <= 50).alias("no_jumps"), (F.stddev_samp(kmh) > 0.5).alias("speed_varies"),
         *(F.coalesce(std(f"{s}_{a}").between(0.01, 60.0), F.lit(False)).alias(f"{s}_{a}_varies") for s in ("acc", "gyro") for a in "xyz"),
         has("stop").alias("has_stop"), has("wait").alias("has_wait"), *(F.count_if(F.col("event") == e).alias(f"n_{e}") for e in POINT_EVENTS),
         (F.max("speed") * 3.6).alias("max_kmh"), (F.count_if(F.col("speed") != 0) == 0).alias("all_zero"), F.count_if(F.col("speed").isNull()).alias("null_speeds"),
-    )
-    return out.join(stop_spacing(df), "trip_id").join(coherence(df).select("trip_id", "coherent"), "trip_id")
+    ]
+    helpers = ["hz_obs", "dist_geo_m", "dist_speed_m", "dv_median", "frac_bad", "speed_unit", "dist_rel_err", "hz_ok", "dist_ok", "speed_ok", "_least_gap", "_labels"]
+    out = rows.groupBy("trip_id").agg(*checks, *_stop_aggregates(), *_coherence_aggregates(2.0))
+    return _coherence_verdict(out, 10.0, 0.03, 2.0, 0.01).withColumn("stop_spacing_ok", _stop_verdict(800)).drop(*helpers)
 
 
 def basic_checks(df: DataFrame) -> DataFrame:
