@@ -249,3 +249,9 @@ def test_anchor_rules(spark):
     rows = [(1, "brake", i, int(t * 1e6), 49.0 + m / 111_195, 1.0) for i, (t, m) in enumerate([(0, 0), (0.5, 50), (1.0, 5), (2.0, 60), (2.1, 300), (5.0, 305)])]
     got = recurrences.anchor_events(spark.createDataFrame(rows, "trip_id int, event_type string, seq int, ts_us long, lat double, lon double"))
     assert sorted(r.seq for r in got.collect()) == [0, 3, 5]
+
+
+def test_export_schema(spark):
+    df = spark.createDataFrame([("x", "1.5", "2020-01-01 00:00:00", "bad")], "extra string, lat string, timestamp string, speed string")
+    out = schema.enforce_export_schema(df)
+    assert out.columns == ["timestamp", "lat", "speed", "extra"] and out.first()["speed"] is None and out.first()["lat"] == 1.5

@@ -187,3 +187,9 @@ def elevation_quality(df: DataFrame, low: float = -450.0, high: float = 9000.0,
     """Per trip: the share of altitudes that are missing or out of range, and whether it is small enough."""
     bad = F.avg((~F.coalesce(F.col("altitude").between(low, high), F.lit(False))).cast("int"))
     return df.groupBy("trip_id").agg(bad.alias("reject_rate")).withColumn("elevation_ok", F.col("reject_rate") <= most)
+
+
+def plateaus_vs_roadtype(plateaus: DataFrame) -> DataFrame:
+    """Plateaus (trip_id, road_type, mean_kmh) -> trip_id, ordered: their medians fall along five road types, by the rule of ``falling``."""
+    medians = plateaus.groupBy("trip_id", "road_type").agg(F.median("mean_kmh").alias("v"))
+    return falling(medians, "v", ROAD_ORDER[:5])

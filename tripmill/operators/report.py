@@ -153,3 +153,11 @@ def stop_wait_phases(df: DataFrame) -> DataFrame:
 def hold_summary(holds: DataFrame) -> DataFrame:
     """(plan_id, leg_idx, stop_id, hold_s) -> plan_id, n_holds, total_s, items in order of legs."""
     return holds.groupBy("plan_id").agg(F.count("*").alias("n_holds"), F.sum("hold_s").alias("total_s"), F.array_sort(F.collect_list(F.struct("leg_idx", "stop_id", "hold_s"))).alias("items"))
+
+
+def chart_series(df: DataFrame, hz: float = 1.0, most: int = 2000, columns: tuple[str, ...] = ("speed", "acc_x", "acc_y", "acc_z")) -> DataFrame:
+    """Per trip: seconds since the start and each signal as arrays in order, speed in km/h and accelerations in g. At most ``most`` points."""
+    rows = downsample(df.withColumn("t", (F.col("ts_us") - F.min("ts_us").over(trip())) / 1e6), hz, most=most)
+    unit = {c: F.col(c) * 3.6 if c == "speed" else F.col(c) / G if c.startswith("acc") else F.col(c) for c in columns}
+    one = rows.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("seq", "t", *(u.alias(c) for c, u in unit.items())))).alias("p"))
+    return one.select("trip_id", *(F.col("p")[c].alias(c) for c in ("t", *columns)))

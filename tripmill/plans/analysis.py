@@ -317,13 +317,32 @@ def lateral(spark: SparkSession, d: str) -> DataFrame:
 LATERAL = f"""WITH g AS (SELECT *, {gradient('radians(h)')} AS g FROM (SELECT *, {HEADING} AS h FROM trace) z), c AS (SELECT *, {gradient('g')} AS c FROM g)
 SELECT trip_id, seq, {r6('c')} AS curvature, CASE WHEN c > 0 THEN 'right' ELSE 'left' END AS side FROM c WHERE abs(c) > 0.005"""
 
+def charts(spark: SparkSession, d: str) -> DataFrame:
+    c = A.chart_series(view(spark, d), most=300)
+    return rounded(c.select("trip_id", F.size("t").alias("n"), F.element_at("t", -1).alias("last_t"), F.array_max("speed").alias("max_kmh"), F.aggregate("acc_x", F.lit(0.0), lambda a, x: a + x).alias("sum_acc_x")))
+
+
+CHARTS = f"""WITH n AS (SELECT *, count(*) OVER (PARTITION BY trip_id) AS n FROM trace)
+SELECT trip_id, CAST(count(*) AS INT) AS n, {r6('max(seq) / 10e0')} AS last_t, {r6('max(speed) * 3.6e0')} AS max_kmh, {r6('sum(acc_x / 9.80665e0)')} AS sum_acc_x FROM n WHERE seq % greatest(10, CAST(ceil(n / 300e0) AS INT)) = 0 GROUP BY trip_id"""
+
+
+def plateau_order(spark: SparkSession, d: str) -> DataFrame:
+    return Q.plateaus_vs_roadtype(D.speed_plateaus(J.highway_to_road_type(view(spark, d))))
+
+
+PLATEAU_ORDER = f"""WITH p AS ({PLATEAU_SQL}), m AS (SELECT trip_id, road_type, median(mean_kmh) AS v, list_position(['motorway', 'primary', 'secondary', 'tertiary', 'residential'], road_type) AS k FROM p GROUP BY ALL),
+l AS (SELECT trip_id, v, lag(v) OVER (PARTITION BY trip_id ORDER BY k) AS p FROM m WHERE k > 0)
+SELECT trip_id, NOT coalesce(bool_or(p + 15 < v AND NOT (p < 25 AND v > 45)), false) AS ordered FROM l GROUP BY trip_id"""
+
 QUERIES = {
+    "a_charts": charts, "q_plateau_order": plateau_order,
     "a_bands": bands, "a_distribution": distribution, "a_stats": stats, "d_lateral": lateral,
     "a1_trip_summary": a1_trip_summary, "d_window_events": window_events, "d_halts": halts, "d_ends": ends, "d_anomalies": anomalies, "d_tagged": tagged, "d_onsets": onsets, "d_plateaus": plateaus, "d_deliveries": deliveries, "d_detected": detected, "d_anchored": anchored,
     "q_report": qa_report, "q_coherence": coherence, "q_realism": realism, "q_basics": basics, "q_validated": validated, "q_imu_coherence": imu_coherence,
     "a_metrics": metrics, "a_event_counts": event_counts, "a_heatmap": heatmap, "a_described": described, "a_imu_stats": imu_stats, "a_portions": portions, "a_windows": windows, "a_markers": markers, "a_spikes": spikes, "a_tracks": tracks,
 }
 ORACLES = {k: with_views(v, "trace") for k, v in {
+    "a_charts": CHARTS, "q_plateau_order": PLATEAU_ORDER,
     "a_bands": BANDS, "a_distribution": DISTRIBUTION, "a_stats": STATS, "d_lateral": LATERAL,
     "a1_trip_summary": SUMMARY, "d_window_events": _window_events_sql(), "d_halts": HALTS, "d_ends": ENDS, "d_anomalies": ANOMALIES, "d_tagged": TAGGED, "d_onsets": ONSETS, "d_plateaus": PLATEAU_SQL, "d_deliveries": DELIVERIES,
     "q_report": QA, "q_coherence": COHERENCE, "q_realism": REALISM, "q_basics": BASICS, "q_validated": VALIDATED, "q_imu_coherence": IMU,

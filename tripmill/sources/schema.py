@@ -66,3 +66,10 @@ def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
             value = F.coalesce(value, F.lit("").cast(kind) if kind == "string" else F.timestamp_micros(F.lit(0)) if kind == "timestamp" else F.lit(None).cast(kind))
         out.append(value.alias(f.name))
     return df.select(*out, *(c for c in df.columns if c not in schema.names))
+
+
+def enforce_export_schema(df: DataFrame) -> DataFrame:
+    """Casts the known columns and puts the canonical ones first."""
+    known = {n: t for n, t, _, _ in COLUMNS if n in df.columns}
+    df = df.withColumns({n: F.expr(f"try_cast(`{n}` AS {t})") for n, t in known.items()})
+    return df.select(*known, *(c for c in df.columns if c not in known))
