@@ -452,6 +452,34 @@ def test_lm_scoring(spark, texts):
     assert lm_scoring.score_documents(empty, lm_scoring.train(empty, chosen)).count() == 0
 
 
+def test_lm_scoring_keeps_every_count(spark, monkeypatch):
+    """Far more words and pairs than the smallest hashed vocabulary had buckets: every loss is still exact."""
+    monkeypatch.setattr(lm_scoring, "SLICE", 100_000, raising=False)  # several slices
+    rng = random.Random(8)
+    low = [tuple(f"w{int(rng.paretovariate(0.2)) % 40_000}" for _ in range(600)) for _ in range(300)]
+    docs = make(spark, [" ".join(w) for w in low])
+    chosen = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id long")
+    models = lm_scoring.train(docs, chosen)
+    single, pair = [Counter(), Counter()], [Counter(), Counter()]
+    for i, w in enumerate(low):
+        for m in (1, 0) if i % 3 == 0 else (1,):
+            single[m].update(("<s>", *w)), pair[m].update(zip(("<s>", *w), w))
+    size = [sum(c.values()) for c in single]
+    assert len(pair[1]) > 65536
+
+    def loss(m, v, w):
+        f = size[0] / size[1] if m else 1
+        return -math.log((pair[m][v, w] * f + 16 * (single[m][w] * f + 1) / (size[0] + len(single[1]) + 1)) / (single[m][v] * f + 16))
+
+    expected = {i: tuple(np.mean([loss(m, v, x) for v, x in zip(("<s>", *w), w)]) for m in (0, 1)) for i, w in enumerate(low)}
+    for scored in (docs, docs.where("doc_id < 50")):  # the corpus itself, and other documents against it
+        rows = lm_scoring.score_documents(scored, models).collect()
+        assert len(rows) == (300 if scored is docs else 50)
+        for r in rows:
+            t, b = expected[r.doc_id]
+            assert abs(r.target_loss - t) < 1e-9 and abs(r.background_loss - b) < 1e-9 and abs(r.score - (t - b)) < 1e-9
+
+
 # shared
 
 

@@ -5,129 +5,188 @@ document's score is the mean over its words of the target's loss less the backgr
 like the target. The models are matched: the same words, order and smoothing, and background counts are scaled to the
 target's size, so that smoothing weighs alike in both.
 
-The vocabulary is hashed: a word, or a pair of neighbouring words, is one of 2**bits buckets, so the models are arrays of a
-size that is a parameter and not one of the corpus. bits follows the corpus (about one bucket for eight words) between
-``LEAST_BITS`` and ``most_bits``, which bounds what is broadcast: 16 bytes a bucket. Counts cover all documents, whole; each
-task counts its part into arrays and sends what is not zero, summed over tasks by Spark.
+Every word and every pair of neighbouring words has a count of its own, under a 63-bit hash, whatever the size of the corpus.
+Documents are dealt by hash into slices of about ``SLICE`` bytes. A slice sends its distinct words and pairs with their counts
+to as many buckets, by the range of the hash; a bucket adds up and answers each slice with the sums of what it sent. A common word
+is one entry a slice, so no bucket is larger than the others, and nothing is collected or broadcast.
 
-P(w | v) = (c(v, w) + strength * P(w)) / (c(v) + strength), P(w) = (c(w) + 1) / (words + buckets in use); c(v) counts v as a word,
-or texts for the start mark.
+P(w | v) = (c(v, w) + strength * P(w)) / (c(v) + strength), P(w) = (c(w) + 1) / (words + distinct words + 1); c(v) counts v as a
+word, or texts for the start mark, which is one of the words here.
 
 Words are ASCII-lower-cased runs outside 0x20 and 0x09-0x0D. Null and empty texts have no words, no losses, and the score 0.
 Without any target document all scores are 0 too. Rows are returned one for one; those without doc_id count for the background
-alone. Labels without a value are left out; of several for a doc_id the least counts. Other columns are ignored.
+alone. Labels without a value are left out; of several for a doc_id the least counts. Other columns are ignored. Rows that repeat
+a doc_id share a slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_column, small_slices, table
 from .textkernel import LOWER, pair_hashes, word_hashes
 
-LEAST_BITS = 16
-START = np.uint64(0x27D4EB2F165667C5)
+SLICE = 6 << 20
+START = np.uint64(0x27D4EB2F165667C4)
+ODD = np.uint64(1)
+SENT = "bucket int, slice int, keys binary, t binary, b binary"
+SUMS = "slice int, bucket int, t binary, b binary, words_t long, words_b long, used long"
+SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def buckets(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: its bucket, that of the word before (a start mark at the head of a text) and that of the pair; and the
-    index of each text's first word."""
+def hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: its key (even), that of the word before (a start mark at the head of a text) and that of the pair (odd);
+    and the index of each text's first word."""
     buf, offs = byte_column(column)
     words, first = word_hashes(LOWER[buf], offs)
+    words = words & ~ODD
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[first[:-1][np.diff(first) > 0]] = START
     both = np.empty(2 * len(words), np.uint64)
     both[0::2], both[1::2] = before, words
     pairs = pair_hashes(both)[0::2] if len(words) else words
-    shift = np.uint64(64 - bits)
-    return (words >> shift).astype(np.int64), (before >> shift).astype(np.int64), (pairs >> shift).astype(np.int64), first
-
-
-def counter(bits: int) -> Callable:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows of the table: words, pairs; each for the target and for all
-        sums = np.zeros((2, 2, 1 << bits), np.int32)
-        for whole in batches:
-            for batch in small_slices(whole, "text", 8 << 20):
-                word, before, pair, first = buckets(batch.column(1), bits)
-                chosen = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-                for kind, x in enumerate((word, pair)):
-                    sums[kind, 1] += np.bincount(x, minlength=1 << bits).astype(np.int32)
-                    if chosen.any():
-                        sums[kind, 0] += np.bincount(x[chosen], minlength=1 << bits).astype(np.int32)
-                start = int(START >> np.uint64(64 - bits))
-                heads = first[:-1][np.diff(first) > 0]
-                sums[0, 1, start] += len(heads)
-                sums[0, 0, start] += int(chosen[heads].sum()) if len(heads) else 0
-        for kind in range(2):
-            used = np.flatnonzero(sums[kind, 1])
-            for at in range(0, len(used), 1 << 16):
-                some = used[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array((some + (kind << bits)).astype(np.int32)), pa.array(sums[kind, 0][some].astype(np.int64)), pa.array(sums[kind, 1][some].astype(np.int64))], names=["slot", "t", "b"])
-
-    return count
-
-
-class Models:
-    """The matched pair: for each kind an array of target counts and one of background counts, as float32."""
-
-    def __init__(self, slots: np.ndarray, target: np.ndarray, background: np.ndarray, bits: int, strength: float):
-        self.bits, self.strength = bits, strength
-        counts = np.zeros((2, 2 << bits), np.float32)
-        counts[0, slots], counts[1, slots] = target, background
-        self.counts = counts.reshape(2, 2, 1 << bits)
-        self.words = np.array([self.counts[m, 0].sum(dtype=np.float64) for m in (0, 1)])
-        self.used = int((self.counts[1, 0] > 0).sum())
-        if self.words.all():
-            self.counts[1] *= self.words[0] / self.words[1]
-            self.words[1] = self.words[0]
-
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return words, before, pairs | ODD, first
+
+
+def pieces(docs: pa.Table) -> Iterator[pa.RecordBatch]:
+    for whole in docs.combine_chunks().to_batches():
+        yield from small_slices(whole, "text")
+
+
+def slice_keys(docs: pa.Table, chosen: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys of a slice, and their counts in the target's and in all its documents."""
+    every, target = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for batch in pieces(docs):
+        word, _, pair, first = hashes(batch.column(batch.schema.get_field_index("text")))
+        n = np.diff(first)
+        hit = pc.is_in(batch.column(batch.schema.get_field_index("doc_id")), value_set=chosen).to_numpy(zero_copy_only=False)
+        inside = np.repeat(hit, n)
+        every += [word, pair, np.full(int((n > 0).sum()), START)]
+        target += [word[inside], pair[inside], np.full(int((hit & (n > 0)).sum()), START)]
+    keys, b = np.unique(np.concatenate(every), return_counts=True)
+    return keys, np.bincount(np.searchsorted(keys, np.concatenate(target)), minlength=len(keys)), b
+
+
+def cuts(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n buckets begins in sorted keys, and the end."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, all the first ones first: what is equal or zero in many of them compresses well."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
+
+
+def sender(n: int, *, counts: bool, asks: bool) -> Callable:
+    """counts: the slice is part of the corpus. asks: it wants an answer, so every bucket hears of it."""
+    schema = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("keys", pa.binary()), ("t", pa.binary()), ("b", pa.binary())])
+
+    def send(key: tuple, docs: pa.Table, chosen: pa.Table) -> pa.Table:
+        keys, t, b = slice_keys(docs, chosen.column("doc_id").combine_chunks())
+        if not counts:
+            t, b = np.zeros_like(t), np.zeros_like(b)
+        at = cuts(keys, n)
+        some = [i for i in range(n) if len(keys) and (asks or at[i] < at[i + 1])]
+        columns = [[planes(x[at[i] : at[i + 1]]) for i in some] for x in (keys, t, b)]
+        return pa.table([pa.array(some, pa.int32()), pa.array([key[0].as_py() if asks else -1] * len(some), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)
+
+    return send
+
+
+def add_up(sent: pa.Table) -> pa.Table:
+    """Of one bucket: to each slice the sums of its keys over all slices, and the bucket's words."""
+    rows = [sent.column(c).to_pylist() for c in ("slice", "keys", "t", "b")]
+    n = np.array([len(x) // 8 for x in rows[1]])
+    keys, where = np.unique(np.concatenate([unplanes(x) for x in rows[1]]), return_inverse=True)
+    t, b = (np.bincount(where, np.concatenate([unplanes(x) for x in c]), len(keys)).astype(np.int64) for c in rows[2:])
+    word = keys & ODD == 0
+    totals = int(t[word].sum()), int(b[word].sum()), int((b[word] > 0).sum())
+    end = np.cumsum(n)
+    out = [(s, planes(t[where[j - k : j]]), planes(b[where[j - k : j]])) for s, j, k in zip(rows[0], end.tolist(), n.tolist()) if s >= 0]
+    bucket = sent.column("bucket")[0].as_py()
+    return pa.table(
+        [pa.array([o[0] for o in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2)), *(pa.array([x] * len(out), pa.int64()) for x in totals)],
+        names=["slice", "bucket", "t", "b", "words_t", "words_b", "used"],
+    )
+
+
+def scorer(strength: float) -> Callable:
+    def score(docs: pa.Table, sums: pa.Table) -> pa.Table:
+        sums = sums.sort_by("bucket")
+        counts = [np.concatenate([np.zeros(0), *(unplanes(x) for x in sums.column(c).to_pylist())]) for c in ("t", "b")]
+        words_t, words_b, used = (sum(sums.column(c).to_pylist()) for c in ("words_t", "words_b", "used"))
+        if words_t and words_b:
+            counts[1] *= words_t / words_b
+            words_b = words_t
+        keys = slice_keys(docs, pa.array([], pa.int64()))[0]
         out = []
-        for m in (0, 1):
-            single = (self.counts[m, 0][word].astype(float) + 1) / (self.words[m] + self.used + 1)
-            out.append(-np.log((self.counts[m, 1][pair] + self.strength * single) / (self.counts[m, 0][before] + self.strength)))
-        return out[0], out[1]
+        for batch in pieces(docs):
+            word, before, pair, first = hashes(batch.column(batch.schema.get_field_index("text")))
+            n, means = np.diff(first), []
+            word, before, pair = (np.searchsorted(keys, x) for x in (word, before, pair))
+            for c, total in zip(counts, (words_t, words_b)):
+                loss = np.log(c[before] + strength) - np.log(c[pair] + strength * (c[word] + 1) / (total + used + 1))
+                upto = np.r_[0.0, np.cumsum(loss)]
+                means.append((upto[first[1:]] - upto[first[:-1]]) / np.maximum(n, 1))
+            none = n == 0
+            losses = [pa.array(m, pa.float64(), mask=none) for m in means]
+            gap = np.where(none | (words_t == 0), 0.0, means[0] - means[1])
+            out.append(pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n.astype(np.int64)), *losses, pa.array(gap)], schema=schema))
+        return pa.Table.from_batches(out, schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+    return score
+
+
+@dataclass
+class Models:
+    """The matched pair: the corpus, the ids of its target documents, and the smoothing. Counted when documents are scored."""
+
+    docs: DataFrame
+    target: DataFrame
+    strength: float
 
 
-def train(docs: DataFrame, target: DataFrame, *, most_bits: int = 21, strength: float = 16.0) -> Models:
+def train(docs: DataFrame, target: DataFrame, *, strength: float = 16.0) -> Models:
     """target: one row for each doc_id of the target corpus."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(size / 48 + 1)), LEAST_BITS, most_bits))
-    chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("chosen", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").hint("merge").join(chosen, "doc_id", "left")  # alike at every size
-    parts = rows.select(F.coalesce("chosen", F.lit(False)).alias("chosen"), "text").mapInArrow(counter(bits), "slot int, t long, b long")
-    sums = parts.groupBy("slot").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()  # at most 2 * 2**bits rows
-    return Models(*(sums.column(c).to_numpy() for c in ("slot", "t", "b")), bits, strength)
+    return Models(docs, target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), strength)
 
 
 def score_documents(docs: DataFrame, models: Models) -> DataFrame:
-    """One row a document: doc_id, n_tokens, target_loss, background_loss (means over words), score. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in small_slices(whole, "text"):
-                word, before, pair, first = buckets(batch.column(1), shared.value.bits)
-                n = np.diff(first)
-                sums = []
-                for x in shared.value.losses(word, before, pair):
-                    total = np.zeros(len(x) + 1)
-                    np.cumsum(x, out=total[1:])
-                    sums.append((total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1))
-                none = n == 0
-                means = [pa.array(s, pa.float64(), mask=none) for s in sums]
-                known = shared.value.words[0] > 0
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *means, pa.array(np.where(none | (not known), 0.0, sums[0] - sums[1]))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    """One row a document: doc_id, n_tokens, target_loss, background_loss (means over words), score."""
+    size = models.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if docs is not models.docs:
+        size = max(size, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    n = max(1, -(-size // SLICE))
+
+    def dealt(df: DataFrame, key) -> DataFrame:
+        return df.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition(n, "slice")
+
+    def texts(df: DataFrame) -> DataFrame:
+        return dealt(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.coalesce("doc_id", F.xxhash64("text")))
+
+    def send(rows: DataFrame, **role) -> DataFrame:
+        return rows.groupBy("slice").cogroup(dealt(models.target, F.col("doc_id")).groupBy("slice")).applyInArrow(sender(n, **role), SENT)
+
+    rows = texts(docs)  # read twice, shuffled once
+    if docs is models.docs:
+        sent = send(rows, counts=True, asks=True)
+    else:
+        sent = send(rows, counts=False, asks=True).union(send(texts(models.docs), counts=True, asks=False))
+    sums = sent.groupBy("bucket").applyInArrow(add_up, SUMS).repartition(n, "slice")
+    return rows.groupBy("slice").cogroup(sums.groupBy("slice")).applyInArrow(scorer(models.strength), SCORED)
 
 
 def good_documents(labels: DataFrame) -> DataFrame:
