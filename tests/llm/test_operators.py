@@ -390,6 +390,25 @@ def test_near_duplicates(spark, texts, options):
     assert by_row(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(docs, list(range(len(docs))))
 
 
+def test_near_duplicates_in_a_large_group(spark):
+    """One template filled in many ways, alike but not linked, with linked pairs among them that no window of a few rows holds."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(400):
+        w = [f"t{j}" for j in range(200)]
+        for j in rng.sample(range(0, 200, 5), 18):
+            w[j] = f"d{i}x{j}"
+        docs.append(" ".join(w))
+        if i % 8 == 0:  # a copy with ten words of the template's changed again
+            for j in rng.sample(range(2, 200, 5), 10):
+                w[j] = f"e{i}x{j}"
+            docs.append(" ".join(w))
+    expected = brute_components(docs, list(range(len(docs))))
+    assert 40 <= sum(not kept for *_, kept in expected) < 200
+    got = near_dedup.near_duplicates(make(spark, docs), small=16, block=8, orders=2)
+    assert by_row(got, "doc_id", "n_shingles", "component_id", "kept") == expected
+
+
 def test_near_duplicates_odd_ids(spark):
     rng = random.Random(3)
     a, b, c = (prose(rng, 40) for _ in range(3))
