@@ -170,6 +170,20 @@ def test_ann(spark):
     assert ann.nearest_neighbours(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_ann_tight_clusters_and_outliers(spark):
+    """Tight clusters set a small budget; queries alone in their cell, or with a cell of their own rows, still get five others."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8))
+    x = [(i, centres[i % 12].tolist()) for i in range(600)]
+    x += [(1000 + i, [*centres[i, :4], *centres[i + 1, 4:]]) for i in range(2)]  # a cell that no cluster has
+    x += [x[-1]] * 20  # many rows of one id
+    x = [(i, [float(c) for c in v]) for i, v in x]
+    vectors = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 3 = 0 OR vec_id >= 1000")
+    got = Counter(r.query_id for r in ann.nearest_neighbours(vectors, queries).collect())
+    assert got == {i: 5 for i, _ in x if i % 3 == 0 or i >= 1000}
+
+
 def test_traversal_is_in_order():
     rng = np.random.default_rng(2)
     a, b = rng.uniform(size=6), rng.uniform(size=5)

@@ -2,7 +2,8 @@
 
 Vectors are scaled to length 1 and cut into two halves, each quantised by its own codebook; a cell is a pair of centroids. A query
 visits cells in order of the summed distance of its halves to the two centroids, taken from a heap, until the cells
-visited hold ``budget`` entries. Entries of visited cells are reranked by their exact cosine in double precision.
+visited hold ``budget`` entries of other ids, and k at least; a query with fewer candidates visits all cells. Entries of visited
+cells are reranked by their exact cosine in double precision.
 
 * Codebooks are fitted on at most ``sample`` rows (the smallest by hash); every row is indexed.
 * The budget is measured, not guessed: ``probes`` queries are compared with all rows, and the budget is the least that
@@ -154,7 +155,10 @@ def nearest_neighbours(
     truth = truth.join(index.select("vec_id", "c1", "c2"), "vec_id").collect()  # probes x k rows
     t_unit = unit(t_vec)
     d1, d2 = distances(t_unit[:, :half], books[0]), distances(t_unit[:, half:], books[1])
+    asked = asked.join(index.groupBy(F.col("vec_id").alias("query_id"), "c1", "c2").count().groupBy("query_id").agg(F.collect_list(F.struct("c1", "c2", "count")).alias("own")), "query_id", "left")
+    asked = scratch.keep(asked, "asked")
     needed = []
+    own_of = {r["query_id"]: {(o["c1"], o["c2"]): o["count"] for o in r["own"] or ()} for r in asked.where(F.col("query_id").isin(t_ids.tolist())).select("query_id", "own").collect()}
     for i, q in enumerate(t_ids.tolist()):
         want, held = {}, 0
         for r in truth:
@@ -164,8 +168,8 @@ def nearest_neighbours(
             if not want:
                 break
             needed += [held] * len(want.pop(cell, ()))
-            held += int(sizes[cell])
-    budget = int(np.quantile(needed, recall, method="higher")) + 1 if needed else n
+            held += int(sizes[cell]) - own_of[q].get(cell, 0)
+    budget = max(k, int(np.quantile(needed, recall, method="higher")) + 1) if needed else n
 
     q_blocks = -(-n_queries // query_block)
     blocks = np.maximum(1, -(-sizes.sum(axis=1) // block))
@@ -176,12 +180,13 @@ def nearest_neighbours(
             x = unit(matrix(batch.column(1), dim))
             far1, far2 = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
             out: list[tuple] = []
-            for q, vec, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), far1, far2):
+            for q, vec, own, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), far1, far2):
                 held, seen = 0, {}
+                own = {(o["c1"], o["c2"]): o["count"] for o in own or ()}
                 for c1, c2 in traverse(a, b):
                     if sizes[c1, c2]:
                         seen.setdefault(c1, []).append(c2)
-                        held += int(sizes[c1, c2])
+                        held += int(sizes[c1, c2]) - own.get((c1, c2), 0)
                         if held >= budget:
                             break
                 out += [(c1, s, q, vec, c2) for c1, c2 in seen.items() for s in range(blocks[c1])]
