@@ -374,6 +374,50 @@ def test_randomness_of_random_runs(spark):
     assert 0.005 < np.mean([p < 0.05 for p in ps[:300]]) < 0.1 and ps[300] < 1e-4
 
 
+STEMS = ("response", "event", "view", "model", "user", "account", "session", "index", "handler", "factory", "service", "manager", "request", "widget", "config", "update", "mapping", "render", "state", "parser", "Stream")
+
+
+@pytest.mark.parametrize("style", ["camel", "snake", "capitals", "path"])
+def test_reported_runs_are_keys_and_not_names(spark, duck, style):
+    """A thousand names with a number, and a hundred keys, of like lengths: few names are reported, nearly all keys; and SQL agrees."""
+    rng = random.Random(13)
+    names, keys = [], []
+    while len(names) < 1000:
+        w = rng.sample(STEMS, 3)
+        n = {"camel": "".join(x.title() for x in w), "snake": "_".join(w), "capitals": "_".join(w).upper(), "path": "/".join(w)}[style] + str(rng.choice([7, 42, 2024]))
+        if len(n) >= 20:
+            names.append(f"uses {n} here")
+    abc = secret_scan.ALPHABETS["base62"]
+    while len(keys) < 100:
+        k = "".join(rng.choice(abc) for _ in range(rng.randint(20, 28)))
+        if any(c.isdigit() for c in k):
+            keys.append(f"key {k}.")
+    docs = make(spark, [*names, *keys])
+    rows = secret_scan.scan_secrets(docs).collect()
+    hit = {r.doc_id for r in rows if "random" in r.spans}
+    assert len([i for i in hit if i < 1000]) < 0.05 * len(hit) and len([i for i in hit if i >= 1000]) >= 90
+    frame = docs.select("doc_id", "text").toPandas()
+    con = duck.cursor()
+    con.register("documents_here", frame)
+    want = con.execute(secret_scan._sql().replace("FROM documents)", "FROM documents_here)")).df()
+    assert dict(zip(want.doc_id, want.spans)) == {r.doc_id: r.spans for r in rows}
+
+
+def test_many_matches_in_one_text(spark):
+    """40 000 matches of one text within seconds, in the scan and when they are cut out."""
+    import time
+
+    text = "token=abcdefgh12 " * 40_000
+    docs = make(spark, [text, None])
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
+    assert (got[0].n_assign, got[1].n_assign) == (40_000, 0)
+    assert secret_scan.redact_secrets(docs).where("doc_id = 0").first().text == "[secret] " * 40_000
+    assert time.time() - began < 60
+    licensed = licenses.scan_licenses(make(spark, ["mit license. " * 20_000])).first()
+    assert licensed.n_words == 40_000 and licensed.labels == "mit" and time.time() - began < 120
+
+
 # 9
 
 
