@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,10 +85,28 @@ def small_slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iter
         start = end
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[pa.Table]:
-    """Whole runs of equal ``key`` from sorted batches, several to a table. Runs over ``most`` rows come in pieces of that many
-    rows, each starting with the last half of the piece before."""
+def list_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most about ``limit`` items in a list column; a longer list is a slice of its own."""
+    upto = np.r_[0, np.cumsum(batch.column(batch.schema.get_field_index(column)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+    start, n = 0, batch.num_rows
+    while start < n:
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + limit, side="right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None, weigh: str | None = None, heavy: int = 4 << 20) -> Iterator[pa.Table]:
+    """Whole runs of equal ``key`` from sorted batches, several to a table. Runs over ``most`` rows, or ``heavy`` items of the list column
+    ``weigh``, come in pieces of that many (two rows at least), each starting with the last half of the piece before."""
     held: list[pa.RecordBatch] = []
+
+    def weights(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+        column = table.column(table.schema.get_field_index(weigh)) if weigh else None
+        return np.zeros(table.num_rows, np.int64) if column is None else pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+
+    def full() -> bool:
+        return sum(b.num_rows for b in held) >= 2 * most or (len(held) > 1 and sum(int(weights(b).sum()) for b in held) >= 2 * heavy)
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -95,19 +114,25 @@ def runs(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -
         keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
         last = int(np.argmax(keys == keys[-1]))
         if last:  # the last run may go on
-            full = pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
+            whole = pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
             held = [batch.slice(last)]
-            yield full
-        elif most and sum(b.num_rows for b in held) >= 2 * most:
-            full = pa.Table.from_batches(held).combine_chunks()
-            keys = full.column(key).to_numpy()
+            yield whole
+        elif most and full():
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column(key).to_numpy()
             if keys[0] != keys[-1]:
                 cut = int(np.flatnonzero(keys == keys[-1])[0])
-                yield full.slice(0, cut)
-                full = full.slice(cut)
-            while full.num_rows >= 2 * most:
-                yield full.slice(0, most)
-                full = full.slice(most // 2)
-            held = full.to_batches()
+                yield table.slice(0, cut)
+                table = table.slice(cut)
+            upto = np.cumsum(weights(table))
+            at = 0
+            while True:
+                before = upto[at - 1] if at else 0
+                to = max(at + 2, min(at + most, int(np.searchsorted(upto, before + heavy, side="right"))))
+                if to + (to - at) // 2 >= table.num_rows:
+                    break
+                yield table.slice(at, to - at)
+                at += max(1, (to - at) // 2)
+            held = table.slice(at).to_batches()
     if held:
         yield pa.Table.from_batches(held)

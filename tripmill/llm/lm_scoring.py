@@ -50,10 +50,7 @@ def hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[first[:-1][np.diff(first) > 0]] = START
-    both = np.empty(2 * len(words), np.uint64)
-    both[0::2], both[1::2] = before, words
-    pairs = pair_hashes(both)[0::2] if len(words) else words
-    return words, before, pairs | ODD, first
+    return words, before, pair_hashes(before, words) | ODD, first
 
 
 def pieces(docs: pa.Table) -> Iterator[pa.RecordBatch]:

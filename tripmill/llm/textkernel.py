@@ -73,9 +73,9 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return span_hashes(prefix_hashes(buf), starts, ends), first
 
 
-def pair_hashes(words: np.ndarray) -> np.ndarray:
-    """Hash of each two neighbouring words; order matters."""
-    return mix(words[:-1] * np.uint64(0x8CB92BA72F3D8DD7) + np.bitwise_xor(words[1:], np.uint64(0x5851F42D4C957F2D)))
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of each pair of hashes; order matters."""
+    return mix(first * np.uint64(0x8CB92BA72F3D8DD7) + np.bitwise_xor(second, np.uint64(0x5851F42D4C957F2D)))
 
 
 def blake_keys(kind: str, n: int) -> np.ndarray:
