@@ -101,7 +101,43 @@ def test_license_scan(spark):
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert "apache-2.0" in got[3].labels and "apache," not in got[3].labels + ","  # the shorter name lies within the longer
     assert got[4].labels == "gpl,gpl-3.0" and "mit" in got[8].labels and got[9].labels == "" and "gpl-3.0" in got[10].labels and got[2].score == 0
-    assert len(licenses.rules()) > 300 and all(re.compile(p) for *_, p in licenses.rules())
+
+
+def test_license_rules_each_have_a_text():
+    """Every rule, in every choice: it opens the gate, its keyword is there, and it matches its own words."""
+    from itertools import product
+
+    from tripmill.llm.license_rules import parsed
+
+    assert len(licenses.rules()) > 250
+    for (tier, label, keyword, pattern), (*_, words_) in zip(licenses.rules(), parsed()):
+        fixed = [w for w in words_.split() if not w.endswith("?")]
+        whole = [w.rstrip("?") for w in words_.split()]
+        for tokens in (fixed, whole):
+            for text in product(*(w.strip("()").split("|") for w in tokens)):
+                spaced = "".join(f" {w} " for w in text)
+                assert re.search(licenses.STEMS, " ".join(text)) and keyword in spaced and re.fullmatch(pattern, spaced), (label, text)
+
+
+def test_license_texts(spark):
+    """Texts as they occur, with the labels wanted and, after a bar, labels that a containing detection suppresses."""
+    cases = [
+        ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: MPL-2.0", "mpl-2.0"),
+        ("SPDX-License-Identifier: EPL-2.0", "epl-2.0"), ("SPDX-License-Identifier: BSL-1.0", "bsl-1.0"), ("SPDX-License-Identifier: Zlib", "zlib"), ("licensed under Apache 2.0", "apache-2.0"), ("Licensed under MIT", "mit"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0-or-later|gpl-2.0,gpl-2.0-only"), ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"), ("This program is distributed under the terms of the GNU General Public License, version 3.", "gpl-3.0|gpl"),
+        ("see https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa-4.0"), ("CC BY-SA 4.0", "cc-by-sa"), ("Expat License", "mit"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0|mpl"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense|public-domain"), ("Proprietary and confidential", "confidential"), ("For internal use only.", "internal-use"), ("the river mitigates general use", ""),
+    ]
+    docs = [t for t, _ in cases]
+    rows = {r.doc_id: r for r in licenses.scan_licenses(make(spark, docs + docs)).collect()}
+    for i, (text, labels) in enumerate(cases):
+        wanted, _, never = labels.partition("|")
+        got = set(rows[i].labels.split(",")) - {""}
+        extra = {label for phrase, label in licenses.BASE if phrase in re.sub(r"[^a-z0-9]+", " ", text.lower())}
+        assert set(filter(None, wanted.split(","))) <= got and not (set(filter(None, never.split(","))) - extra) & got, (text, got)
+        assert wanted or not got
+        assert rows[i + len(cases)].labels == rows[i].labels  # repeated rows
 
 
 # 3

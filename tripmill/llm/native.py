@@ -32,7 +32,7 @@ def folded(items: str, start: str, kind: str, state: Callable[[str], str], emits
     of the length is 1.5.
     """
     width = "CAST(ceil(sqrt(greatest(1, size(w)))) AS INT)"
-    chunks = f"transform(array({items}), w -> transform(sequence(0, CAST((size(w) - 1) / {width} AS INT)), j -> slice(w, j * {width} + 1, {width})))[0]"
+    chunks = f"transform(array({items}), w -> transform(sequence(0, CAST(greatest(0, size(w) - 1) / {width} AS INT)), j -> slice(w, j * {width} + 1, {width})))[0]"
     heads = f"aggregate(k, struct({start} AS p, slice(array({start}), 1, 0) AS h), (q, c) -> struct(aggregate(c, q.p, (p, z) -> {state('p')}) AS p, array_append(q.h, q.p) AS h), q -> q.h)"
     filled = f"aggregate(c, struct(h AS p, CAST(array() AS array<{kind}>) AS a), (r, z) -> struct({state('r.p')} AS p, IF({emits}, array_append(r.a, {item}), r.a) AS a), r -> r.a)"
     return f"flatten(transform(array({chunks}), k -> zip_with(k, {heads}, (c, h) -> {filled}))[0])"
