@@ -310,7 +310,17 @@ def test_mixing(spark, texts):
         assert r["size"] == len(words(texts[r.doc_id])) and r.source_size == sizes[r.source] and 0 <= r.taken <= 3 * r["size"]
         assert abs(r.target - target[r.source]) < 1e-6
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    longest = {s: max(len(words(t)) for x, t in zip(sources, texts) if x == s) for s in sizes}
+    assert all(abs(taken[s] - target[s]) <= longest[s] for s in sizes) and sum(taken.values()) == sum(sizes.values())
+    queue = sorted((r.finish + k * r.source_size / r.target, str(r.source), r["size"]) for r in rows if r["size"] for k in range(min(3, int(r.target / r.source_size) + 1)))
+    left, whole = sum(sizes.values()), 0
+    for _, _, n in queue:  # served whole in the order of finish while the budget lasts
+        if n > left:
+            break
+        left, whole = left - n, whole + n
+    assert abs(sum(r.taken for r in rows if r["size"] and r.taken % r["size"] == 0) - whole) <= max(longest.values())
+    odd = make(spark, ["a b c", "a b c", "d e", "", None], ids=[4, 4, None, 7, None])
+    assert sorted(r.taken for r in mixing.mix_sources(odd).collect()) == [0, 0, 0, 3, 5] and mixing.mix_documents(odd).count() == 6
     assert by_row(mixing.mix_sources(docs.repartition(7)), "doc_id", "taken") == by_row(mixing.mix_sources(docs), "doc_id", "taken")
     order = mixing.service_order(mixing.mix_sources(docs)).collect()
     assert sum(r.words for r in order) == sum(taken.values()) and [r.finish for r in order] == sorted(r.finish for r in order)
