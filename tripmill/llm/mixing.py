@@ -71,8 +71,7 @@ def served(copy) -> "F.Column":
 
 def cut_of(queue: DataFrame, budget: int, most: int, scratch: Scratch) -> tuple | None:
     """(finish, place_of_source, served, words that still fit) of the copy at which the budget ends; None if it never does."""
-    turns = F.least(F.lit(most - 1), F.floor(F.col("target") / F.col("source_size")).cast("int"))
-    copies = queue.where("size > 0 AND target > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), turns)))
+    copies = queue.where("size > 0 AND target > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     copies = copies.select((served(F.col("copy")) / F.col("target")).alias("finish"), "place_of_source", served(F.col("copy")).alias("served"), "size")
     order = ["finish", "place_of_source", "served"]
     line = scratch.keep(copies.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "line")
@@ -152,7 +151,7 @@ c AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 x AS (
   SELECT i, p, size, CAST(k * source_size + upto AS BIGINT) AS served, CAST(k * source_size + upto AS BIGINT) / target AS finish
-  FROM (SELECT *, unnest(range(0, 3)) AS k FROM c) WHERE size > 0 AND k <= floor(target / source_size)),
+  FROM (SELECT *, unnest(range(0, 3)) AS k FROM c) WHERE size > 0),
 o AS (SELECT i, size, sum(size) OVER (ORDER BY finish, p, served ROWS UNBOUNDED PRECEDING) - size AS before, (SELECT sum(size) FROM d) AS budget FROM x),
 y AS (SELECT i, sum(greatest(0, least(size, budget - before))) AS taken FROM o GROUP BY i)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken,
