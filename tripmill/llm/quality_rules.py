@@ -1,8 +1,9 @@
 """Quality rules as a ledger: every rule is evaluated once, failures are bits of one integer, policies are masks.
 
-``ledger`` measures whole texts and sets one bit for each rule that fails; the measurements stay beside the bits. A policy
-is a version, the mask of the rules that it enforces, and nothing else, so a new policy or an ablation never reads a text
-again: ``apply_policy`` is one bitwise AND a row and ``ablation`` one aggregate over the distinct masks.
+``ledger`` measures whole texts and sets one bit for each rule that fails; the measurements stay beside the bits. ``stored_ledger``
+writes it to the shared folder, once. A policy is a version, the mask of the rules that it enforces, and nothing else, so a new
+policy or an ablation never reads a text again: ``apply_policy`` is one bitwise AND a row and ``ablation`` one aggregate over the
+distinct masks, both over the stored ledger.
 
 Null and empty texts have no words and fail ``few_words``. Rows are returned one for one, repeated rows too, and a null
 doc_id stays null. Other columns are ignored.
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, small_slices, table
+from .common import Scratch, byte_column, small_slices, table
 from .textkernel import word_hashes, word_spans
 
 WINDOW = 8
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_bars")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper")
 
 #: The rules in the order of their bits, each as SQL text over the measurements; true means that it fails.
 RULES = (
@@ -88,7 +89,6 @@ CLASSES = {c: np.isin(np.arange(256), list(codes)) for c, codes in {
     "symbol": b"#*$%&|<>",
     "upper": range(65, 91),
     "letter": [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)],
-    "bar": b"|",
 }.items()}
 
 
@@ -109,7 +109,7 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines[i], dup[i] = len(full), len(full) - len(set(full))
             columns = {
                 "n_words": np.diff(first), "word_chars": length[first[1:]] - length[first[:-1]], "n_symbols": _per_text(CLASSES["symbol"][buf], offs), "n_dup_lines": dup,
-                "n_repeat_words": repeated_words(words, first), "n_lines": lines, "n_letters": _per_text(CLASSES["letter"][buf], offs), "n_upper": _per_text(CLASSES["upper"][buf], offs), "n_bars": _per_text(CLASSES["bar"][buf], offs),
+                "n_repeat_words": repeated_words(words, first), "n_lines": lines, "n_letters": _per_text(CLASSES["letter"][buf], offs), "n_upper": _per_text(CLASSES["upper"][buf], offs),
             }
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(columns[m].astype(np.int64)) for m in MEASURES)], names=["doc_id", *MEASURES])
 
@@ -121,16 +121,23 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long"))
 
 
-def apply_policy(rows: DataFrame, version: int = CURRENT) -> DataFrame:
-    """Adds ``kept``: none of the policy's rules fails."""
-    return rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(version))) == 0)
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger as a table that policies and ablations read instead of texts."""
+    return Scratch(docs.sparkSession, "ledger").keep(ledger(docs), "ledger")
+
+
+def apply_policy(rows: DataFrame, version: int = CURRENT, name: str = "kept") -> DataFrame:
+    """Adds ``name``: none of the policy's rules fails."""
+    return rows.withColumn(name, F.col("failed").bitwiseAND(F.lit(mask(version))) == 0)
 
 
 def ablation(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     """One row a rule of a policy: how many rows fail it, fail it alone within the policy (and so come back if the rule is
-    dropped), and how many the policy keeps with and without it. Works on the distinct masks, not on the rows."""
+    dropped), and how many the policy keeps with and without it. Works on the distinct masks, not on the rows; those may be counted
+    already, as ``n``."""
     m = mask(version)
-    masks = rows.groupBy(F.col("failed").bitwiseAND(F.lit(m)).alias("failed")).agg(F.count("*").alias("n"))
+    count = F.sum("n") if "n" in rows.columns else F.count("*")
+    masks = rows.groupBy(F.col("failed").bitwiseAND(F.lit(m)).alias("failed")).agg(count.alias("n"))
     rules = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(BIT[name]).cast("long").alias("bit")) for name in POLICIES[version]))
     each = masks.withColumn("r", F.explode(rules))
     hit = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
@@ -140,14 +147,22 @@ def ablation(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     )
 
 
+def ablations(rows: DataFrame) -> DataFrame:
+    """The ablation of every policy, with its ``version``; all from one aggregate over the distinct masks of the ledger."""
+    masks = rows.groupBy("failed").agg(F.count("*").alias("n"))
+    each = [ablation(masks, v).withColumn("version", F.lit(v)) for v in POLICIES]
+    return reduce(DataFrame.unionByName, each)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(table(spark, sf_dir, "documents")))
-    base = F.col("failed").bitwiseAND(F.lit(mask(BASE))) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
+    rows = stored_ledger(table(spark, sf_dir, "documents"))
+    for version in POLICIES:
+        rows = apply_policy(rows, version, f"kept_v{version}")
+    return rows.select("doc_id", *MEASURES, (~F.col(f"kept_v{BASE}")).alias("base_failed"), F.col(f"kept_v{CURRENT}").alias("kept"), *(f"kept_v{v}" for v in POLICIES), "failed")
 
 
 def op1_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablation(ledger(table(spark, sf_dir, "documents")))
+    return ablations(stored_ledger(table(spark, sf_dir, "documents")))
 
 
 LEDGER_SQL = r"""
@@ -173,10 +188,11 @@ f AS (
          + 64 * (2 * n_upper > n_letters)::INT + 128 * (2 * n_letters < word_chars)::INT AS BIGINT) AS failed
   FROM m)
 """
-SQL = LEDGER_SQL + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 247 = 0 AS kept, failed FROM f"
-ABLATION_SQL = LEDGER_SQL + (
-    "SELECT rule, CAST(bit AS BIGINT) AS bit, CAST(sum((failed & bit <> 0)::INT) AS BIGINT) AS n_failed, CAST(sum((failed & 247 = bit)::INT) AS BIGINT) AS n_only, CAST(sum((failed & 247 = 0)::INT) AS BIGINT) AS n_kept, "
-    "CAST(sum((failed & 247 & ~bit = 0)::INT) AS BIGINT) AS n_kept_without FROM f CROSS JOIN (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbol_heavy', 4), ('short_words', 16), ('long_words', 32), ('shouting', 64), ('few_letters', 128)) AS v(rule, bit) GROUP BY rule, bit"
-)
+SQL = LEDGER_SQL + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_letters, n_upper, failed & 3 <> 0 AS base_failed, failed & 247 = 0 AS kept,
+  failed & 3 = 0 AS kept_v1, failed & 247 = 0 AS kept_v2, failed & 255 = 0 AS kept_v3, failed FROM f"""
+ABLATION_SQL = LEDGER_SQL + """, p AS (SELECT * FROM (VALUES (1, 3), (2, 247), (3, 255)) AS v(version, m)),
+r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbol_heavy', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32), ('shouting', 64), ('few_letters', 128)) AS v(rule, bit))
+SELECT version, rule, CAST(bit AS BIGINT) AS bit, CAST(sum((failed & bit <> 0)::INT) AS BIGINT) AS n_failed, CAST(sum((failed & m = bit)::INT) AS BIGINT) AS n_only, CAST(sum((failed & m = 0)::INT) AS BIGINT) AS n_kept,
+  CAST(sum((failed & m & ~bit = 0)::INT) AS BIGINT) AS n_kept_without FROM f CROSS JOIN p JOIN r ON m & bit <> 0 GROUP BY version, rule, bit"""
 QUERIES = {"op1_quality_rules": op1_quality_rules, "ablation_quality_rules": op1_ablation}
 ORACLES = {"op1_quality_rules": SQL, "ablation_quality_rules": ABLATION_SQL}
