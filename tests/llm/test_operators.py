@@ -189,7 +189,7 @@ def test_ann(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 8), (1002, [1.0] * 7 + [None]), (1003, [float("nan")] * 8), (1004, [1.0] * 3), (None, [1.0] * 8)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = defaultdict(list)
-    for r in ann.nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), block=60, query_block=3).orderBy("query_id", "rank").collect():
+    for r in ann.nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), block=60).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     assert sorted(got) == [i for i in range(0, 400, 50)]
     hit = total = 0
@@ -220,6 +220,16 @@ def test_ann_tight_clusters_and_outliers(spark):
     assert got == {i: 5 for i, _ in x if i % 3 == 0 or i >= 1000}
 
 
+def test_ann_extreme_and_short_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [5e-324, 0.0]), (3, [-1e308, 1e308]), (4, [3.0, 4.0]), (5, [float("inf"), 1.0]), (6, [0.0, 0.0]), (4, [3.0, 4.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest_neighbours(vectors, vectors.where("vec_id IN (0, 3, 4)")).collect()}
+    assert got[0, 1] == (2, 1.0) and abs(got[0, 2][1] - math.sqrt(0.5)) < 1e-15 and got[0, 2][0] == 1 and len([1 for q, _ in got if q == 4]) == 4
+    assert [got[0, r][0] for r in (3, 4)] == [4, 4] and abs(got[3, 1][1] - 1 / math.sqrt(50)) < 1e-15
+    flat = spark.createDataFrame([(i, [float(x)]) for i, x in enumerate((3, -2, 5, 0))], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.nearest_neighbours(flat, flat.where("vec_id = 0")).orderBy("rank").collect()] == [(2, 1.0), (1, -1.0)]
+
+
 def test_traversal_is_in_order():
     rng = np.random.default_rng(2)
     a, b = rng.uniform(size=6), rng.uniform(size=5)

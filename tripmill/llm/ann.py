@@ -8,11 +8,14 @@ cells are reranked by their exact cosine in double precision.
 * Codebooks are fitted on at most ``sample`` rows (the smallest by hash); every row is indexed.
 * The budget is measured, not guessed: ``probes`` queries are compared with all rows, and the budget is the least that
   finds ``recall`` of their true neighbours. Vectors without structure need a large part of the index, others little.
-* Entries of a first centroid are dealt into blocks of about ``block`` rows by hash, queries into blocks too, so neither a
-  common vector nor many queries fill one task. A task answers a block of queries from a block of entries and keeps k.
-
-Vectors that are null, zero, of another length than the most, or hold null or non-finite components take no part. A query's own
-row is left out, and with it all rows of its vec_id; of queries that repeat a vec_id one is asked. Rows without vec_id take no part.
+* Entries of a first centroid are dealt into blocks of about ``block`` rows by hash, so a common vector fills no task. A block of
+  entries is held once, and all queries that visit it stream past it, so neither memory nor the copies of the index grow with
+  the number of queries. Each keeps its k best.
+
+Vectors are scaled by the power of two that brings their largest component near 1, which changes no cosine: so neither very large nor very
+small finite vectors drop out. Vectors that are null, zero, of another length than the most, or hold null or non-finite components take no
+part. A query's own row is left out, and with it all rows of its vec_id; of queries that repeat a vec_id one is asked. Rows without
+vec_id take no part. Vectors of one component have an empty second half.
 """
 
 from __future__ import annotations
@@ -21,13 +24,12 @@ import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_column, table
+from .common import Scratch, byte_column, small_slices, table
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -46,11 +48,9 @@ def packer(dim: int) -> Callable:
         for batch in batches:
             ids, lists = batch.column(0), batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            good = np.isfinite(flat).all(axis=1)
-            with np.errstate(over="ignore"):
-                size = np.einsum("ij,ij->i", flat, flat)
-            good &= (size > 0) & np.isfinite(size)
-            rows = flat[good]
+            most = np.abs(flat).max(axis=1)
+            good = np.isfinite(most) & (most > 0)
+            rows = np.ldexp(flat[good], -np.frexp(most[good])[1][:, None])
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["vec_id", "vec"])
 
     return pack
@@ -108,7 +108,7 @@ def top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, entries: np
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: DataFrame, *, k: int = 5, recall: float = 0.97, probes: int = 96, sample: int = 20_000, block: int = 40_000, query_block: int = 5_000
+    vectors: DataFrame, queries: DataFrame, *, k: int = 5, recall: float = 0.97, probes: int = 96, sample: int = 20_000, block: int = 20_000
 ) -> DataFrame:
     """(vec_id, embedding) twice -> query_id, rank (from 1), vec_id, score. Queries need not be among the vectors."""
     spark = vectors.sparkSession
@@ -116,10 +116,10 @@ def nearest_neighbours(
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shape = lambda df: df.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)")
     dim = shape(vectors).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dim is None or dim["d"] < 2:
+    if dim is None or dim["d"] < 1:
         return empty
     dim = dim["d"]
-    half = dim // 2
+    half = max(1, dim // 2)
     packed = lambda df: shape(df).where(F.size("embedding") == dim).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(packer(dim), "vec_id long, vec binary")
     entries = scratch.keep(packed(vectors), "vectors")
     asked = scratch.keep(packed(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec")), "queries")
@@ -171,7 +171,6 @@ def nearest_neighbours(
             held += int(sizes[cell]) - own_of[q].get(cell, 0)
     budget = max(k, int(np.quantile(needed, recall, method="higher")) + 1) if needed else n
 
-    q_blocks = -(-n_queries // query_block)
     blocks = np.maximum(1, -(-sizes.sum(axis=1) // block))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,37 +188,51 @@ def nearest_neighbours(
                         held += int(sizes[c1, c2]) - own.get((c1, c2), 0)
                         if held >= budget:
                             break
-                out += [(c1, s, q, vec, c2) for c1, c2 in seen.items() for s in range(blocks[c1])]
+                out += [(c1, s, 1, q, vec, c2) for c1, c2 in seen.items() for s in range(blocks[c1])]
                 if len(out) > 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
 
-    names, types = ["c1", "block", "query_id", "vec", "cells"], [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
-    visits = asked.mapInArrow(visit, "c1 int, block int, query_id long, vec binary, cells array<int>")
-    visits = visits.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
+    names, types = ["c1", "block", "asks", "id", "vec", "cells"], [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+    meeting = "c1 int, block int, asks int, id long, vec binary, cells array<int>"
+    visits = asked.mapInArrow(visit, meeting)
     per = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("c1") + 1)
-    held = index.withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), per).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-    def answer(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(e) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        vec, ask = np.frombuffer(b"".join(e["vec"]), np.float64).reshape(-1, dim), np.frombuffer(b"".join(q["vec"]), np.float64).reshape(-1, dim)
-        ids, asks, c2 = e["vec_id"].to_numpy(), q["query_id"].to_numpy(), e["c2"].to_numpy()
-        cells = q["cells"].tolist()
-        who, what = np.repeat(np.arange(len(q)), [len(c) for c in cells]), np.concatenate(cells)
-        parts = []
-        for c in np.unique(c2):
-            rows, some = np.flatnonzero(c2 == c), who[what == c]
-            if len(some):
-                parts.append(pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), top(asks[some], ask[some], ids[rows], vec[rows], k)))))
-        if not parts:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.concat(parts).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-
-    key = ["c1", "block", "q_block"]
-    found = held.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(answer, FOUND)
+    held = index.select("c1", F.pmod(F.xxhash64("vec_id", "vec"), per).cast("int").alias("block"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "vec", F.array("c2").alias("cells"))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by block: its entries come first and are held, then its queries stream past them."""
+        at, mine, entries_ = None, [], None
+        for whole in batches:
+            for batch in small_slices(whole, "vec"):
+                c1, block_, asks = (batch.column(i).to_numpy() for i in range(3))
+                edges = np.flatnonzero(np.r_[True, (c1[1:] != c1[:-1]) | (block_[1:] != block_[:-1]) | (asks[1:] != asks[:-1]), True])
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    part = batch.slice(i, j - i)
+                    if (c1[i], block_[i]) != at:
+                        at, mine, entries_ = (c1[i], block_[i]), [], None
+                    if not asks[i]:
+                        mine.append(part)
+                        continue
+                    if entries_ is None:
+                        table_ = pa.Table.from_batches(mine, whole.schema).combine_chunks()
+                        cell = table_.column("cells").combine_chunks().flatten().to_numpy() if len(mine) else np.zeros(0, np.int32)
+                        order = np.argsort(cell, kind="stable")
+                        vecs = matrix(table_.column("vec").combine_chunks(), dim) if len(mine) else np.zeros((0, dim))
+                        entries_ = cell[order], table_.column("id").to_numpy()[order], vecs[order]
+                    cell, ids, vecs = entries_
+                    asks_, ask, cells = part.column("id").to_numpy(), matrix(part.column("vec"), dim), part.column("cells")
+                    who, what = np.repeat(np.arange(len(part)), cells.value_lengths().to_numpy()), cells.flatten().to_numpy()
+                    for c in np.unique(what):
+                        a, b = np.searchsorted(cell, (c, c + 1))
+                        if a < b:
+                            some = who[what == c]
+                            q, v, s = top(asks_[some], ask[some], ids[a:b], vecs[a:b], k)
+                            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    met = held.union(visits).repartition("c1", "block").sortWithinPartitions("c1", "block", "asks")
+    found = met.mapInArrow(answer, FOUND)
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
