@@ -230,13 +230,17 @@ def placer(rows: np.ndarray) -> Callable:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer_file: str | None = None, buckets: int = 64, groups: int = 32) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer_file: str | None = None, bucket: int = 50_000, groups: int = 32) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. bucket: rows that are ranked in one window, about;
+    a length has as many buckets as it needs."""
     scratch = Scratch(docs.sparkSession, "pack")
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cutter(capacity, tokenizer_file), PIECES)
-    pieces = scratch.keep(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
-    counts = scratch.keep(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")  # at most capacity x buckets rows
-    rows = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity, groups)
+    pieces = scratch.keep(pieces, "pieces")
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    rows = plan(lengths, capacity, groups)
+    per = F.element_at(F.array(*(F.lit(-(-lengths.get(s, 1) // bucket)) for s in range(1, capacity + 1))), F.col("length").cast("int"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), per).cast("int"))
+    counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("length", "bucket", before.alias("before"))
     within = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32"))
