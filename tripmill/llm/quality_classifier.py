@@ -147,8 +147,8 @@ def measurer() -> Callable:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small_slices(whole, "text"):
-                x = features(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
+                x = features(batch.column(2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     return measure
 
@@ -159,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    got = rows.select("quality", "text").mapInArrow(measurer(), "quality int, x array<double>").collect()  # bounded by sample
+    # of rows that repeat a doc_id one is used, so the sample bounds what is collected
+    got = rows.select("doc_id", "quality", "text").mapInArrow(measurer(), "doc_id long, quality int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("r.*").collect()
     got.sort(key=lambda r: (r["quality"], r["x"]))
     return fit(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in got], float), **options)
 
