@@ -94,7 +94,7 @@ def sampled(buf: np.ndarray, offs: np.ndarray, prefix: np.ndarray, length: int,
 
 def sampler(length: int, cover: str) -> Callable:
     """Texts -> rows name, stretch, okey, spot (start * 2**16 + number of strings * 2**8 + distance of the place), kind. Kind 3:
-    its stretch occurs earlier in the same document."""
+    its stretch occurs earlier in the same slice of documents."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -112,9 +112,9 @@ def sampler(length: int, cover: str) -> Callable:
                 doc = np.searchsorted(offs, first, side="right") - 1
                 okey = batch.column(0).to_numpy(zero_copy_only=False)[doc]
                 spot = ((first - offs[doc]) << 16) | ((last - first + 1) << 8) | (place - first)
-                both = mix(stretch + mix(name + doc.astype(np.uint64)))
+                order = np.lexsort((spot, okey))  # a common passage is sent once a slice, not once a document
                 kind = np.full(len(place), 3, np.int32)
-                kind[np.unique(both, return_index=True)[1]] = 0
+                kind[order[np.unique(mix(stretch + mix(name))[order], return_index=True)[1]]] = 0
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(okey), pa.array(spot), pa.array(kind)], names=["name", "stretch", "okey", "spot", "kind"])
 
     return sample
@@ -243,6 +243,8 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, cover: str = "minimal", hot: int = 20_000) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    if not (MODULUS <= length <= 255 + TUPLE):
+        raise ValueError(f"length must be {MODULUS} to {255 + TUPLE}")  # a spot counts strings in eight bits
     scratch = Scratch(docs.sparkSession, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
