@@ -6,9 +6,11 @@ like the target. The models are matched: the same words, order and smoothing, an
 target's size, so that smoothing weighs alike in both.
 
 Every word and every pair of neighbouring words has a count of its own, under a 63-bit hash, whatever the size of the corpus.
-Documents are dealt by hash into slices of about ``SLICE`` bytes. A slice sends its distinct words and pairs with their counts
-to as many buckets, by the range of the hash; a bucket adds up and answers each slice with the sums of what it sent. A common word
-is one entry a slice, so no bucket is larger than the others, and nothing is collected or broadcast.
+Documents are dealt by hash into slices of about ``SLICE`` bytes. A slice sends its distinct words and pairs with their counts to
+buckets, by the range of the hash; a bucket adds up and answers each slice with the sums of what it sent. A common word is one entry a
+slice, so no bucket is larger than the others, and nothing is collected or broadcast. Empty messages are not sent, so there are
+never more of them than distinct keys of slices, however many slices meet however many buckets. The totals of the corpus
+(words of both models, distinct words) are aggregates of their own, three numbers.
 
 P(w | v) = (c(v, w) + strength * P(w)) / (c(v) + strength), P(w) = (c(w) + 1) / (words + distinct words + 1); c(v) counts v as a
 word, or texts for the start mark, which is one of the words here.
@@ -30,14 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, small_slices, table
+from .common import Scratch, byte_column, small_slices, table
 from .textkernel import LOWER, pair_hashes, word_hashes
 
 SLICE = 6 << 20
 START = np.uint64(0x27D4EB2F165667C4)
 ODD = np.uint64(1)
 SENT = "bucket int, slice int, keys binary, t binary, b binary"
-SUMS = "slice int, bucket int, t binary, b binary, words_t long, words_b long, used long"
+SUMS = "slice int, bucket int, t binary, b binary"
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
@@ -87,7 +89,7 @@ def unplanes(data: bytes) -> np.ndarray:
 
 
 def sender(n: int, *, counts: bool, asks: bool) -> Callable:
-    """counts: the slice is part of the corpus. asks: it wants an answer, so every bucket hears of it."""
+    """counts: the slice is part of the corpus. asks: it wants an answer."""
     schema = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("keys", pa.binary()), ("t", pa.binary()), ("b", pa.binary())])
 
     def send(key: tuple, docs: pa.Table, chosen: pa.Table) -> pa.Table:
@@ -95,7 +97,7 @@ def sender(n: int, *, counts: bool, asks: bool) -> Callable:
         if not counts:
             t, b = np.zeros_like(t), np.zeros_like(b)
         at = cuts(keys, n)
-        some = [i for i in range(n) if len(keys) and (asks or at[i] < at[i + 1])]
+        some = np.flatnonzero(np.diff(at)).tolist()
         columns = [[planes(x[at[i] : at[i + 1]]) for i in some] for x in (keys, t, b)]
         return pa.table([pa.array(some, pa.int32()), pa.array([key[0].as_py() if asks else -1] * len(some), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)
 
@@ -103,37 +105,52 @@ def sender(n: int, *, counts: bool, asks: bool) -> Callable:
 
 
 def add_up(sent: pa.Table) -> pa.Table:
-    """Of one bucket: to each slice the sums of its keys over all slices, and the bucket's words."""
+    """Of one bucket: to each slice the sums of its keys over all slices."""
     rows = [sent.column(c).to_pylist() for c in ("slice", "keys", "t", "b")]
     n = np.array([len(x) // 8 for x in rows[1]])
     keys, where = np.unique(np.concatenate([unplanes(x) for x in rows[1]]), return_inverse=True)
     t, b = (np.bincount(where, np.concatenate([unplanes(x) for x in c]), len(keys)).astype(np.int64) for c in rows[2:])
-    word = keys & ODD == 0
-    totals = int(t[word].sum()), int(b[word].sum()), int((b[word] > 0).sum())
     end = np.cumsum(n)
     out = [(s, planes(t[where[j - k : j]]), planes(b[where[j - k : j]])) for s, j, k in zip(rows[0], end.tolist(), n.tolist()) if s >= 0]
     bucket = sent.column("bucket")[0].as_py()
-    return pa.table(
-        [pa.array([o[0] for o in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2)), *(pa.array([x] * len(out), pa.int64()) for x in totals)],
-        names=["slice", "bucket", "t", "b", "words_t", "words_b", "used"],
-    )
+    return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2))], names=["slice", "bucket", "t", "b"])
 
 
-def scorer(strength: float) -> Callable:
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> doc_id, words; the first row of a slice of the batch also has the distinct words of the slice."""
+    for whole in batches:
+        for batch in small_slices(whole, "text"):
+            words, _, _, first = hashes(batch.column(1))
+            fresh = [np.unique(words).view(np.int64)] + [None] * (batch.num_rows - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(fresh, pa.list_(pa.int64()))], names=["doc_id", "n", "fresh"])
+
+
+def totals(models: "Models", scratch: Scratch) -> tuple[int, int, int]:
+    """Words of the target and of all documents, and distinct words; the start mark of a text is a word."""
+    rows = models.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, "doc_id long, n long, fresh array<long>")
+    rows = scratch.keep(rows, "counted")
+    words = lambda df: df.agg(F.sum(F.col("n") + (F.col("n") > 0).cast("long"))).first()[0] or 0
+    every = words(rows)
+    used = rows.select(F.explode("fresh").alias("word")).distinct().count() + int(every > 0)
+    of_target = words(rows.join(models.target, "doc_id", "left_semi"))
+    scratch.drop(rows)
+    return of_target, every, used
+
+
+def scorer(strength: float, words_t: int, words_b: int, used: int) -> Callable:
+    scale = words_t / words_b if words_t and words_b else 1.0
+
     def score(docs: pa.Table, sums: pa.Table) -> pa.Table:
         sums = sums.sort_by("bucket")
         counts = [np.concatenate([np.zeros(0), *(unplanes(x) for x in sums.column(c).to_pylist())]) for c in ("t", "b")]
-        words_t, words_b, used = (sum(sums.column(c).to_pylist()) for c in ("words_t", "words_b", "used"))
-        if words_t and words_b:
-            counts[1] *= words_t / words_b
-            words_b = words_t
+        counts[1] *= scale
         keys = slice_keys(docs, pa.array([], pa.int64()))[0]
         out = []
         for batch in pieces(docs):
             word, before, pair, first = hashes(batch.column(batch.schema.get_field_index("text")))
             n, means = np.diff(first), []
             word, before, pair = (np.searchsorted(keys, x) for x in (word, before, pair))
-            for c, total in zip(counts, (words_t, words_b)):
+            for c, total in zip(counts, (words_t, words_t or words_b)):  # the background is scaled to the target
                 loss = np.log(c[before] + strength) - np.log(c[pair] + strength * (c[word] + 1) / (total + used + 1))
                 upto = np.r_[0.0, np.cumsum(loss)]
                 means.append((upto[first[1:]] - upto[first[:-1]]) / np.maximum(n, 1))
@@ -177,13 +194,14 @@ def score_documents(docs: DataFrame, models: Models) -> DataFrame:
     def send(rows: DataFrame, **role) -> DataFrame:
         return rows.groupBy("slice").cogroup(dealt(models.target, F.col("doc_id")).groupBy("slice")).applyInArrow(sender(n, **role), SENT)
 
+    sizes = totals(models, Scratch(docs.sparkSession, "lm"))
     rows = texts(docs)  # read twice, shuffled once
     if docs is models.docs:
         sent = send(rows, counts=True, asks=True)
     else:
         sent = send(rows, counts=False, asks=True).union(send(texts(models.docs), counts=True, asks=False))
     sums = sent.groupBy("bucket").applyInArrow(add_up, SUMS).repartition(n, "slice")
-    return rows.groupBy("slice").cogroup(sums.groupBy("slice")).applyInArrow(scorer(models.strength), SCORED)
+    return rows.groupBy("slice").cogroup(sums.groupBy("slice")).applyInArrow(scorer(models.strength, *sizes), SCORED)
 
 
 def good_documents(labels: DataFrame) -> DataFrame:

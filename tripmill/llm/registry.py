@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+import corpus_pipeline
 
-MODULES = ("quality_rules", "license_scan", "quality_classifier", "ann", "packing", "mixing", "substring_dedup", "secret_scan", "near_dedup", "lm_scoring")
+from . import ann, license_scan, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup
 
-
-def _merged(name: str) -> dict:
-    out: dict = {}
-    for module in MODULES:
-        out.update(getattr(import_module(f"{__package__}.{module}"), name))
-    return out
+MODULES = (quality_rules, license_scan, quality_classifier, ann, packing, mixing, substring_dedup, secret_scan, near_dedup, lm_scoring)
 
 
 def queries() -> dict:
-    from corpus_pipeline import run
-
-    return _merged("QUERIES") | {"pipeline": run}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return _merged("ORACLES")
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
