@@ -1,4 +1,8 @@
-"""Trace and companion views as SQL over the driver tables; each text runs unchanged in Spark and DuckDB."""
+"""Trace and companion views as SQL over the driver tables; each text runs unchanged in Spark and DuckDB.
+
+A trip holds the lines of 750 orders and a plan the orders of one customer, so trips and plans grow in number with the tables and not in
+length. ``rough`` is the trace with values that the cleaning operators are for: missing, not finite, out of range, misspelt.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TRACE = """
 WITH b AS (
-  SELECT CAST(l_suppkey % 20 AS INT) AS trip_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+  SELECT CAST(floor(l_orderkey / 750) AS INT) AS trip_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
          CAST(l_quantity AS INT) AS q, CAST(round(l_discount * 100) AS INT) AS d,
          CAST(round(l_tax * 100) AS INT) AS x
   FROM lineitem),
@@ -29,7 +33,7 @@ k AS (
 SELECT trip_id, seq,
   CAST(1735689600000000 + CAST(seq AS BIGINT) * 100000 AS BIGINT) AS ts_us,
   (49000000000 + CAST(sum(dlat) OVER (PARTITION BY trip_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT)) / 1e9 AS lat,
-  (1000000000 + trip_id * 50000000 + CAST(sum(dlon) OVER (PARTITION BY trip_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT)) / 1e9 AS lon,
+  (1000000000 + trip_id % 2000 * 50000000 + CAST(sum(dlon) OVER (PARTITION BY trip_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT)) / 1e9 AS lon,
   v_cms / 100.0e0 AS speed,
   CASE WHEN trip_id % 6 <> 0 AND seq BETWEEN 120 AND 129 THEN 1.5e0 WHEN trip_id % 6 <> 1 AND n - seq BETWEEN 131 AND 140 THEN -1.6e0
        WHEN trip_id % 3 <> 0 AND c BETWEEN 1500 AND 1509 THEN -3.5e0 WHEN trip_id % 3 <> 1 AND c BETWEEN 1550 AND 1559 THEN 3.2e0
@@ -48,7 +52,7 @@ SELECT trip_id, seq,
 FROM k
 """
 ROAD_NODES = """
-SELECT CAST(row_number() OVER (ORDER BY trip_id, seq) AS BIGINT) AS node_id,
+SELECT CAST(trip_id AS BIGINT) * 1000000 + seq AS node_id,
        lat + (seq / 50 % 7 - 3) * 1e-5 AS lat, lon + (seq / 50 % 5 - 2) * 1e-5 AS lon,
        coalesce(osm_highway, 'unknown') AS highway
 FROM trace WHERE seq % 50 = 0
@@ -76,11 +80,21 @@ SELECT plan_id, stop_seq, stop_id, 49.0e0 + (o_orderkey * 7919 % 100000) / 1e6 A
        CASE WHEN stop_seq = 0 THEN 0 ELSE CAST(60 * (o_orderkey % 5) AS INT) END AS service_s,
        CASE WHEN stop_seq > 0 AND o_orderkey % 3 = 0
             THEN 1735689600 + 600 * CAST(stop_seq AS BIGINT) + o_orderkey % 3000 END AS tw_start_s
-FROM (SELECT o_orderkey, CAST(o_custkey % 50 AS INT) AS plan_id, concat('S', CAST(o_orderkey AS STRING)) AS stop_id,
-             CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS INT) - 1 AS stop_seq
+FROM (SELECT o_orderkey, CAST(o_custkey AS INT) AS plan_id, concat('S', CAST(o_orderkey AS STRING)) AS stop_id,
+             CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) - 1 AS stop_seq
       FROM orders) o
 """
-OVER_TRACE = {"road_nodes": ROAD_NODES, "weather": WEATHER, "dem": DEM, "zones": ZONES}
+ROUGH = """
+SELECT trip_id, seq, CASE WHEN seq % 97 = 5 THEN NULL ELSE ts_us END AS ts_us,
+  CASE WHEN seq % 89 = 7 THEN NULL WHEN seq % 83 = 11 THEN 91.5e0 WHEN seq % 79 = 13 THEN CAST('Infinity' AS DOUBLE) ELSE lat END AS lat,
+  CASE WHEN seq % 73 = 17 THEN -200e0 WHEN seq % 71 = 19 THEN CAST('NaN' AS DOUBLE) ELSE lon END AS lon,
+  CASE WHEN seq % 67 = 23 THEN -4e0 WHEN seq % 61 = 29 THEN 300e0 WHEN seq % 59 = 31 THEN CAST('-Infinity' AS DOUBLE) ELSE speed END AS speed,
+  CASE WHEN seq % 53 = 3 THEN 99e0 WHEN seq % 47 = 5 THEN NULL WHEN seq % 43 = 5 THEN CAST('NaN' AS DOUBLE) ELSE acc_x END AS acc_x,
+  CASE WHEN seq % 41 = 7 THEN -99e0 ELSE acc_y END AS acc_y, CASE WHEN seq % 37 = 9 THEN -99e0 WHEN seq % 41 = 9 THEN 17.5e0 ELSE acc_z END AS acc_z, gyro_x, gyro_y, CASE WHEN seq % 31 = 8 THEN NULL ELSE gyro_z END AS gyro_z,
+  CASE WHEN seq % 29 = 1 THEN '  ' WHEN seq % 23 = 2 THEN ' freinage ' WHEN seq % 19 = 3 THEN 'STOP' WHEN seq % 17 = 4 THEN 'freinage_final' ELSE event END AS event, osm_highway
+FROM trace
+"""
+OVER_TRACE = {"road_nodes": ROAD_NODES, "weather": WEATHER, "dem": DEM, "zones": ZONES, "rough": ROUGH}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str = "trace") -> DataFrame:
@@ -94,7 +108,7 @@ def view(spark: SparkSession, sf_dir: str, name: str = "trace") -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """The SQL of a query after the definitions of the views that it reads."""
-    ctes = [f"trace AS ({TRACE})"] if names != ("delivery_plan",) else []
+    ctes = [f"trace AS MATERIALIZED ({TRACE})"] if names != ("delivery_plan",) else []
     ctes += [f"{n} AS ({PLAN if n == 'delivery_plan' else OVER_TRACE[n]})" for n in names if n != "trace"]
     own = sql.strip()
     head, rest = ("WITH RECURSIVE ", own[len("WITH RECURSIVE ") :]) if own.startswith("WITH RECURSIVE ") else ("WITH ", own[len("WITH ") :] if own.startswith("WITH ") else None)
