@@ -25,17 +25,25 @@ def _range(c: str, frame) -> Column:
     return F.max(c).over(frame) - F.min(c).over(frame)
 
 
-def detect_speed_bump(df: DataFrame, acc: float = 4.0, gyro: float = 6.0, window: int = 8, pause: int = 20, axis: str = "gyro_z") -> DataFrame:
+def swings(acc: float, gyro: float, axis: str):
     """acc_z swings to both sides and the gyroscope turns, within one window."""
-    return spaced(window_hits(df, window, lambda f: (F.max("acc_z").over(f) >= acc) & (F.min("acc_z").over(f) <= -acc) & (_range(axis, f) >= gyro)), pause)
+    return lambda f: (F.max("acc_z").over(f) >= acc) & (F.min("acc_z").over(f) <= -acc) & (_range(axis, f) >= gyro)
+
+
+def knocks(acc: float, gyro: float):
+    return lambda f: (F.max("acc_z").over(f) >= acc) & (F.greatest(*(_range(c, f) for c in ("gyro_x", "gyro_y", "gyro_z"))) >= gyro)
+
+
+def detect_speed_bump(df: DataFrame, acc: float = 4.0, gyro: float = 6.0, window: int = 8, pause: int = 20, axis: str = "gyro_z") -> DataFrame:
+    return spaced(window_hits(df, window, swings(acc, gyro, axis)), pause)
 
 
 def detect_pothole(df: DataFrame, acc: float = 5.0, gyro: float = 3.0, window: int = 8, pause: int = 20, axis: str = "gyro_x") -> DataFrame:
-    return detect_speed_bump(df, acc, gyro, window, pause, axis)
+    return spaced(window_hits(df, window, swings(acc, gyro, axis)), pause)
 
 
 def detect_curb(df: DataFrame, acc: float = 6.0, gyro: float = 2.0, window: int = 6, pause: int = 20) -> DataFrame:
-    return spaced(window_hits(df, window, lambda f: (F.max("acc_z").over(f) >= acc) & (F.greatest(*(_range(c, f) for c in ("gyro_x", "gyro_y", "gyro_z"))) >= gyro)), pause)
+    return spaced(window_hits(df, window, knocks(acc, gyro)), pause)
 
 
 def detect_braking(df: DataFrame, below: float = -3.0, window: int = 6, pause: int = 20) -> DataFrame:
@@ -50,12 +58,19 @@ def detect_door_open(df: DataFrame, turn: float = 50.0, window: int = 6, pause:
     return spaced(window_hits(df, window, lambda f: _range("gyro_z", f) >= turn), pause)
 
 
-DETECTORS = {"speed_bump": detect_speed_bump, "pothole": detect_pothole, "curb": detect_curb, "braking": detect_braking, "acceleration": detect_acceleration, "door_open": detect_door_open}
+#: Window in rows and condition of each detector, with the defaults of its function.
+DETECTORS = {
+    "speed_bump": (8, swings(4.0, 6.0, "gyro_z")), "pothole": (8, swings(5.0, 3.0, "gyro_x")), "curb": (6, knocks(6.0, 2.0)), "braking": (6, lambda f: F.max("acc_x").over(f) < -3.0),
+    "acceleration": (6, lambda f: F.min("acc_x").over(f) > 2.5), "door_open": (6, lambda f: _range("gyro_z", f) >= 50.0),
+}
 
 
-def window_events(df: DataFrame) -> DataFrame:
-    """All hits of the six window detectors: trip_id, seq, detector."""
-    return reduce(DataFrame.unionByName, (fn(df).withColumn("detector", F.lit(name)) for name, fn in DETECTORS.items()))
+def window_events(df: DataFrame, pause: int = 20) -> DataFrame:
+    """All hits of the six window detectors: trip_id, seq, detector. One pass: all conditions over one sorted trace, then the hits alone."""
+    last = F.count("*").over(trip())
+    hits = [F.when(condition(ordered().rowsBetween(0, window - 1)) & (F.col("seq") < last - window), name) for name, (window, condition) in DETECTORS.items()]
+    marked = df.select("trip_id", "seq", F.array_compact(F.array(*hits)).alias("_hits")).where(F.size("_hits") > 0)
+    return spaced(marked.select("trip_id", "seq", F.explode("_hits").alias("detector")), pause, "detector").select("trip_id", "seq", "detector")
 
 
 def standstills(df: DataFrame, below: float = 0.1) -> DataFrame:
