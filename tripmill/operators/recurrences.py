@@ -10,8 +10,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripmill.functions.labels import EVENT_RULES, is_blank
 from tripmill.functions.windows import islands
@@ -20,16 +22,17 @@ from tripmill.operators.kinematics import cumulative_distance, dt_s, gps_speed
 
 
 def _per_trip(df: DataFrame, columns: list[str], out: dict[str, str], fn: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:
-    """Applies fn to each trip's ``columns`` in order of seq and joins its results back by row."""
-    schema = "trip_id int, seq int, " + ", ".join(f"{c} {t}" for c, t in out.items())
+    """Applies fn to each trip's ``columns`` in order of seq; its results replace columns or come last. Keys may be of any type. The other
+    columns travel along as Arrow data that no Python value is made of, so one shuffle does and nothing is joined back."""
+    fields = [f for f in df.schema.fields if f.name not in out]
+    schema = T.StructType([*fields, *(T.StructField(c, T._parse_datatype_string(t)) for c, t in out.items())])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        return pd.DataFrame({"trip_id": rows["trip_id"], "seq": rows["seq"], **fn(rows)})
+    def run(trip: pa.Table) -> pa.Table:
+        trip = trip.sort_by("seq")
+        found = fn(trip.select(columns).to_pandas())
+        return pa.table([*(trip.column(f.name) for f in fields), *(pa.array(np.asarray(found[c], float), from_pandas=True) for c in out)], names=schema.names)
 
-    need = df.select(F.col("trip_id").cast("int"), F.col("seq").cast("int"), *(c for c in columns if c not in ("trip_id", "seq")))
-    done = need.groupBy("trip_id").applyInPandas(run, schema)
-    return df.drop(*out).join(done, ["trip_id", "seq"])
+    return df.groupBy("trip_id").applyInArrow(run, schema)
 
 
 def ema(df: DataFrame, c: str = "speed", alpha: float = 0.3, out: str = "speed_ema") -> DataFrame:
@@ -171,19 +174,20 @@ def smooth_stops(df: DataFrame, in_s: float = 2.0, out_s: float = 2.0, v_in: flo
     return _per_trip(df, ["speed"], {"speed": "double"}, fn)
 
 
-def spaced(hits: DataFrame, least: int, *keys: str) -> DataFrame:
-    """Of candidate rows (trip_id, keys, seq) the greedy choice: a row at least ``least`` samples after the last one kept."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hits.select("trip_id", *keys, "seq").schema.fields)
+def spaced(hits: DataFrame, least: int, *keys: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of candidate rows (trip_id, keys, seq, columns to carry) the greedy choice: a row at least ``least`` samples after the last one
+    kept; of one sample the first by the carried columns."""
+    schema = hits.select("trip_id", *keys, "seq", *carry).schema
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
+        rows = rows.sort_values(["seq", *carry])
         kept, last = [], None
         for s in rows["seq"]:
             kept.append(last is None or s - last >= least)
             last = s if kept[-1] else last
         return rows[kept]
 
-    return hits.select("trip_id", *keys, "seq").groupBy("trip_id", *keys).applyInPandas(run, schema)
+    return hits.select("trip_id", *keys, "seq", *carry).groupBy("trip_id", *keys).applyInPandas(run, schema)
 
 
 def dedupe_labels_window(df: DataFrame, window: int) -> DataFrame:
