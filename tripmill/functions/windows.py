@@ -75,3 +75,8 @@ def spans(df: DataFrame, flag: Column, *keys: str) -> DataFrame:
     """One row a run: trip_id, run_id, start_seq, end_seq (inclusive), n_rows."""
     runs = islands(df, flag).where("run_id IS NOT NULL")
     return runs.groupBy("trip_id", *keys, "run_id").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("n_rows"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the cluster's folder; without one (tests) they are kept by Spark with their lineage."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

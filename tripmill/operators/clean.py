@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripmill.functions.labels import ALIASES, is_blank, lookup
+from tripmill.functions.labels import ALIASES, POINT_EVENTS, is_blank, lookup
 from tripmill.functions.windows import bfill, ffill, islands, lag, so_far, spans, trip
 from tripmill.operators.kinematics import clip, dt_s, gps_speed, step_m
 
@@ -79,9 +79,10 @@ def enforce_immobility(df: DataFrame, labels: tuple[str, ...] = ("stop", "wait")
     """Every run of stop or wait labels stands still at its median position."""
     mask = F.lower("event").rlike("|".join(labels))
     df = islands(df, mask, "_run")
-    run = W.partitionBy("trip_id", "_run")
     still = F.col("_run").isNotNull()
-    df = df.withColumns({f"_m_{c}": F.median(c).over(run) for c in ("lat", "lon")})
+    # medians of the runs alone: a window would sort the moving rows of each trip for nothing
+    places = df.where(still).groupBy("trip_id", "_run").agg(*(F.median(c).alias(f"_m_{c}") for c in ("lat", "lon")))
+    df = df.join(places, ["trip_id", "_run"], "left")
     df = df.withColumns({c: F.when(still, F.col(f"_m_{c}")).otherwise(F.col(c)) for c in ("lat", "lon")})
     zero = [c for c in ("speed", "speed_kmh", "step_m", "distance_m", "delta_m") if c in df.columns]
     return df.withColumns({c: F.when(still, 0.0).otherwise(F.col(c)) for c in zero}).drop("_run", "_m_lat", "_m_lon")
@@ -209,6 +210,37 @@ def lock_mid_stops(df: DataFrame, head: int = 10, tail: int = 10, blend: int = 5
 
 
 
+def fill_imu_defaults(df: DataFrame, axes: tuple[str, ...] = ("acc_x", "acc_y", "acc_z", "gyro_x", "gyro_y", "gyro_z")) -> DataFrame:
+    """Accelerations and rates that are missing, no number or not finite become 0, missing labels ''."""
+
+    def number(c: str):
+        x = F.expr(f"try_cast(`{c}` AS double)") if c in df.columns else F.lit(None).cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x).otherwise(0.0)
+
+    event = F.coalesce("event", F.lit("")) if "event" in df.columns else F.lit("")
+    return df.withColumns({**{c: number(c) for c in axes}, "event": event})
+
+
+def thin_consecutive(df: DataFrame, labels: tuple[str, ...] = POINT_EVENTS) -> DataFrame:
+    """Clears a point event directly after the same event; of a run of equal ones each looks at the label as it was."""
+    again = F.col("event").isin(list(labels)) & (lag("event") == F.col("event")) & (lag("seq") == F.col("seq") - 1)
+    return df.withColumn("_again", F.coalesce(again, F.lit(False))).withColumn("event", F.when(~F.col("_again"), F.col("event"))).drop("_again")
+
+
+def iso_utc(c) -> "F.Column":
+    """Microseconds since the epoch as YYYY-MM-DDTHH:MM:SS.ffffffZ, whatever the session's time zone."""
+    us = F.col(c) if isinstance(c, str) else c
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / 86_400_000_000).cast("int")), "yyyy-MM-dd")
+    rest = F.pmod(us, F.lit(86_400_000_000))
+    part = lambda size, most: F.floor(rest / size) % most
+    return F.format_string("%sT%02d:%02d:%02d.%06dZ", day, part(3_600_000_000, 24).cast("int"), part(60_000_000, 60).cast("int"), part(1_000_000, 60).cast("int"), (rest % 1_000_000).cast("int"))
+
+
+def altitude_alias(df: DataFrame) -> DataFrame:
+    """altitude_m from altitude, where there is none yet."""
+    return df.withColumn("altitude_m", F.col("altitude")) if "altitude" in df.columns and "altitude_m" not in df.columns else df
+
+
 def number_deliveries(df: DataFrame, prefix: str = "stop_", flag: str = "delivery") -> DataFrame:
     """Rows with the flag get the labels stop_001, stop_002, ... in order."""
     on = F.coalesce(F.col(flag), F.lit(False))

@@ -1,7 +1,8 @@
 """Enrichment joins: lookups, as-of, nearest, containment and intervals, all as equi-joins on a key or a grid cell.
 
 Nearest searches take candidates from a row's cell and its neighbours only; the cell is at least as wide as the search radius, so
-nothing within the radius is missed. A side is broadcast where Spark knows it to be small, never by hint.
+nothing within the radius is missed. Searches without a radius widen the cell for the rows that are still without an answer
+(``nearest_points``). A side is broadcast where Spark knows it to be small, never by hint.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tripmill.functions import geo
 from tripmill.functions.labels import EVENT_CATEGORIES, HIGHWAY_TO_ROAD_TYPE, lookup
-from tripmill.functions.windows import bfill, centred, ffill, gradient
+from tripmill.functions.windows import bfill, centred, ffill, gradient, written
 from tripmill.operators.kinematics import step_m
+from tripmill.operators.recurrences import spaced
+
 
 def highway_to_road_type(df: DataFrame, c: str = "osm_highway") -> DataFrame:
     """The road type of a highway tag: 'unknown' without one, 'other' for one that is not in the table."""
@@ -67,16 +70,40 @@ def neighbours(df: DataFrame, size: float, lat: str = "lat", lon: str = "lon") -
     return df.withColumn("_cell", F.explode(around)).select("*", "_cell.*").drop("_cell")
 
 
+def nearest_points(here: DataFrame, points: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], size: float, same: tuple[str, ...] = (), when=None, metric: str = "degrees") -> DataFrame:
+    """For each row of ``here`` (keys, lat, lon, columns ``same``) the nearest of ``points`` (_lat, _lon, values, same), at any distance:
+    keys, n (d, then the values in the order that breaks ties). ``same`` must agree and ``when`` hold.
+
+    The cell grows eightfold for the rows without a point within its width, until it spans the globe; few rows go that far.
+    """
+    found = None
+    while True:
+        cells = {"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)}
+        pairs = here.withColumns(cells).join(neighbours(points, size, "_lat", "_lon"), [*same, "cell_lat", "cell_lon"])
+        d = F.sqrt(F.pow(F.col("lat") - F.col("_lat"), 2) + F.pow(F.col("lon") - F.col("_lon"), 2)) if metric == "degrees" else geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+        # what is certainly within the neighbouring cells: a degree of longitude shrinks with the latitude
+        reach = F.lit(size) if metric == "degrees" else 110_000.0 * size * F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(89.9))))
+        pairs = pairs.withColumn("d", F.round(d, 12 if metric == "degrees" else 6))
+        pairs = pairs.where(when) if when is not None else pairs
+        pairs = pairs.where(F.col("d") <= reach) if size < 360 else pairs
+        best = written(pairs.groupBy(*keys).agg(F.min(F.struct("d", *values)).alias("n")))
+        found = best if found is None else found.union(best)
+        if size >= 360:
+            return found
+        here = written(here.join(best.select(*keys), list(keys), "left_anti"))
+        if here.isEmpty():
+            return found
+        size *= 8
+
+
 def nearest_road(df: DataFrame, nodes: DataFrame, size: float = 0.002) -> DataFrame:
-    """The nearest node in degree space within a cell's width: osm_highway_near, node_id, nearest_distance_m (true metres); ties to
-    the smaller node_id. Rows without a node so near keep nulls: search again with a larger size."""
-    there = neighbours(nodes.select("node_id", F.col("lat").alias("_nlat"), F.col("lon").alias("_nlon"), "highway"), size, "_nlat", "_nlon")
-    here = df.select("trip_id", "seq", "lat", "lon").withColumns({"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)})
-    d2 = F.pow(F.col("lat") - F.col("_nlat"), 2) + F.pow(F.col("lon") - F.col("_nlon"), 2)
-    best = here.join(there, ["cell_lat", "cell_lon"]).where(d2 <= size * size).groupBy("trip_id", "seq", "lat", "lon").agg(F.min(F.struct(F.round(F.sqrt(d2), 12).alias("d"), "node_id", "highway", "_nlat", "_nlon")).alias("n"))
-    metres = geo.haversine(F.col("lat"), F.col("lon"), F.col("n._nlat"), F.col("n._nlon"))
-    found = best.select("trip_id", "seq", F.col("n.node_id").alias("node_id"), F.col("n.highway").alias("highway_near"), metres.alias("nearest_distance_m"))
-    return df.join(found, ["trip_id", "seq"], "left")
+    """The nearest node in degree space, however far: highway_near, node_id, nearest_distance_m (true metres); ties to the smaller
+    node_id. size: the cell of the first search, in degrees."""
+    points = nodes.select("node_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "highway")
+    best = nearest_points(df.select("trip_id", "seq", "lat", "lon"), points, ("trip_id", "seq"), ("node_id", "highway", "_lat", "_lon"), size)
+    out = df.join(best, ["trip_id", "seq"], "left")
+    metres = geo.haversine(F.col("lat"), F.col("lon"), F.col("n._lat"), F.col("n._lon"))
+    return out.withColumns({"node_id": F.col("n.node_id"), "highway_near": F.col("n.highway"), "nearest_distance_m": metres}).drop("n")
 
 
 def node_highway(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -86,18 +113,16 @@ def node_highway(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(first("src", "_out"), "node_id", "left").join(first("dst", "_in"), "node_id", "left").withColumn("highway", F.coalesce("_out", "_in", F.lit("unknown"))).drop("_out", "_in")
 
 
-def weather_join(df: DataFrame, weather: DataFrame, within_us: int = 1_800_000_000) -> DataFrame:
-    """Of the weather points within half an hour the nearest in degrees, then the earliest; its values or nulls. The time range
-    is a join on its bucket and the two beside."""
+def weather_join(df: DataFrame, weather: DataFrame, within_us: int = 1_800_000_000, size: float = 0.05) -> DataFrame:
+    """Of the weather points within half an hour the nearest in degrees, then the earliest; its values or nulls. The search is on
+    the bucket of the time, with the two beside, and a spatial cell that widens from ``size``."""
     values = [c for c in weather.columns if c not in ("ts_us", "lat", "lon")]
     bucket = lambda c: F.floor(F.col(c) / within_us)
-    there = weather.select(F.col("ts_us").alias("_wt"), F.col("lat").alias("_wlat"), F.col("lon").alias("_wlon"), *values)
+    there = weather.select(F.col("ts_us").alias("_wt"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *values)
     there = there.withColumn("_bucket", F.explode(F.array(*(bucket("_wt") + i for i in (-1, 0, 1)))))
     here = df.select("trip_id", "seq", "ts_us", "lat", "lon").withColumn("_bucket", bucket("ts_us"))
-    near = here.join(there, "_bucket").where(F.abs(F.col("_wt") - F.col("ts_us")) <= within_us)
-    d = F.round(F.sqrt(F.pow(F.col("lat") - F.col("_wlat"), 2) + F.pow(F.col("lon") - F.col("_wlon"), 2)), 12)
-    best = near.groupBy("trip_id", "seq").agg(F.min(F.struct(d.alias("d"), "_wt", *values)).alias("w")).select("trip_id", "seq", *(F.col(f"w.{v}").alias(v) for v in values))
-    return df.join(best, ["trip_id", "seq"], "left")
+    best = nearest_points(here, there, ("trip_id", "seq"), ("_wt", *values), size, ("_bucket",), F.abs(F.col("_wt") - F.col("ts_us")) <= within_us)
+    return df.join(best.select("trip_id", "seq", *(F.col(f"n.{v}").alias(v) for v in values)), ["trip_id", "seq"], "left")
 
 
 def zone_join(df: DataFrame, zones: DataFrame, size: float = 0.05, default: str = "inconnu") -> DataFrame:
@@ -116,29 +141,56 @@ def grid_zone(df: DataFrame, size: float = 0.01) -> DataFrame:
     return df.withColumn("grid_id", F.concat_ws(":", geo.cell(F.col("lat"), size), geo.cell(F.col("lon"), size)))
 
 
-def elevation_join(df: DataFrame, dem: DataFrame, cells: int = 1000, smooth: int = 21) -> DataFrame:
-    """altitude of the sample's DEM cell, filled along the trip; altitude_smoothed, slope_percent and altitude_m (float)."""
+def elevation_join(df: DataFrame, dem: DataFrame, cells: int = 1000, smooth: int = 21, mode: str = "nearest") -> DataFrame:
+    """altitude at the sample, filled along the trip; altitude_smoothed, slope_percent and altitude_m (float). nearest: the value of
+    its DEM cell. bilinear: between its cell's corner value and those of the three cells beyond, where all four are known, else
+    that of its cell. A DEM of None leaves the samples as they are."""
+    if dem is None:
+        return df
     df = df.withColumns({"lat_i": F.floor(F.col("lat") * cells).cast("int"), "lon_i": F.floor(F.col("lon") * cells).cast("int")})
-    df = df.join(dem.select("lat_i", "lon_i", F.col("altitude_m").alias("altitude")), ["lat_i", "lon_i"], "left").drop("lat_i", "lon_i")
+    corner = lambda i, j: F.max(F.when((F.col("_i") == i) & (F.col("_j") == j), F.col("altitude_m"))).alias(f"_z{i}{j}")
+    spread = F.explode(F.array(*(F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j")) for i in (0, 1) for j in (0, 1))))
+    grid = dem.select("lat_i", "lon_i", "altitude_m", spread.alias("c")).select((F.col("lat_i") - F.col("c._i")).alias("lat_i"), (F.col("lon_i") - F.col("c._j")).alias("lon_i"), "altitude_m", "c._i", "c._j")
+    grid = grid.groupBy("lat_i", "lon_i").agg(*(corner(i, j) for i in (0, 1) for j in (0, 1))) if mode == "bilinear" else dem.select("lat_i", "lon_i", F.col("altitude_m").alias("_z00"))
+    df = df.join(grid, ["lat_i", "lon_i"], "left")
+    altitude = F.col("_z00")
+    if mode == "bilinear":
+        a, b = F.col("lat") * cells - F.col("lat_i"), F.col("lon") * cells - F.col("lon_i")
+        altitude = F.coalesce((1 - a) * ((1 - b) * F.col("_z00") + b * F.col("_z01")) + a * ((1 - b) * F.col("_z10") + b * F.col("_z11")), altitude)
+    df = df.withColumn("altitude", altitude).drop("lat_i", "lon_i", "_z00", "_z01", "_z10", "_z11")
     df = df.withColumn("altitude", F.when(F.col("altitude").between(-450, 9000), F.col("altitude")))
     df = df.withColumn("altitude", F.coalesce(ffill("altitude"), bfill("altitude"))).withColumn("altitude_smoothed", F.avg("altitude").over(centred(smooth)))
     df = step_m(df, "_ds").withColumn("_dz", gradient("altitude_smoothed"))
     return df.withColumn("slope_percent", F.when(F.col("_ds") > 0, 100 * F.col("_dz") / F.col("_ds")).otherwise(0.0)).withColumn("altitude_m", F.col("altitude").cast("float")).drop("_ds", "_dz")
 
 
-def snap_points(df: DataFrame, pois: DataFrame, most_m: float = 100.0) -> DataFrame:
-    """(poi_id, trip_id, lat, lon) -> the closest sample of the trip within ``most_m``: poi_id, trip_id, seq, distance_m."""
+def snap_points(df: DataFrame, pois: DataFrame, most_m: float = 100.0, least: int = 800) -> DataFrame:
+    """(poi_id, trip_id, lat, lon) -> the closest sample of the trip within ``most_m``, if at least ``least`` samples after the last
+    one accepted in its trip: poi_id, trip_id, seq, distance_m."""
     size = most_m / 60_000  # a degree of longitude is over 60 km up to 57 degrees; finer than that the cell is still wide enough
     there = neighbours(pois.select("poi_id", "trip_id", F.col("lat").alias("_plat"), F.col("lon").alias("_plon")), size, "_plat", "_plon")
     here = df.select("trip_id", "seq", "lat", "lon").withColumns({"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)})
     d = F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon")), 6)
     near = here.join(there, ["trip_id", "cell_lat", "cell_lon"]).withColumn("distance_m", d).where(F.col("distance_m") <= most_m)
-    return near.groupBy("poi_id", "trip_id").agg(F.min(F.struct("distance_m", "seq")).alias("b")).select("poi_id", "trip_id", "b.seq", "b.distance_m")
+    hits = near.groupBy("poi_id", "trip_id").agg(F.min(F.struct("distance_m", "seq")).alias("b")).select("poi_id", "trip_id", "b.seq", "b.distance_m")
+    return spaced(hits, least, carry=("poi_id", "distance_m")).select("poi_id", "trip_id", "seq", "distance_m")
 
 
 def anchor_at_time(df: DataFrame, at: DataFrame) -> DataFrame:
-    """(trip_id, t_us) -> the nearest sample: trip_id, t_us, seq."""
-    return df.join(at, "trip_id").groupBy("trip_id", "t_us").agg(F.min(F.struct(F.abs(F.col("ts_us") - F.col("t_us")).alias("d"), "seq")).getField("seq").alias("seq"))
+    """(trip_id, t_us) -> the nearest sample: trip_id, t_us, seq; ties to the smaller seq. Samples and times in one window."""
+    first = df.groupBy("trip_id", "ts_us").agg(F.min("seq").alias("seq")).select("trip_id", F.col("ts_us").alias("t"), F.struct("ts_us", "seq").alias("_e"))
+    both = first.unionByName(at.select("trip_id", F.col("t_us").alias("t"), "t_us"), allowMissingColumns=True)
+    upto = lambda *order: W.partitionBy("trip_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumns({"_b": F.last("_e", True).over(upto("t", F.col("_e").isNull())), "_a": F.last("_e", True).over(upto(F.desc("t"), F.col("_e").isNull()))})
+    ranked = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.ts_us") - F.col("t_us")).alias("d"), F.col(f"{c}.seq").alias("seq")))
+    return both.where("t_us IS NOT NULL").select("trip_id", "t_us", F.least(ranked("_b"), ranked("_a"))["seq"].alias("seq"))
+
+
+def anchor_at_geo(df: DataFrame, at: DataFrame, size: float = 0.002) -> DataFrame:
+    """(trip_id, anchor_id, lat, lon) -> the sample of the trip nearest in metres, however far: trip_id, anchor_id, seq, distance_m."""
+    samples = df.select("trip_id", "seq", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    best = nearest_points(at.select("trip_id", "anchor_id", "lat", "lon"), samples, ("trip_id", "anchor_id"), ("seq",), size, ("trip_id",), metric="metres")
+    return best.select("trip_id", "anchor_id", F.col("n.seq").alias("seq"), F.col("n.d").alias("distance_m"))
 
 
 def flag_intervals(df: DataFrame, intervals: DataFrame) -> DataFrame:
