@@ -17,7 +17,9 @@ def _median(c: Column, when: Column | None = None) -> Column:
 
 
 def checklist(df: DataFrame, hz: float = 10.0) -> DataFrame:
-    """Cadence, sign and ends of the speed, variability, and lateral consistency; speed in m/s."""
+    """Cadence, sign and ends of the speed, variability, and lateral consistency; speed in m/s. In trips whose speed is 0 throughout the
+    sign is that of speed_kmh, if there is such a column."""
+    kmh = F.col("speed_kmh") / 3.6 if "speed_kmh" in df.columns else F.lit(None).cast("double")
     df = df.withColumn("_dt", (F.col("ts_us") - lag("ts_us")) / 1e6).withColumn("_n", F.count("*").over(trip()))
     v, gz, ay = F.coalesce("speed", F.lit(0.0)), F.coalesce("gyro_z", F.lit(0.0)), F.coalesce("acc_y", F.lit(0.0))
     tail = max(1, round(hz))
@@ -27,7 +29,7 @@ def checklist(df: DataFrame, hz: float = 10.0) -> DataFrame:
     radius_ay = v * v / F.greatest(F.abs(ay), F.lit(1e-3))
     share = lambda c, when: F.avg(F.when(when, c.cast("int")))
     out = df.groupBy("trip_id").agg(
-        _median(F.col("_dt"), F.col("_dt") > 0).alias("dt_median_s"), F.min(v).alias("_least"), _median(v, F.col("seq") < tail).alias("_start"), _median(v, F.col("_n") - F.col("seq") <= tail).alias("_end"),
+        _median(F.col("_dt"), F.col("_dt") > 0).alias("dt_median_s"), F.when(F.max(F.abs(v)) > 0, F.min(v)).otherwise(F.coalesce(F.min(kmh), F.min(v))).alias("_least"), _median(v, F.col("seq") < tail).alias("_start"), _median(v, F.col("_n") - F.col("seq") <= tail).alias("_end"),
         F.coalesce(_median(v, moving), F.lit(0.0)).alias("v_median_mps"), F.coalesce(F.stddev_pop(F.when(moving, F.coalesce("acc_x", F.lit(0.0)))), F.lit(0.0)).alias("std_ax"),
         F.coalesce(F.stddev_pop(F.when(moving, gz)), F.lit(0.0)).alias("std_gz"), F.coalesce(_median(F.abs(ay - v * gz), turn), F.lit(0.0)).alias("lat_err_med"),
         F.coalesce(share((radius > 10) & (radius < 3000), turn), F.lit(1.0)).alias("radius_gz_ratio"), _median(radius, turn).alias("radius_gz_med"),
@@ -183,6 +185,17 @@ def detect_speed_unit(df: DataFrame) -> DataFrame:
     return coherence(df).select("trip_id", "speed_unit")
 
 
+def max_speed_ok(df: DataFrame, most_kmh: float = 130.0) -> DataFrame:
+    """Per trip: the largest speed (m/s in, km/h out) and whether it is within the limit."""
+    return df.groupBy("trip_id").agg((F.max("speed") * 3.6).alias("max_kmh")).withColumn("max_speed_ok", F.coalesce(F.col("max_kmh") <= most_kmh, F.lit(True)))
+
+
+def integrity_flags(df: DataFrame, least_std: float = 1e-3) -> DataFrame:
+    """Per trip: speed 0 throughout, missing speeds, and accelerations that hardly vary."""
+    flat = lambda c: (F.coalesce(F.stddev_samp(c), F.lit(0.0)) < least_std).alias(f"{c}_flat")
+    return df.groupBy("trip_id").agg((F.coalesce(F.max(F.abs("speed")), F.lit(0.0)) == 0).alias("all_zero"), F.count_if(F.col("speed").isNull()).alias("null_speeds"), flat("acc_x"), flat("acc_y"))
+
+
 def elevation_quality(df: DataFrame, low: float = -450.0, high: float = 9000.0, most: float = 0.01) -> DataFrame:
     """Per trip: the share of altitudes that are missing or out of range, and whether it is small enough."""
     bad = F.avg((~F.coalesce(F.col("altitude").between(low, high), F.lit(False))).cast("int"))

@@ -29,7 +29,11 @@ def trip_metrics(df: DataFrame) -> DataFrame:
     return rows.groupBy("trip_id").agg(((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("duration_s"), F.sum("step_m").alias("distance_m"), F.avg("gps_speed_kmh").alias("gps_kmh"), (F.avg("speed") * 3.6).alias("declared_kmh"))
 
 
-def event_counts(df: DataFrame) -> DataFrame:
+def event_counts(df: DataFrame, total: bool = False) -> DataFrame:
+    """Rows a label, blank ones left out; with ``total`` a last row of that name for all."""
+    if total:
+        counts = df.where(~is_blank(F.col("event"))).rollup("event").agg(F.count("*").alias("n"))
+        return counts.select(F.coalesce("event", F.lit("total")).alias("event"), "n")
     return df.where(~is_blank(F.col("event"))).groupBy("event").agg(F.count("*").alias("n"))
 
 

@@ -14,23 +14,28 @@ from tripmill.operators.kinematics import gps_speed, rolling_mean, rolling_media
 from tripmill.operators.recurrences import slew_limit_dt
 
 
-def time_grid(df: DataFrame, hz: float = 10.0) -> DataFrame:
-    """One row a grid time from the first to the last sample of each trip: trip_id, ts_us."""
+def time_grid(df: DataFrame, hz: float = 10.0, expected: DataFrame | None = None) -> DataFrame:
+    """One row a grid time from the first to the last sample of each trip: trip_id, ts_us. With ``expected`` (trip_id, duration_s) exactly
+    round(duration * hz) + 1 of them, for the longer of the observed and the expected duration."""
     ends = df.groupBy("trip_id").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
+    if expected is not None:
+        ends = ends.join(expected.select("trip_id", F.col("duration_s").alias("_e")), "trip_id", "left")
+        n = F.bround(F.greatest((F.col("b") - F.col("a")) / 1e6, F.coalesce("_e", F.lit(0.0))) * hz).cast("long")
+        return ends.select("trip_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n), lambda i: F.col("a") + F.round(i * (1e6 / hz)).cast("long"))).alias("ts_us"))
     return ends.select("trip_id", F.explode(F.sequence("a", "b", F.lit(round(1e6 / hz)).cast("long"))).alias("ts_us"))
 
 
-def resample_linear(df: DataFrame, columns: tuple[str, ...] = ("lat", "lon", "speed"), hz: float = 10.0) -> DataFrame:
-    """Values on the grid, linear by time between the samples around; the samples of one time count once, the first by seq."""
+def resample_linear(df: DataFrame, columns: tuple[str, ...] = ("lat", "lon", "speed"), hz: float = 10.0, expected: DataFrame | None = None) -> DataFrame:
+    """Values on the grid, linear by time between the samples around, after the last one its own; the samples of one time count once, the first by seq."""
     known = df.groupBy("trip_id", "ts_us").agg(*(F.min_by(c, "seq").alias(c) for c in columns))
-    both = known.withColumn("_t", F.col("ts_us")).unionByName(time_grid(df, hz).withColumn("_g", F.lit(True)), allowMissingColumns=True)
+    both = known.withColumn("_t", F.col("ts_us")).unionByName(time_grid(df, hz, expected).withColumn("_g", F.lit(True)), allowMissingColumns=True)
     both = both.groupBy("trip_id", "ts_us").agg(*(F.first(c, True).alias(c) for c in columns), F.first("_t", True).alias("_t"), F.max("_g").alias("_g"))
     order = trip().orderBy("ts_us")
     back, ahead = order.rowsBetween(W.unboundedPreceding, 0), trip().orderBy(F.desc("ts_us")).rowsBetween(W.unboundedPreceding, 0)
     at = {"_ta": F.last("_t", True).over(back), "_tb": F.last("_t", True).over(ahead)}
     ends = {f"_{s}_{c}": fn(c, True).over(w) for s, fn, w in (("a", F.last, back), ("b", F.last, ahead)) for c in columns}
     share = F.when(F.col("_tb") > F.col("_ta"), (F.col("ts_us") - F.col("_ta")) / (F.col("_tb") - F.col("_ta"))).otherwise(0.0)
-    drawn = {c: F.col(f"_a_{c}") + share * (F.col(f"_b_{c}") - F.col(f"_a_{c}")) for c in columns}
+    drawn = {c: F.coalesce(F.col(f"_a_{c}") + share * (F.col(f"_b_{c}") - F.col(f"_a_{c}")), F.col(f"_a_{c}")) for c in columns}
     both = both.withColumns({**at, **ends}).where("_g").withColumns(drawn)
     return both.select("trip_id", (F.row_number().over(order) - 1).cast("int").alias("seq"), "ts_us", *columns)
 
@@ -107,11 +112,11 @@ def densify_1m(points: DataFrame) -> DataFrame:
     return seg.select("trip_id", "seq", "part", (F.col("lat") + share * (F.col("lat2") - F.col("lat"))).alias("lat"), (F.col("lon") + share * (F.col("lon2") - F.col("lon"))).alias("lon"))
 
 
-def resample_full(df: DataFrame, hz: float = 10.0, tolerance_us: int = 500_000) -> DataFrame:
+def resample_full(df: DataFrame, hz: float = 10.0, tolerance_us: int = 500_000, expected: DataFrame | None = None) -> DataFrame:
     """Numbers linear by time on the grid, other columns from the last sample (else the next), labels from the nearest in reach."""
     numbers = tuple(c for c, t in df.dtypes if t in ("double", "float"))
     texts = [c for c, t in df.dtypes if t == "string" and c != "event"]
-    grid = resample_linear(df, numbers, hz)
+    grid = resample_linear(df, numbers, hz, expected)
     if texts:
         known = df.groupBy("trip_id", "ts_us").agg(*(F.min_by(c, "seq").alias(c) for c in texts))
         both = grid.withColumn("_g", F.lit(1)).unionByName(known.withColumn("_g", F.lit(0)), allowMissingColumns=True)
@@ -121,9 +126,9 @@ def resample_full(df: DataFrame, hz: float = 10.0, tolerance_us: int = 500_000)
     return asof_event(grid, df.where(~is_blank(F.col("event"))), tolerance_us) if "event" in df.columns else grid
 
 
-def sync_grid(df: DataFrame, hz: float = 10.0, rate: float = 3.0, window: int = 5) -> DataFrame:
-    """The full resampling, then speed from the positions, slew-limited and smoothed."""
-    grid = gps_speed(resample_full(df, hz)).withColumn("speed", F.col("gps_speed_mps")).drop("gps_speed_mps", "gps_speed_kmh")
+def sync_grid(df: DataFrame, hz: float = 10.0, rate: float = 3.0, window: int = 5, expected: DataFrame | None = None) -> DataFrame:
+    """The full resampling (to the expected duration, trip_id and duration_s, if that is longer), then speed from the positions, slew-limited and smoothed."""
+    grid = gps_speed(resample_full(df, hz, expected=expected)).withColumn("speed", F.col("gps_speed_mps")).drop("gps_speed_mps", "gps_speed_kmh")
     return rolling_mean(slew_limit_dt(grid, rate), "speed", window, "speed")
 
 

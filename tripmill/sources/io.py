@@ -31,12 +31,23 @@ def write_traces_padded(df: DataFrame, path: str, columns: tuple[str, ...] = EXP
     write_traces_csv(df.withColumns({c: F.lit(None).cast("string") for c in missing_columns(df, list(columns))}), path, columns)
 
 
-def export_dataset(df: DataFrame, path: str, run_id: str, start_us: int | None = None, schema: T.StructType | None = None) -> None:
-    """Moves trips to a start time, makes labels of flags, applies the schema and appends a run's partition."""
+def export_dataset(df: DataFrame, path: str, run_id: str, start_us: int | None = None, schema: T.StructType | None = None, artifacts: bool = False) -> None:
+    """Moves trips to a start time, makes labels of flags, applies the schema and writes a run's partition; a run that is written
+    again replaces its own. With ``artifacts`` also CSV and JSON lines of the run and its manifest, in folders beside (path_csv, ...)."""
     if start_us is not None:
         df = shift_start(df, start_us)
     df = event_from_flags(df).withColumn("timestamp", F.timestamp_micros("ts_us"))
-    apply_schema(df, schema or canonical()).withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    rows = apply_schema(df, schema or canonical()).withColumn("run_id", F.lit(run_id))
+
+    def run_of(frame: DataFrame):
+        return frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
+
+    run_of(rows).parquet(path)
+    if artifacts:
+        flat = rows.select(*(c for c, t in rows.dtypes if not t.startswith(("array", "map", "struct"))))
+        run_of(flat).option("header", True).csv(f"{path}_csv")
+        run_of(rows).json(f"{path}_json")
+        run_of(manifest(rows, run_id)).json(f"{path}_meta")
 
 
 def event_from_flags(df: DataFrame) -> DataFrame:
@@ -88,10 +99,13 @@ def flatten_routes(routes: DataFrame) -> DataFrame:
     """(route_id, body: JSON text) -> route_id, pt_idx, lat, lon, t_rel_s of the first route: segment durations summed where their
     number fits, else spread evenly."""
     r = routes.select("route_id", F.from_json("body", ROUTES).getField("routes")[0].alias("r"))
-    r = r.select("route_id", F.col("r.duration").alias("dur"), F.col("r.geometry.coordinates").alias("pts"), F.flatten(F.transform(F.coalesce("r.legs", F.array()), lambda leg: F.coalesce(leg.annotation.duration, F.array()))).alias("segs"))
-    at = F.when(F.size("segs") == F.size("pts") - 1, F.aggregate(F.slice("segs", 1, F.col("pt_idx")), F.lit(0.0), lambda a, x: a + x)).otherwise(F.col("dur") * F.col("pt_idx") / F.greatest(F.size("pts") - 1, F.lit(1)))
-    rows = r.select("*", F.posexplode("pts").alias("pt_idx", "p"))
-    return rows.select("route_id", "pt_idx", F.col("p")[1].alias("lat"), F.col("p")[0].alias("lon"), at.alias("t_rel_s"))
+    segs = F.flatten(F.transform(F.coalesce("r.legs", F.array()), lambda leg: F.coalesce(leg.annotation.duration, F.array())))
+    r = r.select("route_id", F.col("r.duration").alias("dur"), F.col("r.geometry.coordinates").alias("pts"), segs.alias("segs")).withColumn("before", F.concat(F.array(F.lit(0.0)), "segs"))
+    rows = r.select("route_id", "dur", F.size("pts").alias("n"), (F.size("segs") == F.size("pts") - 1).alias("fits"), F.posexplode(F.arrays_zip("pts", "before")).alias("pt_idx", "p"))
+    rows = rows.where("pt_idx < n")
+    along = F.sum("p.before").over(W.partitionBy("route_id").orderBy("pt_idx").rowsBetween(W.unboundedPreceding, 0))
+    at = F.when(F.col("fits"), along).otherwise(F.col("dur") * F.col("pt_idx") / F.greatest(F.col("n") - 1, F.lit(1)))
+    return rows.select("route_id", "pt_idx", F.col("p.pts")[1].alias("lat"), F.col("p.pts")[0].alias("lon"), at.alias("t_rel_s"))
 
 
 def extract_roundabouts(routes: DataFrame) -> DataFrame:
@@ -109,9 +123,11 @@ def normalize_lonlat(points: DataFrame, c: str = "point") -> DataFrame:
 
 
 def read_stop_plan(spark: SparkSession, path: str) -> DataFrame:
+    """Ordered stops (plan_id, stop_seq, ...); fails if any plan has fewer than two."""
     df = spark.read.parquet(path)
-    if df.limit(2).count() < 2:
-        raise ValueError("a plan needs two stops")
+    short = df.groupBy("plan_id").count().where("count < 2").limit(1).collect()
+    if short or df.isEmpty():
+        raise ValueError("a plan needs two stops" + (f": {short[0]['plan_id']}" if short else ""))
     return df
 
 

@@ -34,6 +34,14 @@ def merge_schema(base: T.StructType, *fragments: T.StructType) -> T.StructType:
     return T.StructType(fields)
 
 
+def apply(df: DataFrame, enricher, config: dict | None = None) -> DataFrame:
+    """An enricher, a function (df, **config) -> df, over the frame. What it adds to the schema is its ``fragments`` (merge_schema); columns
+    named there that it did not make are added as nulls."""
+    out = df.transform(enricher, **(config or {}))
+    fragments = getattr(enricher, "fragments", ())
+    return out.withColumns({f.name: F.lit(None).cast(f.dataType) for fragment in fragments for f in fragment.fields if f.name not in out.columns})
+
+
 def missing_columns(df: DataFrame, names: list[str]) -> list[str]:
     return [n for n in names if n not in df.columns]
 
