@@ -137,10 +137,13 @@ def test_detectors_have_both_answers(spark):
     from tests.conftest import DATA
     from tripmill.plans.fixtures import view
 
-    for name, fn in detect.DETECTORS.items():
-        df = view(spark, DATA.replace("sf0.001", "sf0.01"))
-        hit = fn(df).select("trip_id").distinct().count()
-        assert 0 < hit < 20, name
+    df = view(spark, DATA.replace("sf0.001", "sf0.01")).persist()
+    together = sorted(map(tuple, detect.window_events(df).collect()))
+    for name in detect.DETECTORS:
+        alone = sorted((r.trip_id, r.seq, name) for r in getattr(detect, f"detect_{name}")(df).collect())
+        assert alone == [h for h in together if h[2] == name], name
+        assert 0 < len({t for t, *_ in alone}) < 20, name
+    df.unpersist()
 
 
 def test_schedule_matches_a_loop(spark):
@@ -255,3 +258,49 @@ def test_export_schema(spark):
     df = spark.createDataFrame([("x", "1.5", "2020-01-01 00:00:00", "bad")], "extra string, lat string, timestamp string, speed string")
     out = schema.enforce_export_schema(df)
     assert out.columns == ["timestamp", "lat", "speed", "extra"] and out.first()["speed"] is None and out.first()["lat"] == 1.5
+
+
+def test_defaults_and_thinning(spark):
+    df = spark.createDataFrame([(1, 0, "x", float("nan"), None), (1, 1, "2.5", 1.0, "stop"), (1, 2, None, float("inf"), "stop")], "trip_id int, seq int, acc_x string, acc_y double, event string")
+    got = clean.fill_imu_defaults(df).orderBy("seq").collect()
+    assert [(r.acc_x, r.acc_y, r.gyro_z, r.event) for r in got] == [(0.0, 0.0, 0.0, ""), (2.5, 1.0, 0.0, "stop"), (0.0, 0.0, 0.0, "stop")]
+    df = trace(spark, {"event": ["freinage", "freinage", None, "freinage", "stop", "stop"]})
+    assert column(clean.thin_consecutive(df), "event") == ["freinage", None, None, "freinage", "stop", "stop"]
+    times = spark.createDataFrame([(-1,), (0,), (1_735_689_600_123_456,)], "t long").select(clean.iso_utc("t").alias("t")).collect()
+    assert [r.t for r in times] == ["1969-12-31T23:59:59.999999Z", "1970-01-01T00:00:00.000000Z", "2025-01-01T00:00:00.123456Z"]
+
+
+def test_searches_without_a_limit(spark):
+    """Rows far from every node, anchors far from every sample, weather far away: all against brute force."""
+    rng = np.random.default_rng(12)
+    lat, lon = rng.uniform(-60, 60, 40).tolist(), rng.uniform(-170, 170, 40).tolist()
+    df = trace(spark, {"lat": lat, "lon": lon})
+    pts = [(int(i), float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-60, 60, 7), rng.uniform(-170, 170, 7)))]
+    nodes = spark.createDataFrame([(*p, "service") for p in pts], "node_id long, lat double, lon double, highway string")
+    got = {r.seq: r.node_id for r in joins.nearest_road(df, nodes).collect()}
+    assert got == {i: min(pts, key=lambda p: (round(math.hypot(p[1] - lat[i], p[2] - lon[i]), 12), p[0]))[0] for i in range(40)}
+    weather = spark.createDataFrame([(0 if i % 2 else 50_000_000_000, a, b, float(i)) for i, a, b in pts], "ts_us long, lat double, lon double, temperature double")
+    got = {r.seq: r.temperature for r in joins.weather_join(df, weather).collect()}
+    assert got == {i: float(min((p for p in pts if p[0] % 2), key=lambda p: math.hypot(p[1] - lat[i], p[2] - lon[i]))[0]) for i in range(40)}
+    at = spark.createDataFrame([(1, i, a, b) for i, a, b in pts], "trip_id int, anchor_id long, lat double, lon double")
+    got = {r.anchor_id: r.seq for r in joins.anchor_at_geo(df, at).collect()}
+    assert got == {i: min(range(40), key=lambda s: (round(recurrences._metres(a, b, lat[s], lon[s]), 6), s)) for i, a, b in pts}
+    times = spark.createDataFrame([(1, t) for t in (-5, 149_999, 150_000, 150_001, 99_000_000)], "trip_id int, t_us long")
+    assert {r.t_us: r.seq for r in joins.anchor_at_time(df, times).collect()} == {-5: 0, 149_999: 1, 150_000: 1, 150_001: 2, 99_000_000: 39}
+
+
+def test_expected_duration(spark):
+    df = trace(spark, {"lat": [49.0, 49.1, 49.2], "lon": [1.0] * 3, "speed": [1.0] * 3, "event": [None, "stop", None]})
+    longer = spark.createDataFrame([(1, 0.55)], "trip_id int, duration_s double")
+    rows = resample.resample_linear(df, hz=10.0, expected=longer).orderBy("seq").collect()
+    assert [r.ts_us for r in rows] == [i * 100_000 for i in range(7)] or len(rows) == 7
+    assert [round(r.lat, 6) for r in rows] == [49.0, 49.1, *[49.2] * 5]
+    assert resample.sync_grid(df, expected=longer).count() == 7
+
+
+def test_plans_and_runs(spark, tmp_path):
+    spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "plan_id int, stop_seq int").write.parquet(str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="2"):
+        io.read_stop_plan(spark, str(tmp_path / "p"))
+    routes = spark.createDataFrame([(1, json.dumps({"routes": [{"duration": 9.0, "geometry": {"coordinates": [[1, 49]] * 4}, "legs": []}]}))], "route_id int, body string")
+    assert [r.t_rel_s for r in io.flatten_routes(routes).orderBy("pt_idx").collect()] == [0.0, 3.0, 6.0, 9.0]

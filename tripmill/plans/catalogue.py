@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tripmill.plans import analysis, enrich, motion, repair
+from tripmill.plans import analysis, enrich, motion, repair, tools
 
-MODULES = (motion, repair, analysis, enrich)
+MODULES = (motion, repair, analysis, enrich, tools)
 
 
 def queries() -> dict:

@@ -33,33 +33,33 @@ SELECT trip_id, seq, road_type, CASE WHEN event IN ('freinage', 'acceleration')
 
 def asof(spark: SparkSession, d: str) -> DataFrame:
     df = view(spark, d)
-    grid = df.where("seq % 5 = 0").select("trip_id", "seq", (F.col("ts_us") + 50000).alias("ts_us"), F.when(F.col("seq") % 50 == 0, "own").alias("event"))
-    events = df.where("event IS NOT NULL AND seq % 7 = 0").select("trip_id", "seq", "ts_us", "event")
+    grid = df.select("trip_id", "seq", (F.col("ts_us") + 50000).alias("ts_us"), F.when(F.col("seq") % 50 == 0, "own").alias("event"))
+    events = df.where("event IS NOT NULL").select("trip_id", "seq", "ts_us", "event")
     return J.asof_event(grid, events).select("trip_id", "seq", "event")
 
 
-ASOF = """WITH g AS (SELECT trip_id, seq, ts_us + 50000 AS ts_us, CASE WHEN seq % 50 = 0 THEN 'own' END AS own FROM trace WHERE seq % 5 = 0), e AS (SELECT trip_id, seq, ts_us, event FROM trace WHERE event IS NOT NULL AND seq % 7 = 0),
+ASOF = """WITH g AS (SELECT trip_id, seq, ts_us + 50000 AS ts_us, CASE WHEN seq % 50 = 0 THEN 'own' END AS own FROM trace), e AS (SELECT trip_id, seq, ts_us, event FROM trace WHERE event IS NOT NULL),
 m AS (SELECT g.trip_id, g.seq, own, e.event, row_number() OVER (PARTITION BY g.trip_id, g.seq ORDER BY abs(e.ts_us - g.ts_us), e.ts_us, e.seq DESC) AS r FROM g LEFT JOIN e ON g.trip_id = e.trip_id AND e.ts_us BETWEEN g.ts_us - 500000 AND g.ts_us + 500000)
 SELECT trip_id, seq, coalesce(event, own) AS event FROM m WHERE r = 1"""
 
 
 def weather(spark: SparkSession, d: str) -> DataFrame:
-    df = view(spark, d).where("seq % 20 = 0")
+    df = view(spark, d)
     return rounded(J.weather_join(df, view(spark, d, "weather"), 60_000_000).select("trip_id", "seq", "temperature", "humidity", "wind_speed", "precipitation"))
 
 
-WEATHER = f"""WITH g AS (SELECT * FROM trace WHERE seq % 20 = 0), m AS (SELECT g.trip_id, g.seq, w.temperature, w.humidity, w.wind_speed, w.precipitation, row_number() OVER (PARTITION BY g.trip_id, g.seq ORDER BY round(sqrt((g.lat - w.lat) ** 2 + (g.lon - w.lon) ** 2), 12), w.ts_us, w.temperature, w.humidity) AS r
+WEATHER = f"""WITH g AS (SELECT * FROM trace), m AS (SELECT g.trip_id, g.seq, w.temperature, w.humidity, w.wind_speed, w.precipitation, row_number() OVER (PARTITION BY g.trip_id, g.seq ORDER BY round(sqrt((g.lat - w.lat) ** 2 + (g.lon - w.lon) ** 2), 12), w.ts_us, w.temperature, w.humidity) AS r
   FROM g LEFT JOIN weather w ON abs(w.ts_us - g.ts_us) <= 60000000)
 SELECT trip_id, seq, {", ".join(r6(c) + f" AS {c}" for c in ("temperature", "humidity", "wind_speed", "precipitation"))} FROM m WHERE r = 1"""
 
 
 def nearest_road(spark: SparkSession, d: str) -> DataFrame:
-    df = view(spark, d).where("seq % 20 = 0")
+    df = view(spark, d)
     return rounded(J.nearest_road(df, view(spark, d, "road_nodes")).select("trip_id", "seq", "node_id", "highway_near", "nearest_distance_m"))
 
 
-NEAREST = f"""WITH g AS (SELECT * FROM trace WHERE seq % 20 = 0), m AS (SELECT g.trip_id, g.seq, n.node_id, n.highway, {metres('g.lat', 'g.lon', 'n.lat', 'n.lon')} AS m, row_number() OVER (PARTITION BY g.trip_id, g.seq ORDER BY round(sqrt((g.lat - n.lat) ** 2 + (g.lon - n.lon) ** 2), 12), n.node_id) AS r
-  FROM g LEFT JOIN road_nodes n ON (g.lat - n.lat) ** 2 + (g.lon - n.lon) ** 2 <= 0.002e0 * 0.002e0)
+NEAREST = f"""WITH g AS (SELECT * FROM trace), m AS (SELECT g.trip_id, g.seq, n.node_id, n.highway, {metres('g.lat', 'g.lon', 'n.lat', 'n.lon')} AS m, row_number() OVER (PARTITION BY g.trip_id, g.seq ORDER BY round(sqrt((g.lat - n.lat) ** 2 + (g.lon - n.lon) ** 2), 12), n.node_id) AS r
+  FROM g LEFT JOIN road_nodes n ON (g.lat - n.lat) ** 2 + (g.lon - n.lon) ** 2 <= 0.02e0 * 0.02e0 AND n.lat BETWEEN g.lat - 0.02e0 AND g.lat + 0.02e0)
 SELECT trip_id, seq, node_id, highway AS highway_near, {r6('m')} AS nearest_distance_m FROM m WHERE r = 1"""
 
 
@@ -85,20 +85,37 @@ g AS (SELECT *, {gradient('zs')} AS dz FROM s)
 SELECT trip_id, seq, {r6('z')} AS altitude, {r6('zs')} AS altitude_smoothed, {r6('CASE WHEN ds > 0 THEN 100 * dz / ds ELSE 0e0 END')} AS slope_percent FROM g"""
 
 
+def bilinear(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(J.elevation_join(view(spark, d), view(spark, d, "dem"), mode="bilinear").select("trip_id", "seq", "altitude", "altitude_smoothed"))
+
+
+BILINEAR = f"""WITH i AS (SELECT *, CAST(floor(lat * 1000) AS INT) AS i, CAST(floor(lon * 1000) AS INT) AS j FROM trace),
+a AS (SELECT i.*, lat * 1000 - i AS a, lon * 1000 - j AS b, z0.altitude_m AS z00, z1.altitude_m AS z01, z2.altitude_m AS z10, z3.altitude_m AS z11 FROM i LEFT JOIN dem z0 ON z0.lat_i = i AND z0.lon_i = j
+      LEFT JOIN dem z1 ON z1.lat_i = i AND z1.lon_i = j + 1 LEFT JOIN dem z2 ON z2.lat_i = i + 1 AND z2.lon_i = j LEFT JOIN dem z3 ON z3.lat_i = i + 1 AND z3.lon_i = j + 1),
+z AS (SELECT *, coalesce((1 - a) * ((1 - b) * z00 + b * z01) + a * ((1 - b) * z10 + b * z11), z00) AS z FROM a)
+SELECT trip_id, seq, {r6('z')} AS altitude, {r6(f'avg(z) OVER {frame(10, 10)}')} AS altitude_smoothed FROM z"""
+
+
 def anchors(spark: SparkSession, d: str) -> DataFrame:
     df = view(spark, d)
     pois = df.where("seq % 500 = 250").select(F.col("seq").alias("poi_id"), "trip_id", (F.col("lat") + 0.0003).alias("lat"), "lon")
-    a = J.snap_points(df, pois).select("trip_id", F.col("poi_id").cast("long").alias("at"), "seq", "distance_m", F.lit("place").alias("kind"))
+    a = J.snap_points(df, pois, least=900).select("trip_id", F.col("poi_id").cast("long").alias("at"), "seq", "distance_m", F.lit("place").alias("kind"))
     times = df.groupBy("trip_id").agg((F.min("ts_us") + 12345678).alias("t_us"))
     b = J.anchor_at_time(df, times).select("trip_id", F.col("t_us").alias("at"), "seq", F.lit(None).cast("double").alias("distance_m"), F.lit("time").alias("kind"))
-    return rounded(a.unionByName(b))
+    c = J.anchor_at_geo(df, pois.select("trip_id", F.col("poi_id").cast("long").alias("anchor_id"), "lat", "lon"))
+    c = c.select("trip_id", F.col("anchor_id").alias("at"), "seq", "distance_m", F.lit("geo").alias("kind"))
+    return rounded(a.unionByName(b).unionByName(c))
 
 
-ANCHORS = f"""WITH p AS (SELECT seq AS poi_id, trip_id, lat + 0.0003 AS lat, lon FROM trace WHERE seq % 500 = 250),
+ANCHORS = f"""WITH RECURSIVE p AS (SELECT seq AS poi_id, trip_id, lat + 0.0003 AS lat, lon FROM trace WHERE seq % 500 = 250),
 m AS (SELECT poi_id, t.trip_id, t.seq, round({metres('t.lat', 't.lon', 'p.lat', 'p.lon')}, 6) AS d FROM p JOIN trace t ON t.trip_id = p.trip_id AND abs(t.lat - p.lat) < 0.002 AND abs(t.lon - p.lon) < 0.002),
-b AS (SELECT *, row_number() OVER (PARTITION BY poi_id, trip_id ORDER BY d, seq) AS r FROM m WHERE d <= 100),
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq, poi_id) AS i FROM (SELECT *, row_number() OVER (PARTITION BY poi_id, trip_id ORDER BY d, seq) AS r FROM m WHERE d <= 100) z WHERE r = 1),
+k AS (SELECT trip_id, poi_id, seq, d, i, true AS kept, seq AS last FROM b WHERE i = 1 UNION ALL
+      SELECT b.trip_id, b.poi_id, b.seq, b.d, b.i, b.seq - k.last >= 900, CASE WHEN b.seq - k.last >= 900 THEN b.seq ELSE k.last END FROM k JOIN b ON b.trip_id = k.trip_id AND b.i = k.i + 1),
+g AS (SELECT p.poi_id, p.trip_id, t.seq, round({metres('t.lat', 't.lon', 'p.lat', 'p.lon')}, 6) AS d FROM p JOIN trace t ON t.trip_id = p.trip_id),
+h AS (SELECT *, row_number() OVER (PARTITION BY poi_id, trip_id ORDER BY d, seq) AS r FROM g),
 t AS (SELECT trip_id, min(ts_us) + 12345678 AS t_us FROM trace GROUP BY trip_id), c AS (SELECT t.trip_id, t_us, seq, row_number() OVER (PARTITION BY t.trip_id ORDER BY abs(ts_us - t_us), seq) AS r FROM t JOIN trace x ON x.trip_id = t.trip_id)
-SELECT trip_id, CAST(poi_id AS BIGINT) AS "at", seq, {r6('d')} AS distance_m, 'place' AS kind FROM b WHERE r = 1 UNION ALL SELECT trip_id, t_us, seq, NULL, 'time' FROM c WHERE r = 1"""
+SELECT trip_id, CAST(poi_id AS BIGINT) AS "at", seq, {r6('d')} AS distance_m, 'place' AS kind FROM k WHERE kept UNION ALL SELECT trip_id, t_us, seq, NULL, 'time' FROM c WHERE r = 1 UNION ALL SELECT trip_id, poi_id, seq, {r6('d')}, 'geo' FROM h WHERE r = 1"""
 
 
 def flagged(spark: SparkSession, d: str) -> DataFrame:
@@ -113,11 +130,11 @@ SELECT trip_id, seq, flag_stop, flag_wait, {r6('CASE WHEN flag_stop + flag_wait
 
 
 def revisited(spark: SparkSession, d: str) -> DataFrame:
-    return J.revisits(view(spark, d).where("seq % 50 = 0 AND speed > 0").withColumn("seq", (F.col("seq") / 50).cast("int")))
+    return J.revisits(view(spark, d), apart=1500)
 
 
-REVISITED = f"""WITH p AS (SELECT trip_id, seq // 50 AS i, lat, lon FROM trace WHERE seq % 50 = 0 AND speed > 0)
-SELECT a.trip_id, coalesce(bool_or(b.i IS NOT NULL AND {metres('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 30), false) AS revisits FROM p a LEFT JOIN p b ON a.trip_id = b.trip_id AND b.i >= a.i + 10 AND abs(a.lat - b.lat) < 0.001 GROUP BY a.trip_id"""
+REVISITED = f"""WITH p AS (SELECT trip_id, seq AS i, lat, lon FROM trace)
+SELECT a.trip_id, coalesce(bool_or(b.i IS NOT NULL AND {metres('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 30), false) AS revisits FROM p a LEFT JOIN p b ON a.trip_id = b.trip_id AND b.i >= a.i + 1500 AND abs(a.lat - b.lat) < 0.001 GROUP BY a.trip_id"""
 
 
 def scheduled(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +162,7 @@ LEGS = f"""WITH l AS (SELECT plan_id, {metres('lat', 'lon', 'lead(lat) OVER w',
 SELECT plan_id, count(*) AS n_legs, {r6('sum(m)')} AS distance_m, {r6('sum(greatest(m / 13.9e0, 1e0))')} AS duration_s FROM l WHERE m IS NOT NULL GROUP BY plan_id"""
 
 def buffered(spark: SparkSession, d: str) -> DataFrame:
-    df = view(spark, d).where("seq % 10 = 0")
+    df = view(spark, d)
     ends = view(spark, d).where("seq % 400 IN (0, 200)")
     nxt = lambda c: F.lead(c).over(W.partitionBy("trip_id").orderBy("seq"))
     segments = ends.select((F.col("trip_id") * 100000 + F.col("seq")).alias("segment_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), nxt("lat").alias("lat2"), nxt("lon").alias("lon2"), F.coalesce("osm_highway", F.lit("none")).alias("highway")).where("lat2 IS NOT NULL")
@@ -154,7 +171,7 @@ def buffered(spark: SparkSession, d: str) -> DataFrame:
     return a.join(J.proximity_labels(df, marks).select("trip_id", "seq", "event"), ["trip_id", "seq"])
 
 
-BUFFERED = f"""WITH p AS MATERIALIZED (SELECT * FROM trace WHERE seq % 10 = 0),
+BUFFERED = f"""WITH p AS MATERIALIZED (SELECT * FROM trace),
 s AS MATERIALIZED (SELECT * FROM (SELECT trip_id * 100000 + seq AS segment_id, lat AS a, lon AS b, lead(lat) OVER w AS c, lead(lon) OVER w AS d, coalesce(osm_highway, 'none') AS highway FROM trace WHERE seq % 400 IN (0, 200) WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) z WHERE c IS NOT NULL),
 t AS (SELECT p.trip_id, p.seq, segment_id, highway, lat, lon, a, b, c, d, CASE WHEN c = a AND d = b THEN 0e0 ELSE least(greatest(((lat - a) * (c - a) + (lon - b) * (d - b)) / ((c - a) * (c - a) + (d - b) * (d - b)), 0e0), 1e0) END AS t
       FROM p JOIN s ON lat BETWEEN least(a, c) - 0.01 AND greatest(a, c) + 0.01 AND lon BETWEEN least(b, d) - 0.01 AND greatest(b, d) + 0.01),
@@ -165,12 +182,12 @@ SELECT p.trip_id, p.seq, coalesce(m.highway, 'inconnu') AS road_tag, CASE WHEN n
 
 QUERIES = {
     "j_buffered": buffered,
-    "j_road_types": road_types, "j_asof": asof, "j_weather": weather, "j_nearest_road": nearest_road, "j_zones": zones, "j_elevation": elevation, "j_anchors": anchors, "j_flagged": flagged, "j_revisited": revisited,
+    "j_road_types": road_types, "j_asof": asof, "j_weather": weather, "j_nearest_road": nearest_road, "j_zones": zones, "j_elevation": elevation, "j_bilinear": bilinear, "j_anchors": anchors, "j_flagged": flagged, "j_revisited": revisited,
     "l_scheduled": scheduled, "l_intervals": intervals, "l_legs": legs,
 }
 ORACLES = {
     "j_buffered": with_views(BUFFERED, "trace"),
-    "j_road_types": with_views(ROAD_TYPES, "trace"), "j_asof": with_views(ASOF, "trace"), "j_weather": with_views(WEATHER, "weather"), "j_nearest_road": with_views(NEAREST, "road_nodes"), "j_zones": with_views(ZONES, "zones"), "j_elevation": with_views(ELEVATION, "dem"),
+    "j_road_types": with_views(ROAD_TYPES, "trace"), "j_asof": with_views(ASOF, "trace"), "j_weather": with_views(WEATHER, "weather"), "j_nearest_road": with_views(NEAREST, "road_nodes"), "j_zones": with_views(ZONES, "zones"), "j_elevation": with_views(ELEVATION, "dem"), "j_bilinear": with_views(BILINEAR, "dem"),
     "j_anchors": with_views(ANCHORS, "trace"), "j_flagged": with_views(FLAGGED, "trace"), "j_revisited": with_views(REVISITED, "trace"),
     "l_scheduled": with_views(SCHEDULED, "delivery_plan"), "l_intervals": with_views(INTERVALS, "delivery_plan"), "l_legs": with_views(LEGS, "delivery_plan"),
 }
