@@ -523,6 +523,43 @@ def test_near_duplicates_in_a_large_group(spark):
     assert by_row(got, "doc_id", "n_shingles", "component_id", "kept") == expected
 
 
+def test_near_duplicates_in_one_template(spark):
+    """Three thousand documents of one template, mostly just under the threshold of each other, in pairs just above it."""
+    rng = np.random.default_rng(21)
+    docs, keep = [], []
+    for i in range(1500):
+        w = np.array([f"t{j}" for j in range(200)], dtype=object)
+        slots = rng.permutation(np.arange(1, 199, 2))
+        for part in (slots[:9], slots[9:19]):  # a document, then its copy with ten words more of the template changed
+            w = w.copy()
+            w[part] = [f"d{i}x{j}" for j in part]
+            docs.append(" ".join(w))
+            old = np.array([x.startswith("t") for x in w])
+            keep.append(old[1:] & old[:-1])
+    template = np.array(keep, np.float32)
+    both = np.rint(template @ template.T).astype(int)
+    pair = np.arange(0, 3000, 2)
+    both[pair, pair + 1] += 18  # two shingles for each word that the copy shares with its document alone
+    linked = 100 * both >= 80 * (2 * 199 - both)
+    label = near_dedup.stars(3000, *np.nonzero(np.triu(linked, 1)))
+    got = dict(by_row(near_dedup.near_duplicates(make(spark, docs)), "doc_id", "component_id"))
+    assert linked[pair, pair + 1].all() and len(set(label.tolist())) > 300
+    assert [got[i] for i in range(3000)] == label.tolist()
+
+
+def test_near_duplicates_by_five_words(spark):
+    base = [f"w{i}" for i in range(200)]
+    few, many = base[:], base[:]
+    for j in (20, 90, 160):
+        few[j] = "x"
+    for j in range(5, 200, 16):
+        many[j] = f"y{j}"
+    short = ["a b c", "a  b\tC", "a b d"]
+    got = dict(by_row(near_dedup.near_duplicates(make(spark, [" ".join(base), " ".join(few), " ".join(many), *short]), width=5), "doc_id", "component_id"))
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5}
+    assert dict(by_row(near_dedup.near_duplicates(make(spark, [" ".join(base), " ".join(many)])), "doc_id", "component_id")) == {0: 0, 1: 1}
+
+
 def test_near_duplicates_odd_ids(spark):
     rng = random.Random(3)
     a, b, c = (prose(rng, 40) for _ in range(3))
@@ -636,3 +673,22 @@ def test_all_take_an_empty_table(spark, texts):
     assert quality_rules.ledger(empty).count() == 0 and quality_rules.ablation(quality_rules.ledger(empty)).count() == 0
     assert licenses.scan_licenses(empty).count() == 0 and packing.pack(empty).count() == 0
     assert quality_classifier.score_quality(empty, quality_classifier.train(empty, labels)).count() == 0
+
+
+def test_repeated_and_missing_ids_and_very_long_texts(spark):
+    """One row out for one in; equal texts give equal results whatever their ids; a text of a million characters is like any other."""
+    rng = random.Random(17)
+    long = prose(rng, 160_000)
+    texts = ["token = abcdefgh12 cc by", "token = abcdefgh12 cc by", None, "x y z", "token = abcdefgh12 cc by", long, long]
+    docs = make(spark, texts, ids=[4, 4, None, None, None, 8, 9])
+    labels = spark.createDataFrame([(4, 1), (4, 0), (8, 1), (9, 1)], "doc_id long, quality int")
+    forest = quality_classifier.train(docs, labels, trees=3)
+    results = {
+        "rules": quality_rules.ledger(docs).select("doc_id", "failed", "n_words"), "licenses": licenses.scan_licenses(docs).select("doc_id", "labels", "n_words"),
+        "secrets": secret_scan.scan_secrets(docs).select("doc_id", "spans", "n_assign"), "quality": quality_classifier.score_quality(docs, forest).select("doc_id", "score", F.lit(0)),
+    }
+    for name, df in results.items():
+        rows = [tuple(r) for r in df.collect()]
+        assert len(rows) == 7 and sum(r[0] is None for r in rows) == 3 and sum(r[0] == 4 for r in rows) == 2, name
+        assert len({r[1:] for r in rows if r[0] == 4}) == 1 and len({r[1:] for r in rows if r[0] in (8, 9)}) == 1, name
+        assert sum(r[1:] == next(x[1:] for x in rows if x[0] == 4) for r in rows) == 3, name

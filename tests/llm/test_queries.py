@@ -36,3 +36,27 @@ def test_pipeline(spark, tmp_path):
         seen = now
     whole = corpus_pipeline.run(spark, DATA)
     assert sorted(map(tuple, whole.select("doc_id", "piece", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+
+
+@pytest.mark.parametrize("rows", [0, 60])
+def test_pipeline_takes_odd_rows(spark, tmp_path, rows):
+    """Null, empty, repeated and long texts, missing and repeated ids, clashing columns, and no rows at all."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    word = lambda: rng.choice(["river", "stone", "light", "the", "of", "and", "walk", "calm"]) + str(rng.randrange(50))
+    data = [(i, " ".join(word() for _ in range(rng.randint(30, 80))), "en", f"s{i % 3}", 1, 0.5, "k") for i in range(rows)]
+    data += [(3, None, None, None, None, None, None), (None, "", "en", "s1", 0, 0.1, "k"), (None, None, "en", None, 0, 0.1, "k"), data[5], data[5], (1000, data[7][1], "en", "s2", 9, 0.2, "k"), (1001, "long " * 90_000, "de", "s1", 9, 0.2, "k")] if rows else []
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string"
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i % 4 > 0), 0) for i in range(0, rows, 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or out.columns == docs.columns
+        out.write.parquet(str(tmp_path / f"{i}"))
+        docs = spark.read.parquet(str(tmp_path / f"{i}"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count() and (docs.count() > 0) == (rows > 0)
