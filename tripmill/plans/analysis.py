@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmill.functions.labels import PLATEAUS
+from tripmill.functions.labels import EVENT_RULES, PLATEAUS
 from tripmill.operators import clean as C
 from tripmill.operators import detect as D
 from tripmill.operators import joins as J
@@ -15,7 +15,7 @@ from tripmill.operators import recurrences as R
 from tripmill.operators import report as A
 from tripmill.plans.fixtures import view, with_views
 from tripmill.plans.motion import DT, TURN, rounded
-from tripmill.plans.sqltext import HEADING, STEP, UPTO, frame, gradient, gradient_at, islands, lag, r6, road_type
+from tripmill.plans.sqltext import HEADING, STEP, UPTO, frame, gradient, gradient_at, islands, lag, metres, r6, road_type
 
 BLANK = "(event IS NULL OR trim(event) = '')"
 
@@ -126,6 +126,14 @@ def detected(spark: SparkSession, d: str) -> DataFrame:
     return D.detect_all(view(spark, d))
 
 
+def _detected_sql() -> str:
+    head = _window_events_sql().removesuffix("SELECT trip_id, seq, detector FROM k WHERE kept").rstrip()
+    return f"""{head}, s AS ({HALTS.replace("HAVING count(*) >= 300", "")}),
+f AS (SELECT trip_id, bool_or(n_rows >= 1200) AS stop, bool_or(n_rows BETWEEN 300 AND 1199) AS wait FROM s GROUP BY trip_id), e AS ({ENDS})
+SELECT e.trip_id, e.initial_seq IS NOT NULL AS initial_acceleration, e.final_seq IS NOT NULL AS final_deceleration, coalesce(f.stop, false) AS stop, coalesce(f.wait, false) AS wait,
+  {", ".join(f"EXISTS (SELECT 1 FROM k WHERE k.trip_id = e.trip_id AND detector = '{n}' AND kept) AS {n}" for n in D.DETECTORS)} FROM e LEFT JOIN f ON f.trip_id = e.trip_id"""
+
+
 def qa_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(Q.qa_report(view(spark, d)))
 
@@ -276,6 +284,14 @@ def anchored(spark: SparkSession, d: str) -> DataFrame:
     return R.anchor_events(c).select("trip_id", "event_type", "seq")
 
 
+ANCHORED = f"""WITH RECURSIVE c AS (SELECT trip_id, CASE WHEN abs(acc_z) > 7 THEN 'speed_bump' WHEN acc_x < 0 THEN 'brake' ELSE 'accel' END AS event_type, seq, round(ts_us / 1e6, 1) AS t, round(lat, 6) AS lat, round(lon, 6) AS lon FROM trace WHERE abs(acc_x) > 1.4 OR abs(acc_z) > 7),
+h AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY trip_id, event_type ORDER BY seq) AS i, CASE event_type {" ".join(f"WHEN '{k}' THEN {a}e0" for k, (a, _) in EVENT_RULES.items())} END AS cool, CASE event_type {" ".join(f"WHEN '{k}' THEN {b}e0" for k, (_, b) in EVENT_RULES.items())} END AS gap FROM c),
+n AS (SELECT trip_id, event_type, seq, i, true AS kept, t, lat, lon FROM h WHERE i = 1 UNION ALL
+      SELECT trip_id, event_type, seq, i, ok, CASE WHEN ok THEN t ELSE lt END, CASE WHEN ok THEN lat ELSE la END, CASE WHEN ok THEN lon ELSE lo END FROM (
+        SELECT h.*, n.t AS lt, n.lat AS la, n.lon AS lo, abs(h.t - n.t) >= cool AND {metres('h.lat', 'h.lon', 'n.lat', 'n.lon')} >= gap AS ok FROM n JOIN h ON h.trip_id = n.trip_id AND h.event_type = n.event_type AND h.i = n.i + 1) z)
+SELECT trip_id, event_type, seq FROM n WHERE kept"""
+
+
 def tracks(spark: SparkSession, d: str) -> DataFrame:
     t = A.map_track(view(spark, d), most=300)
     return rounded(t.select("trip_id", F.size("pts").alias("n_pts"), F.coalesce(F.size("events"), F.lit(0)).alias("n_events"), F.element_at("pts", -1).getField("lat").alias("last_lat")))
@@ -344,7 +360,7 @@ QUERIES = {
 ORACLES = {k: with_views(v, "trace") for k, v in {
     "a_charts": CHARTS, "q_plateau_order": PLATEAU_ORDER,
     "a_bands": BANDS, "a_distribution": DISTRIBUTION, "a_stats": STATS, "d_lateral": LATERAL,
-    "a1_trip_summary": SUMMARY, "d_window_events": _window_events_sql(), "d_halts": HALTS, "d_ends": ENDS, "d_anomalies": ANOMALIES, "d_tagged": TAGGED, "d_onsets": ONSETS, "d_plateaus": PLATEAU_SQL, "d_deliveries": DELIVERIES,
+    "a1_trip_summary": SUMMARY, "d_window_events": _window_events_sql(), "d_halts": HALTS, "d_ends": ENDS, "d_anomalies": ANOMALIES, "d_tagged": TAGGED, "d_onsets": ONSETS, "d_plateaus": PLATEAU_SQL, "d_deliveries": DELIVERIES, "d_detected": _detected_sql(), "d_anchored": ANCHORED,
     "q_report": QA, "q_coherence": COHERENCE, "q_realism": REALISM, "q_basics": BASICS, "q_validated": VALIDATED, "q_imu_coherence": IMU,
     "a_metrics": METRICS, "a_event_counts": f"SELECT event, count(*) AS n FROM trace WHERE NOT {BLANK} GROUP BY event", "a_heatmap": HEATMAP, "a_described": DESCRIBED, "a_imu_stats": IMU_STATS, "a_portions": PORTIONS, "a_windows": WINDOWS, "a_markers": MARKERS, "a_spikes": SPIKES, "a_tracks": TRACKS,
 }.items()}

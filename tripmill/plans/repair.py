@@ -13,7 +13,7 @@ from tripmill.operators import recurrences as R
 from tripmill.operators import resample as S
 from tripmill.plans.fixtures import view, with_views
 from tripmill.plans.motion import DT, rounded
-from tripmill.plans.sqltext import AFTER, STEP, UPTO, clip, islands, lag, lead, metres, r6, road_type
+from tripmill.plans.sqltext import AFTER, STEP, UPTO, clip, frame, islands, lag, lead, metres, r6, road_type
 
 SPEEDS = {"motorway": 110.0, "primary": 80.0, "secondary": 60.0, "tertiary": 45.0, "residential": 30.0, "service": 20.0}
 SPEED_SQL = "CASE road_type " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in SPEEDS.items()) + " END"
@@ -235,6 +235,18 @@ def synced(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.sync_grid(view(spark, d), 4.0, expected=expected).groupBy("trip_id").agg(F.count("*").alias("n"), F.max("speed").alias("max_speed"), F.count("event").alias("n_events")))
 
 
+SYNCED = f"""WITH RECURSIVE e AS (SELECT trip_id, min(ts_us) AS a, greatest((max(ts_us) - min(ts_us)) / 1e6, CASE WHEN trip_id % 3 = 0 THEN (max(ts_us) - min(ts_us)) / 1e6 + 2.6e0 ELSE 0 END) AS d FROM trace GROUP BY trip_id),
+g AS MATERIALIZED (SELECT trip_id, CAST(i AS INT) AS seq, a + i * 250000 AS ts_us FROM (SELECT *, unnest(range(0, CAST(round_even(d * 4, 0) AS BIGINT) + 1)) AS i FROM e) z),
+p AS (SELECT g.*, k.ts_us AS ta, k.lat AS la, k.lon AS oa FROM g ASOF JOIN trace k ON g.trip_id = k.trip_id AND g.ts_us >= k.ts_us),
+q AS (SELECT p.*, b.ts_us AS tb, b.lat AS lb, b.lon AS ob FROM p ASOF LEFT JOIN trace b ON p.trip_id = b.trip_id AND p.ts_us <= b.ts_us),
+r AS (SELECT trip_id, seq, coalesce(la + CASE WHEN tb > ta THEN (ts_us - ta) / CAST(tb - ta AS DOUBLE) ELSE 0e0 END * (lb - la), la) AS lat, coalesce(oa + CASE WHEN tb > ta THEN (ts_us - ta) / CAST(tb - ta AS DOUBLE) ELSE 0e0 END * (ob - oa), oa) AS lon FROM q),
+v AS MATERIALIZED (SELECT trip_id, seq, {STEP} / 0.25e0 AS v FROM r),
+s AS (SELECT trip_id, seq, v FROM v WHERE seq = 0 UNION ALL SELECT v.trip_id, v.seq, least(greatest(v.v, s.v - 0.75e0), s.v + 0.75e0) FROM s JOIN v ON v.trip_id = s.trip_id AND v.seq = s.seq + 1),
+m AS (SELECT trip_id, avg(greatest(v, 0e0)) OVER {frame(2, 2)} AS v FROM s),
+x AS (SELECT g.trip_id, count(*) AS n FROM g WHERE EXISTS (SELECT 1 FROM trace t WHERE t.trip_id = g.trip_id AND NOT (t.event IS NULL OR trim(t.event) = '') AND t.ts_us BETWEEN g.ts_us - 500000 AND g.ts_us + 500000) GROUP BY g.trip_id)
+SELECT m.trip_id, count(*) AS n, {r6('max(m.v)')} AS max_speed, coalesce(any_value(x.n), 0) AS n_events FROM m LEFT JOIN x ON x.trip_id = m.trip_id GROUP BY m.trip_id"""
+
+
 def stitched(spark: SparkSession, d: str) -> DataFrame:
     """Delivery plans as traces; checked against a loop in the tests."""
     legs = L.straight_line_legs(L.build_legs(view(spark, d, "delivery_plan")))
@@ -247,6 +259,6 @@ QUERIES = {
     "c_mid_stops": mid_stops, "c_slew": slew, "c_composed": composed, "r_resampled": resampled, "r_retimed": retimed, "r_thinned": thinned, "r_densified": densified, "r_leg_points": leg_points,
 }
 ORACLES = {"p_projected": with_views(PROJECTED, "rough")} | {k: with_views(v, "trace") for k, v in {
-    "p_label_policy": LABEL_POLICY, "c_geo_spikes": GEO_SPIKES, "c_immobility": IMMOBILITY, "c_jump_chain": JUMP_CHAIN, "c_target_ramp": TARGET_RAMP, "c_dedupe": _dedupe_sql(), "c_locks": LOCKS, "c_blocks": BLOCKS,
+    "p_label_policy": LABEL_POLICY, "r_synced": SYNCED, "c_geo_spikes": GEO_SPIKES, "c_immobility": IMMOBILITY, "c_jump_chain": JUMP_CHAIN, "c_target_ramp": TARGET_RAMP, "c_dedupe": _dedupe_sql(), "c_locks": LOCKS, "c_blocks": BLOCKS,
     "c_mid_stops": MID_STOPS, "c_slew": SLEW, "r_resampled": RESAMPLED, "r_retimed": RETIMED, "r_thinned": THINNED, "r_densified": DENSIFIED,
 }.items()} | {"r_leg_points": with_views(LEG_POINTS, "delivery_plan")}
