@@ -179,6 +179,53 @@ def test_forest_walk():
         assert math.isclose(1 / (1 + math.exp(-raw)), forest.score(x[i : i + 1])[0])
 
 
+def test_features_against_a_loop(texts):
+    import pyarrow as pa
+
+    got = quality_classifier.features(pa.array(texts))
+    assert got.shape == (len(texts), len(quality_classifier.FEATURES))
+    groups = {"stops": b".", "commas": b",;:", "exclamations": b"!", "bars": b"|", "symbols": b"#*$%&<>", "lines": b"\n"}
+    for row, text in zip(got, texts):
+        data = (text or "").encode()
+        w = re.findall(rb"[^\x20\x09-\x0d]+", data)
+        sizes = [len(x) for x in w] or [0]
+        n, k = max(len(data), 1), max(len(w), 1)
+        want = {
+            "log_bytes": math.log1p(len(data)), "log_words": math.log1p(len(w)), "word_bytes": sum(sizes) / k, "word_spread": float(np.std(sizes)), "letters": sum(97 <= c <= 122 for c in data) / n, "uppers": sum(65 <= c <= 90 for c in data) / n,
+            "digits": sum(48 <= c <= 57 for c in data) / n, "high_bytes": sum(c >= 128 for c in data) / n, **{g: sum(c in chars for c in data) / k for g, chars in groups.items()},
+        }
+        if w:
+            pairs = list(zip(w, w[1:]))
+            want |= {"distinct_words": len(set(w)) / len(w), "top_word": max(Counter(w).values()) / len(w), "capitals": sum(65 <= x[0] <= 90 for x in w) / len(w)}
+            want |= {"equal_neighbours": sum(a == b for a, b in pairs) / len(pairs), "distinct_pairs": len(set(pairs)) / len(pairs)} if pairs else {}
+        if data:
+            lines = data.split(b"\n")
+            want["duplicate_lines"] = 1 - len(set(lines)) / len(lines)
+        for name, value in want.items():
+            assert math.isclose(row[quality_classifier.FEATURES.index(name)], value, rel_tol=1e-9, abs_tol=1e-12), (name, text and text[:30])
+
+
+def test_histogram_split_is_the_best_one():
+    """The root of the first tree against every cut of every feature, with few enough values that each has a bin of its own."""
+    rng = np.random.default_rng(5)
+    columns = len(quality_classifier.FEATURES)
+    x, y = rng.integers(0, 12, (300, columns)).astype(float), rng.integers(0, 2, 300).astype(float)
+    y[x[:, 4] > 7] = 1.0
+    forest = quality_classifier.fit(x, y, trees=1, depth=1, ridge=1.0, least=1.0)
+    p = np.full(300, y.mean())
+    g, h = p - y, p * (1 - p)
+
+    def gain(f, cut):
+        right = x[:, f] > cut
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+        return part(right) + part(~right) - g.sum() ** 2 / (h.sum() + 1.0)
+
+    best = max((gain(f, c), f, c) for f in range(columns) for c in range(11))
+    assert math.isclose(gain(forest.feature[0, 0], forest.threshold[0, 0]), best[0]) and forest.feature[0, 0] == 4
+    right = x[:, 4] > forest.threshold[0, 0]
+    assert np.allclose(forest.leaf[0], [-0.15 * g[m].sum() / (h[m].sum() + 1.0) for m in (~right, right)])
+
+
 # 4
 
 
@@ -477,11 +524,11 @@ def test_many_matches_in_one_text(spark):
 # 9
 
 
-def brute_components(texts, ids):
+def brute_components(texts, ids, width=2):
     sets = []
     for t in texts:
         w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append(set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
     label = list(ids)
     links = [(i, j) for i in range(len(sets)) for j in range(i) if ids[i] == ids[j] or (sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))]
     for _ in ids:

@@ -1,8 +1,11 @@
 """Registered queries against their SQL, and the pipeline stage by stage, on the smallest tables."""
 
+from collections import Counter
+
 import pytest
 
 from tests.conftest import DATA, rows
+from tests.llm.test_operators import brute_components, brute_secrets, words
 from tripmill.llm import registry
 
 ORACLES = registry.oracle_sql()
@@ -23,16 +26,31 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, seen = docs.columns, {r.doc_id for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r for r in docs.collect()}
         stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         now = {r.doc_id for r in docs.select("doc_id").collect()}
         assert now <= seen and now
         if name != "packing":
             assert docs.columns == columns
+        if name == "quality_classifier":
+            scores = {r.doc_id: r.score for r in registry.queries()["op3_quality_classifier"](spark, DATA).collect()}
+            assert now == {i for i, score in scores.items() if score >= 0.3}
         if name == "near_dedup":
-            assert docs.count() == len(now)
+            ids = sorted(before)
+            assert docs.count() == len(now) and now == {i for i, _, _, kept in brute_components([before[i].text for i in ids], ids, 5) if kept}
         if name == "secret_scan":
             assert now == seen
+            for r in docs.collect():
+                assert not brute_secrets(r.text) and (r.text == before[r.doc_id].text or "[secret]" in r.text) and ("[secret]" in r.text or r == before[r.doc_id])
+        if name == "mixing":
+            size = lambda text: len(words(text))
+            copies, longest = Counter(r.doc_id for r in docs.collect()), max(size(r.text) for r in before.values())
+            mixed = sum(size(before[i].text) * n for i, n in copies.items())
+            assert max(copies.values()) <= 3 and abs(mixed - sum(size(r.text) for r in before.values())) <= longest
+        if name == "packing":
+            whole = Counter(r.doc_id for r in docs.where("start = 0").select("doc_id").collect())
+            assert whole == copies and docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
         seen = now
     whole = corpus_pipeline.run(spark, DATA)
     assert sorted(map(tuple, whole.select("doc_id", "piece", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
