@@ -6,6 +6,7 @@ filters leave. Everything else about these operators stays in columns.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -41,10 +42,12 @@ def ema(df: DataFrame, c: str = "speed", alpha: float = 0.3, out: str = "speed_e
 
 
 def slewed(v: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
-    out = v.astype(float).copy()
-    for i in range(1, len(out)):
-        out[i] = min(max(out[i], out[i - 1] - down[i]), out[i - 1] + up[i])
-    return out
+    """Each value within ``up`` and ``down`` of the one before, as it came out. Plain floats: numpy scalars cost ten times as much."""
+    out, last = [], None
+    for x, rise, fall in zip(v.astype(float).tolist(), up.tolist(), down.tolist()):
+        last = x if last is None else min(max(x, last - fall), last + rise)
+        out.append(last)
+    return np.array(out, float)
 
 
 def slew_limit(df: DataFrame, most: float = 5.0 / 3.6, c: str = "speed") -> DataFrame:
@@ -59,13 +62,15 @@ def slew_limit_dt(df: DataFrame, rate: float = 3.0, c: str = "speed") -> DataFra
 
 
 def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return float(2 * 6_371_000.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)))
+    if not math.isfinite(lat1 + lon1 + lat2 + lon2):
+        return math.nan
+    a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6_371_000.0 * math.atan2(math.sqrt(a), math.sqrt(max(0.0, 1 - a)))
 
 
 def pulled_back(lat: np.ndarray, lon: np.ndarray, fixed: np.ndarray, most: np.ndarray, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
     """Sweeps from the front: a sample further than ``most[i]`` from the one before is drawn towards it to just that distance."""
-    lat, lon = lat.astype(float).copy(), lon.astype(float).copy()
+    lat, lon, fixed, most = lat.astype(float).tolist(), lon.astype(float).tolist(), fixed.tolist(), most.tolist()
 
     def draw(i: int) -> bool:
         far = _metres(lat[i - 1], lon[i - 1], lat[i], lon[i])
@@ -84,7 +89,7 @@ def pulled_back(lat: np.ndarray, lon: np.ndarray, fixed: np.ndarray, most: np.nd
                     draw(i + 1)
         if not moved:
             break
-    return lat, lon
+    return np.array(lat, float), np.array(lon, float)
 
 
 def _standing(df: DataFrame) -> DataFrame:
@@ -107,7 +112,8 @@ def evened(lat: np.ndarray, lon: np.ndarray, fixed: np.ndarray, most: np.ndarray
     """Rounds of repairs from the front: a sample too far from the one before goes to the middle of its neighbours, then three
     quarters back if that is still too far; a step too far after it is repaired likewise and the check goes one back. Each
     round ends with a median of three away from standing samples; a round without repairs is the last."""
-    lat, lon, n = lat.astype(float).copy(), lon.astype(float).copy(), len(lat)
+    n, free = len(lat), ~(fixed[:-2] | fixed[1:-1] | fixed[2:]) if len(lat) >= 3 else None
+    lat, lon, fixed, most = lat.astype(float).tolist(), lon.astype(float).tolist(), fixed.tolist(), most.tolist()
     step = lambda i: _metres(lat[i - 1], lon[i - 1], lat[i], lon[i])
 
     def middle(i: int) -> None:
@@ -128,12 +134,12 @@ def evened(lat: np.ndarray, lon: np.ndarray, fixed: np.ndarray, most: np.ndarray
                 middle(i + 1)
             repaired, i = True, max(1, i - 1)
         if n >= 3:
-            free = ~(fixed[:-2] | fixed[1:-1] | fixed[2:])
             for x in (lat, lon):
-                x[1:-1] = np.where(free, np.median(np.stack([x[:-2], x[1:-1], x[2:]]), axis=0), x[1:-1])
+                y = np.array(x)
+                x[1:-1] = np.where(free, np.median(np.stack([y[:-2], y[1:-1], y[2:]]), axis=0), y[1:-1]).tolist()
         if not repaired:
             break
-    return lat, lon
+    return np.array(lat, float), np.array(lon, float)
 
 
 def clamp_gps_jumps(df: DataFrame, most_m: float = 3.0, rounds: int = 20, gain: float = 1.6, margin_m: float = 0.5) -> DataFrame:
