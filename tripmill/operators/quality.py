@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tripmill.functions.labels import POINT_EVENTS, ROAD_ORDER
 from tripmill.functions.windows import lag, ordered, trip
 from tripmill.operators.clean import round_keys
-from tripmill.operators.kinematics import step_m
+from tripmill.operators.kinematics import expected_imu, step_m
 
 
 def _median(c: Column, when: Column | None = None) -> Column:
@@ -185,6 +185,14 @@ def detect_speed_unit(df: DataFrame) -> DataFrame:
     return coherence(df).select("trip_id", "speed_unit")
 
 
+def imu_errors(df: DataFrame) -> DataFrame:
+    """The measured signals against those that speed and positions imply (``expected_imu``): trip_id, signal, n, bias, rmse."""
+    rows = expected_imu(df)
+    pairs = F.array(*(F.struct(F.lit(s).alias("signal"), (F.col(s) - F.col(f"exp_{s}")).alias("d")) for s in ("acc_x", "acc_y", "gyro_z")))
+    each = rows.select("trip_id", F.explode(pairs).alias("e"))
+    return each.groupBy("trip_id", "e.signal").agg(F.count("e.d").alias("n"), F.avg("e.d").alias("bias"), F.sqrt(F.avg(F.col("e.d") * F.col("e.d"))).alias("rmse"))
+
+
 def max_speed_ok(df: DataFrame, most_kmh: float = 130.0) -> DataFrame:
     """Per trip: the largest speed (m/s in, km/h out) and whether it is within the limit."""
     return df.groupBy("trip_id").agg((F.max("speed") * 3.6).alias("max_kmh")).withColumn("max_speed_ok", F.coalesce(F.col("max_kmh") <= most_kmh, F.lit(True)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tripmill.functions.windows import bfill, ffill, unwrap
 from tripmill.operators import kinematics as K
+from tripmill.operators import quality as Q
 from tripmill.operators import recurrences as R
 from tripmill.operators import report as A
 from tripmill.plans.fixtures import view, with_views
@@ -96,15 +97,24 @@ def expected_imu(spark: SparkSession, d: str) -> DataFrame:
     return rounded(K.expected_imu(view(spark, d)).select("trip_id", "seq", "exp_acc_x", "exp_acc_y", "exp_acc_z", "exp_gyro_y", "exp_gyro_z"))
 
 
-EXPECTED = f"""WITH b AS (SELECT *, seq * 0.1e0 AS t, coalesce(radians({bearing(lag('lat'), lag('lon'), 'lat', 'lon')}), 0e0) AS r FROM trace),
+EXPECTED_ROWS = f"""WITH b AS (SELECT *, seq * 0.1e0 AS t, coalesce(radians({bearing(lag('lat'), lag('lon'), 'lat', 'lon')}), 0e0) AS r FROM trace),
 k AS (SELECT *, r - {lag('r')} AS step FROM b),
 u AS (SELECT *, CASE WHEN step IS NULL OR abs(step) < {PI} THEN 0e0 ELSE (CASE WHEN w = -{PI} AND step > 0 THEN {PI} ELSE w END) - step END AS fix
       FROM (SELECT *, ((step + {PI}) - 2 * {PI} * floor((step + {PI}) / (2 * {PI}))) - {PI} AS w FROM k) z),
 p AS (SELECT *, r + sum(fix) OVER {UPTO} AS psi0 FROM u),
 m AS (SELECT *, avg(psi0) OVER {frame(2, 2)} AS psi, avg(speed) OVER {frame(2, 2)} AS v FROM p),
 g AS (SELECT *, CASE WHEN speed > 0.5 THEN {gradient_at('psi', 't')} ELSE 0e0 END AS yaw, greatest(v, 0e0) / 5 AS lim, {gradient_at('v', 't')} AS a FROM m),
-f AS (SELECT *, CASE WHEN yaw > lim THEN lim WHEN yaw < -lim THEN -lim ELSE yaw END AS gz FROM g)
+f AS (SELECT *, CASE WHEN yaw > lim THEN lim WHEN yaw < -lim THEN -lim ELSE yaw END AS gz FROM g)"""
+EXPECTED = EXPECTED_ROWS + f"""
 SELECT trip_id, seq, {r6(clip('a', '-6e0', '6e0'))} AS exp_acc_x, {r6('CASE WHEN speed > 0.5 THEN v * gz ELSE 0e0 END')} AS exp_acc_y, {r6('9.80665e0')} AS exp_acc_z, {r6('0e0')} AS exp_gyro_y, {r6('gz')} AS exp_gyro_z FROM f"""
 
-QUERIES = {"k_motion": motion, "k_headings": headings, "k_inertial": inertial, "k_rolling": rolling, "k_filled": filled, "k_ema": ema, "k_expected_imu": expected_imu}
-ORACLES = {k: with_views(v, "trace") for k, v in {"k_motion": MOTION, "k_headings": HEADINGS, "k_inertial": INERTIAL, "k_rolling": ROLLING, "k_filled": FILLED, "k_ema": EMA, "k_expected_imu": EXPECTED}.items()}
+
+def imu_errors(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Q.imu_errors(view(spark, d)))
+
+
+IMU_ERRORS = EXPECTED_ROWS + f""", e AS (SELECT trip_id, 'acc_x' AS signal, acc_x - {clip('a', '-6e0', '6e0')} AS d FROM f UNION ALL SELECT trip_id, 'acc_y', acc_y - CASE WHEN speed > 0.5 THEN v * gz ELSE 0e0 END FROM f UNION ALL SELECT trip_id, 'gyro_z', gyro_z - gz FROM f)
+SELECT trip_id, signal, count(*) AS n, {r6('avg(d)')} AS bias, {r6('sqrt(avg(d * d))')} AS rmse FROM e GROUP BY trip_id, signal"""
+
+QUERIES = {"k_motion": motion, "k_headings": headings, "k_inertial": inertial, "k_rolling": rolling, "k_filled": filled, "k_ema": ema, "k_expected_imu": expected_imu, "k_imu_errors": imu_errors}
+ORACLES = {k: with_views(v, "trace") for k, v in {"k_motion": MOTION, "k_headings": HEADINGS, "k_inertial": INERTIAL, "k_rolling": ROLLING, "k_filled": FILLED, "k_ema": EMA, "k_expected_imu": EXPECTED, "k_imu_errors": IMU_ERRORS}.items()}
