@@ -117,11 +117,16 @@ def add_up(sent: pa.Table) -> pa.Table:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> doc_id, words; the first row of a slice of the batch also has the distinct words of the slice."""
+    """Texts -> doc_id, words; the first row of a slice of the batch also has the slice's distinct words that the task has not sent
+    yet (as far as it remembers them, some millions)."""
+    sent = np.zeros(0, np.uint64)
     for whole in batches:
         for batch in small_slices(whole, "text"):
-            words, _, _, first = hashes(batch.column(1))
-            fresh = [np.unique(words).view(np.int64)] + [None] * (batch.num_rows - 1)
+            buf, offs = byte_column(batch.column(1))
+            words, first = word_hashes(LOWER[buf], offs)
+            new = np.setdiff1d(words & ~ODD, sent)
+            sent = np.union1d(sent, new) if len(sent) < 4_000_000 else new
+            fresh = [new.view(np.int64)] + [None] * (batch.num_rows - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(fresh, pa.list_(pa.int64()))], names=["doc_id", "n", "fresh"])
 
 
