@@ -116,7 +116,8 @@ def test_license_rules_each_have_a_text():
         for tokens in (fixed, whole):
             for text in product(*(w.strip("()").split("|") for w in tokens)):
                 spaced = "".join(f" {w} " for w in text)
-                assert re.search(licenses.STEMS, " ".join(text)) and keyword in spaced and re.fullmatch(pattern, spaced), (label, text)
+                opens = any(all(stem in " ".join(text) for stem in stems) and re.search(regex, " ".join(text)) for stems, regex in licenses.GATE)
+                assert opens and keyword in spaced and re.fullmatch(pattern, spaced), (label, text)
 
 
 def test_license_texts(spark):

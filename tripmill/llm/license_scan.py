@@ -2,7 +2,7 @@
 
 A text is ASCII-lower-cased and taken as words, each written between its own two blanks, so that a signature is an ordinary regular
 expression over whole words and places are counted in words. The rules (``license_rules``) are hand-written, some 320. No rule runs
-on a text that holds no stem of any; of the others a rule runs only on texts that hold its keyword, which is looked up once for
+on a text that holds no stem of any (``GATE``); of the others a rule runs only on texts that hold its keyword, which is looked up once for
 all its rules. A detection whose words lie within those of one of its own or a better priority is suppressed; of equal spans
 the better priority stays, then the earlier rule. One sweep in order of start decides all of a text.
 
@@ -25,11 +25,16 @@ RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-STEMS = (
-    r"(?i)licen[cs]|spdx|gpl|copyright|copyleft|rights|public[^a-z]*domain|wtfpl|cddl|mpl|epl|eupl|cc0|commons|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|attribution|bsd|hereby|redistribut|misrepresented|altered|unencumbered"
-    r"|fuck|confidential|warrant|noninfringement|substantial|endorse|advertising|acknowledgement|reproduced|proprietary|openssl|psf|apache|openrail|odbl|ofl|isc|mit|expat|waived|dedicated|developed by|prior written|use only|purposes only"
-    r"|(?:released|distributed|available|published|provided)[^a-z]+under|dual|0bsd|as perl"
-)
+#: What a text must hold for any rule to match: all stems of one line and, where there is one, its expression. Stems are looked
+#: up as plain strings, which costs a tenth of an expression with as many alternatives.
+GATE = (
+    (("licen",), ""), (("spdx",), ""), (("gpl",), ""), (("copyright",), ""), (("rights", "reserved"), ""), (("public", "domain"), ""), (("wtfpl",), ""), (("cddl",), ""), (("eupl",), ""), (("cc0",), ""), (("commons",), ""), (("bsd",), ""),
+    (("apache",), ""), (("mozilla",), ""), (("openssl",), ""), (("openrail",), ""), (("odbl",), ""), (("hereby", "granted"), ""), (("redistribut",), ""), (("misrepresented",), ""), (("altered", "plainly"), ""), (("unencumbered",), ""), (("noninfringement",), ""),
+    (("endorse", "promote"), ""), (("advertising", "acknowledgement"), ""), (("reproduced", "part"), ""), (("confidential",), ""), (("warranty",), ""), (("illinois", "developed"), ""), (("prior", "written", "permission"), ""), (("same", "terms", "perl"), ""), (("fuck",), ""),
+    (("attribution", "mit"), ""), (("only", "internal"), ""), (("only", "commercial"), ""), (("only", "personal"), ""), (("only", "research"), ""), (("only", "evaluation"), ""),
+    (("cc", "by"), r"cc[^a-z0-9]+by"), (("mpl",), r"(?<![a-z0-9])mpl(?![a-z0-9])"), (("epl",), r"(?<![a-z0-9])epl(?![a-z0-9])"),
+    *(((name, "under"), r"(?:released|distributed|available|published|provided)[^a-z0-9]+under") for name in ("mit", "expat", "isc", "zlib", "ofl")),
+)
 WEIGHT = {0: 0.4, 1: 1.0, 2: 0.9, 3: 0.8, 4: 0.6, 5: 0.5}
 
 
@@ -56,7 +61,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and ``found``, the
     detections that stay: start, end (words from 0, end exclusive), tier, label. No shuffle."""
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii("text"), F.lit(BREAK), F.lit("  "))), F.lit(" "))
-    gate = F.col("text").rlike(STEMS)
+    opens = " OR ".join("(" + " AND ".join([*(f"contains(t, '{stem}')" for stem in stems), *([f"t RLIKE {quoted(pattern)}"] if pattern else [])]) + ")" for stems, pattern in GATE)
+    gate = F.expr(f"transform(array(lower(text)), t -> {opens})[0]")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(gate, words).alias("w"))
     base = ", ".join(f"struct({quoted(signature(phrase))} AS r, '{label}' AS l)" for phrase, label in BASE)
     places = matches("w", "b.r", COUNT)
