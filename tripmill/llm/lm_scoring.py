@@ -124,8 +124,10 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(whole, "text"):
             buf, offs = byte_column(batch.column(1))
             words, first = word_hashes(LOWER[buf], offs)
-            new = np.setdiff1d(words & ~ODD, sent)
-            sent = np.union1d(sent, new) if len(sent) < 4_000_000 else new
+            new = np.unique(words & ~ODD)
+            at = np.minimum(np.searchsorted(sent, new), max(0, len(sent) - 1))
+            new = new[sent[at] != new] if len(sent) else new
+            sent = np.sort(np.concatenate([sent, new])) if len(sent) < 4_000_000 else new
             fresh = [new.view(np.int64)] + [None] * (batch.num_rows - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(fresh, pa.list_(pa.int64()))], names=["doc_id", "n", "fresh"])
 
