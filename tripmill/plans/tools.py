@@ -39,10 +39,10 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark)
     io.write_traces_padded(view(spark, d).withColumn("timestamp", F.timestamp_micros("ts_us")), path)
     back = io.read_traces(spark, path)
-    return rounded(back.groupBy("ts_us").agg(F.count("*").alias("n"), F.sum("lat").alias("lat"), F.sum(F.col("speed").cast("double")).alias("speed"), F.count("event").alias("n_events"), F.count("heading").alias("n_headings")))
+    return rounded(back.groupBy("ts_us").agg(F.count("*").alias("n"), F.sum(F.round(F.col("lat") * 1e9).cast("long")).alias("lat_e9"), F.sum(F.col("speed").cast("double")).alias("speed"), F.count("event").alias("n_events"), F.count("heading").alias("n_headings")))
 
 
-CSV = f"SELECT ts_us, count(*) AS n, {r6('sum(lat)')} AS lat, {r6('sum(CAST(CAST(speed AS FLOAT) AS DOUBLE))')} AS speed, count(event) AS n_events, CAST(0 AS BIGINT) AS n_headings FROM trace GROUP BY ts_us"
+CSV = f"SELECT ts_us, count(*) AS n, CAST(sum(CAST(round(lat * 1e9) AS BIGINT)) AS BIGINT) AS lat_e9, {r6('sum(CAST(CAST(speed AS FLOAT) AS DOUBLE))')} AS speed, count(event) AS n_events, CAST(0 AS BIGINT) AS n_headings FROM trace GROUP BY ts_us"
 
 
 def export(spark: SparkSession, d: str) -> DataFrame:
