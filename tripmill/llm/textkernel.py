@@ -51,9 +51,9 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text (and one past the last) the index of its first word."""
-    word = ~SPACE[buf]
+def word_spans(buf: np.ndarray, offs: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes not ``outside``), and for each text (and one past the last) the index of its first word."""
+    word = ~outside[buf]
     start, end = word.copy(), word.copy()
     if len(buf) > 1:
         start[1:] &= ~word[:-1]
