@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, license_scan, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, resampling, secret_scan, substring_dedup, vector_codes
+from . import ann, html_extraction, license_scan, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, resampling, secret_scan, substring_dedup, vector_codes
 
-MODULES = (quality_rules, license_scan, quality_classifier, ann, packing, mixing, substring_dedup, secret_scan, near_dedup, lm_scoring, resampling, vector_codes)
+MODULES = (quality_rules, license_scan, quality_classifier, ann, packing, mixing, substring_dedup, secret_scan, near_dedup, lm_scoring, resampling, html_extraction, vector_codes)
 
 
 def queries() -> dict:
