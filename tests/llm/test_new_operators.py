@@ -11,11 +11,52 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tests.llm.test_operators import key, make, prose
-from tripmill.llm import html_extraction, resampling, vector_codes
+from tests.llm.test_operators import brute_components, by_row, key, make, prose
+from tripmill.llm import html_extraction, near_dedup, resampling, vector_codes
 from tripmill.llm.common import join_by_share
 from tripmill.llm.labelled_pages import PAGES
 
+# 9: groups whose members or texts are too many for one task
+
+
+def template(rng, n, own, words_=1000):
+    """n texts of a common template with words of their own in the last ``own`` words; the first and the last are alike."""
+    common = [f"t{i}" for i in range(words_ - own)]
+    texts = [" ".join(common + [f"o{k}.{rng.random()}" for _ in range(own)]) for k in range(n)]
+    texts[-1] = texts[0] + " end"
+    return texts
+
+
+@pytest.mark.parametrize("options", [{"heavy": 5000}, {"block": 16}, {"heavy": 5000, "orders": 1}, {}])
+def test_links_of_long_texts_in_large_groups(spark, options):
+    texts = template(random.Random(1), 64, 200)
+    want = brute_components(texts, list(range(64)))
+    assert len({c for _, _, c, _ in want}) == 63
+    assert by_row(near_dedup.near_duplicates(make(spark, texts), **options), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
+def test_links_among_many_rows_of_one_document(spark):
+    """Rows that repeat a doc_id don't push other members of its group apart."""
+    texts = template(random.Random(4), 20, 150, 400)
+    ids = list(range(20)) + [7] * 300
+    got = near_dedup.near_duplicates(make(spark, texts + [texts[7]] * 300, ids), block=32)
+    want = sorted(r for r in brute_components(texts, list(range(20))) for _ in range(301 if r[0] == 7 else 1))
+    assert by_row(got, "doc_id", "n_shingles", "component_id", "kept") == want
+
+
+@pytest.mark.parametrize("members, tokens", [(450, 200), (20, 4000)])
+def test_confirmer_compares_first_and_last(members, tokens):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 60, tokens * 2 // 3)
+    sets = [np.sort(np.r_[common, rng.integers(0, 1 << 60, tokens - len(common))]) for _ in range(members)]
+    sets[-1] = np.unique(np.r_[sets[0][: tokens - 2], rng.integers(0, 1 << 60, 2)])
+    rows = pa.RecordBatch.from_arrays([pa.array([5] * members), pa.array(range(members)), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], names=["grp", "rep", "tokens"])
+    got = [tuple(r.values()) for b in near_dedup.confirmer(80, 512, 4 << 20)(iter([rows.slice(0, members // 2), rows.slice(members // 2 - 1)])) for r in b.to_pylist()]
+    assert got == [(members - 1, 0)]
+
+
 # 11
 
 

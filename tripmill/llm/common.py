@@ -57,7 +57,7 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def join_by_share(rows: DataFrame, known: DataFrame, key: str, n: str, hot: int = 20_000) -> DataFrame:
+def join_by_share(rows: DataFrame, known: DataFrame, key: str | list[str], n: str, hot: int = 20_000) -> DataFrame:
     """Inner join of ``rows`` with ``known``, which holds every key once and in ``n`` how many of the rows have it.
 
     Fewer than ``hot`` keys can have more than a hot-th of all rows: those are broadcast. The others are joined by a shuffle in which no
@@ -65,8 +65,9 @@ def join_by_share(rows: DataFrame, known: DataFrame, key: str, n: str, hot: int
     """
     whole = known.agg(F.sum(n)).first()[0] or 0
     often = F.col(n) * hot > whole
+    keys = [key] if isinstance(key, str) else key
     return rows.join(F.broadcast(known.where(often)), key).unionByName(
-        rows.join(F.broadcast(known.where(often).select(key)), key, "left_anti").join(known.where(~often).hint("merge"), key)
+        rows.join(F.broadcast(known.where(often).select(keys)), key, "left_anti").join(known.where(~often).hint("merge"), key)
     )
 
 

@@ -9,13 +9,14 @@ Jaccard similarity is at least ``threshold`` are linked; a component is one grou
    is compared exhaustively on the sketches, at a similarity so far below the threshold that a linked pair practically never fails; one
    with more branches by the next token, node by node. From the fourth level on a node that is still large either has members that
    mostly resemble its least one, and is joined to it as a star at once (which merges too much, never too little), or branches
-   into two children a member, up to ``extra`` times. A linked pair shares a node of depth d with a chance of at least
+   into two children a member, up to ``extra`` times, by tokens of the sketch at places that differ from node to node. A linked pair shares a node of depth d with a chance of at least
    threshold**d in each tree and independently, so all trees miss it with a chance of at most (1 - threshold**d)**trees: 3e-8 at
    depth 3, 3e-6 at depth 4. The connected groups of all trees are the candidate groups: no link leaves its group.
-4. Links are confirmed on full sets, rebuilt from the whole texts, within candidate groups of at most ``block`` members; larger
-   groups are first sorted by ``orders`` MinHash orders and compared in blocks of that many neighbours which overlap by half, so
-   that no task holds a large group. A block gives the star of each of its components, never all pairs. What the blocks leave
-   in several parts is then joined exactly (``links_across``).
+4. Links are confirmed on full sets, rebuilt from the whole texts, within candidate groups of at most ``block`` members with at most
+   ``heavy`` shingles in all, which are compared as a whole. Other groups, of many members or of long texts, are first sorted by ``orders`` MinHash
+   orders and compared in blocks of as many neighbours, or shingles, which overlap by half, so that no task holds a large group. A block gives
+   the star of each of its components, never all pairs. What the blocks leave in several parts is then joined exactly
+   (``links_across``): block and heavy bound memory, and no pair is left out for either.
 5. Components of the confirmed links, and every document gets that of its class.
 
 Null texts and texts without words have the empty set and are linked with nothing. A text with fewer words than ``width`` is a
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_column, list_slices, runs, small_slices, table
+from .common import Scratch, byte_column, join_by_share, list_slices, runs, small_slices, table
 from .components import connected_components
 from .textkernel import LOWER, blake_keys, mix, pair_hashes, word_hashes
 
@@ -180,17 +181,28 @@ def set_rows(width: int) -> Callable:
                 k1, k2 = (batch.column(at(k)).to_pylist() for k in ("k1", "k2"))
                 own = pa.array([len(s) > 0 and set_key(s) == k for s, k in zip(got, zip(k1, k2))], pa.bool_())
                 sets = pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))
-                columns = [batch.column(at(c)) for c in ("grp", "rep", "members", "sig")]
-                yield pa.RecordBatch.from_arrays([*columns, sets], names=["grp", "rep", "members", "sig", "tokens"]).filter(own)
+                columns = [batch.column(at(c)) for c in ("grp", "rep", "large", "sig")]
+                yield pa.RecordBatch.from_arrays([*columns, sets], names=["grp", "rep", "large", "sig", "tokens"]).filter(own)
 
     return rows
 
 
-def confirmer(percent: int, block: int) -> Callable:
-    """Sets sorted by grp -> the stars of the components of each group, or of each block of a long one."""
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by grp and rep without those that repeat both: copies of a document's row are no members of their own."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            at = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("grp", "rep")])
+            new = np.r_[last is None or (at[:, 0] != last).any(), (at[:, 1:] != at[:, :-1]).any(axis=0)]
+            last = at[:, -1]
+            yield batch.filter(pa.array(new))
+
+
+def confirmer(percent: int, block: int, heavy: int) -> Callable:
+    """Sets sorted by grp -> the stars of the components of each group, or of each block of one over ``block`` rows or ``heavy`` shingles."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs((s for b in batches for s in list_slices(b, "tokens")), "grp", block, "tokens"):
+        for part in runs((s for b in once(batches) for s in list_slices(b, "tokens")), "grp", block, "tokens", heavy):
             part = part.combine_chunks()
             grp, rep, sets = part.column("grp").to_numpy(), part.column("rep").to_numpy(), lists(part.column("tokens").combine_chunks())
             cuts = np.r_[np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]), len(grp)]
@@ -219,9 +231,9 @@ def links_across(sets: DataFrame, parts: DataFrame, scratch: Scratch, percent: i
     main = ids.groupBy("grp", "part").agg(F.count("*").alias("m")).groupBy("grp").agg(F.count("*").alias("parts"), F.max(F.struct("m", "part"))["part"].alias("main"))
     ids = scratch.keep(ids.join(main.where("parts > 1"), "grp").select("rep", "part", (F.col("part") == F.col("main")).alias("main")), "parts")
     tokens = sets.join(ids, "rep").select("grp", "rep", "part", "main", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
-    often = tokens.groupBy("grp", "token").agg(F.count("*").alias("often"), F.min("part").alias("a"), F.max("part").alias("b"))
+    often = scratch.keep(tokens.groupBy("grp", "token").agg(F.count("*").alias("often"), F.min("part").alias("a"), F.max("part").alias("b")), "often")
     # rarest first: a pair whose first common token comes later has too few left for a link
-    head = tokens.join(often, ["grp", "token"]).withColumn("nth", F.row_number().over(W.partitionBy("rep").orderBy("often", "token")))
+    head = join_by_share(tokens, often, ["grp", "token"], "often").withColumn("nth", F.row_number().over(W.partitionBy("rep").orderBy("often", "token")))
     head = head.where(f"a < b AND 100 * (n - nth + 1) >= {percent} * n").withColumn("band", F.floor(F.log("n") / float(np.log(BAND))).cast("int"))
     head = scratch.keep(head.select("grp", "rep", "part", "main", "n", "token", "nth", "band"), "head")
     smaller = head.where(f"{100 + percent} * (n - nth + 1) >= {2 * percent} * n").selectExpr("grp", "token", "band", "main AS side", "rep AS u", "part AS pu", "n AS nu", "nth AS iu")
@@ -267,7 +279,8 @@ def chosen_paths(reps: DataFrame, scratch: Scratch, floor: int, trees: int, smal
         whole = F.col("share") >= 0.5 if level < TRUNK + extra else F.lit(True)
         edges.append(scratch.keep(many.where(whole).select(F.col("rep").alias("u"), F.col("least").alias("v")), f"stars{level}"))
         done.append(edges[-1])
-        token = lambda b: F.substring("sig", 1 + (7 * level + 29 * b) % (VALUES - 1), 2)  # noqa: B023, E731
+        # the place is the same for all members of a node, and another in every tree
+        token = lambda b: F.expr(f"substring(sig, 1 + CAST(pmod(xxhash64(node, {level}, {b}), {VALUES - 1}) AS INT), 2)")  # noqa: B023, E731
         nodes = many.where(~whole).select("rep", F.explode(F.array(*(F.xxhash64("node", F.lit(b), token(b)) for b in (0, 1)))).alias("node"))
         if nodes.isEmpty():
             break
@@ -279,10 +292,11 @@ def chosen_paths(reps: DataFrame, scratch: Scratch, floor: int, trees: int, smal
     return groups
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 2, trees: int = 24, small: int = 32, extra: int = 2, block: int = 512, orders: int = 12, slack: float = 4.5) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 2, trees: int = 24, small: int = 32, extra: int = 2, block: int = 512, heavy: int = 4 << 20, orders: int = 12, slack: float = 4.5) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept.
 
-    percent: the least similarity of a link in hundredths. width: words in a shingle. slack: standard deviations by which a sketch may
+    percent: the least similarity of a link in hundredths. width: words in a shingle. block, heavy: members and shingles of a group that one
+    task compares as a whole. slack: standard deviations by which a sketch may
     fall short.
     """
     spark = docs.sparkSession
@@ -296,16 +310,20 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 2, trees
     floor = max(1, int(VALUES * j - slack * (VALUES * j * (1 - j)) ** 0.5))
     groups = chosen_paths(reps, scratch, floor, trees, small, extra)
 
-    sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("members")), "grp").join(reps.select("rep", "k1", "k2", "sig"), "rep")
-    sets = sized.join(docs.withColumnRenamed("doc_id", "rep"), "rep").mapInArrow(set_rows(width), "grp long, rep long, members long, sig binary, tokens array<long>")
+    sized = groups.join(reps.select("rep", "n_shingles", "k1", "k2", "sig"), "rep")
+    sizes = sized.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight"))
+    large = (F.col("members") > block) | ((F.col("members") > 1) & (F.col("weight") > heavy))
+    sized = sized.join(sizes.select("grp", large.alias("large")), "grp")
+    sets = sized.join(docs.withColumnRenamed("doc_id", "rep"), "rep").mapInArrow(set_rows(width), "grp long, rep long, large boolean, sig binary, tokens array<long>")
     sets = scratch.keep(sets, "sets")
-    plain = sets.where(F.col("members") <= block).select("grp", F.lit(b"").alias("place"), "rep", "tokens")
-    big = sets.where(F.col("members") > block).dropDuplicates(["rep"])
+    confirm = confirmer(percent, block, heavy)
+    plain = sets.where("NOT large").select("grp", "rep", "tokens").repartition("grp").sortWithinPartitions("grp", "rep")
+    big = sets.where("large").dropDuplicates(["rep"])
     turned = lambda o: F.concat(F.expr(f"substring(sig, {1 + 5 * o % VALUES}, {VALUES})"), F.expr(f"substring(sig, 1, {5 * o % VALUES})"))
     orders_ = F.explode(F.array(*(F.struct(F.lit(o).alias("o"), turned(o).alias("place")) for o in range(orders))))
-    large = big.withColumn("x", orders_).select(F.xxhash64("grp", "x.o").alias("grp"), "x.place", "rep", "tokens")
-    ordered = plain.union(large).repartitionByRange("grp", "place").sortWithinPartitions("grp", "place", "rep")
-    links = ordered.mapInArrow(confirmer(percent, block), "u long, v long")
+    turns = big.withColumn("x", orders_).select(F.xxhash64("grp", "x.o").alias("grp"), "x.place", "rep", "tokens")
+    turns = turns.repartitionByRange("grp", "place", "rep").sortWithinPartitions("grp", "place", "rep").select("grp", "rep", "tokens")
+    links = plain.mapInArrow(confirm, "u long, v long").union(turns.mapInArrow(confirm, "u long, v long"))
     doubled = usable.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "k1", "k2")).alias("a"), F.max(F.struct("n_shingles", "k1", "k2")).alias("b")).where("a != b").select("doc_id")
     classes = reps.select("n_shingles", "k1", "k2", "rep")
     same_id = usable.join(doubled, "doc_id").join(classes, ["n_shingles", "k1", "k2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
