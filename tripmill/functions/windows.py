@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+
 def trip() -> WindowSpec:
     return W.partitionBy("trip_id")
 
@@ -78,5 +82,16 @@ def spans(df: DataFrame, flag: Column, *keys: str) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the cluster's folder; without one (tests) they are kept by Spark with their lineage."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """The rows as a table in the folder that ``spark.checkpoint.dir`` names: computed once, without lineage, and its size is known to later joins.
+    It stays until the folder's owner clears it. Only a local master that names no folder gets a temporary one of its own."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tripmill-')}")
+        folder = context.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -122,13 +122,15 @@ def realism_report(df: DataFrame) -> DataFrame:
     All of it is one pass: one shuffle, one sort and one aggregate."""
     kmh = F.col("speed") * 3.6
     rows = _stop_rows(_coherence_rows(df)).withColumn("_dv", F.abs(kmh - lag(kmh)))
-    moving = (F.col("speed") > 0.5) & ~F.coalesce(F.col("event").isin(list(POINT_EVENTS)), F.lit(False))
-    std = lambda c: F.stddev_samp(F.when(moving, F.col(c)))
-    has = lambda e: F.coalesce(F.bool_or(F.col("event") == e), F.lit(False))
+    # variability counts where the trip moves and no event shakes it, from 10 such rows on; the ends belong to the gyroscope's range only
+    moving = F.coalesce((F.col("speed") > 0.2) & ~F.coalesce(F.col("event").isin(*POINT_EVENTS, "ouverture_porte"), F.lit(False)), F.lit(False))
+    std = lambda c: F.when(F.count_if(moving) >= 10, F.stddev_samp(F.when(moving, F.col(c))))
+    inside = lambda s, v: (v > 0.05) & (v < 4.0) if s == "acc" else v.between(0.01, 60.0)
+    has = lambda e: F.coalesce(F.bool_or(F.col("event").isin(e, f"{e}_start")), F.lit(False))
     checks = [
         (F.abs(F.median("_raw") - 0.1) < 0.01).alias("frequency_ok"), (F.min_by(kmh, "seq") <= 1).alias("starts_at_zero"), (F.max_by(kmh, "seq") <= 1).alias("ends_at_zero"),
         (F.coalesce(F.max("_dv"), F.lit(0.0)) <= 20).alias("smooth"), (F.max("step_m") <= 50).alias("no_jumps"), (F.stddev_samp(kmh) > 0.5).alias("speed_varies"),
-        *(F.coalesce(std(f"{s}_{a}").between(0.01, 60.0), F.lit(False)).alias(f"{s}_{a}_varies") for s in ("acc", "gyro") for a in "xyz"),
+        *(F.coalesce(inside(s, std(f"{s}_{a}")), F.lit(False)).alias(f"{s}_{a}_varies") for s in ("acc", "gyro") for a in "xyz"),
         has("stop").alias("has_stop"), has("wait").alias("has_wait"), *(F.count_if(F.col("event") == e).alias(f"n_{e}") for e in POINT_EVENTS),
         (F.max("speed") * 3.6).alias("max_kmh"), (F.count_if(F.col("speed") != 0) == 0).alias("all_zero"), F.count_if(F.col("speed").isNull()).alias("null_speeds"),
     ]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripmill.functions.labels import POINT_EVENTS, is_blank
+from tripmill.functions.quantiles import quantiles
 from tripmill.functions.windows import centred, lag, spans, trip
 from tripmill.operators.kinematics import G, cumulative_distance, dt_s, gps_speed, step_m
 from tripmill.operators.resample import downsample
@@ -50,9 +51,11 @@ def acc_heatmap(df: DataFrame, bins: int = 100, most_g: float = 1.0) -> DataFram
 
 
 def speed_describe(df: DataFrame, *by: str) -> DataFrame:
-    q = F.percentile("speed", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count("speed").alias("n"), F.avg("speed").alias("mean"), F.stddev_samp("speed").alias("std"), F.min("speed").alias("min"), q.alias("_q"), F.max("speed").alias("max"))
-    return out.select(*by, "n", "mean", "std", "min", *(F.col("_q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))), "max")
+    """Count, mean, spread, ends and exact quartiles of the speed in each group, or of all rows; quartiles by selection, so a group may be of any size."""
+    stats = df.groupBy(*by).agg(F.count("speed").alias("n"), F.avg("speed").alias("mean"), F.stddev_samp("speed").alias("std"), F.min("speed").alias("min"), F.max("speed").alias("max"))
+    q = quantiles(df, "speed", by, (0.25, 0.5, 0.75)).select(*(F.col(b).alias(f"_{b}") for b in by), "q")
+    out = stats.join(q, reduce(Column.__and__, (stats[b].eqNullSafe(q[f"_{b}"]) for b in by), F.lit(True)), "left")
+    return out.select(*by, "n", "mean", "std", "min", *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))), "max")
 
 
 def imu_stats(df: DataFrame) -> DataFrame:
@@ -133,9 +136,9 @@ def max_speed_summary(df: DataFrame) -> DataFrame:
 
 
 def speed_distribution(df: DataFrame, by: str = "road_type", parts: int = 10) -> DataFrame:
-    """Speed quantiles of each group, one row a quantile: the data of a violin plot."""
-    q = F.percentile("speed", F.array(*(F.lit(i / parts) for i in range(parts + 1))))
-    return df.groupBy(by).agg(q.alias("_q")).select(by, F.posexplode("_q").alias("k", "speed")).select(by, (F.col("k") / parts).alias("quantile"), "speed")
+    """Exact speed quantiles of each group, one row a quantile: the data of a violin plot."""
+    q = quantiles(df, "speed", (by,), tuple(i / parts for i in range(parts + 1)))
+    return q.select(by, F.posexplode("q").alias("k", "speed")).select(by, (F.col("k") / parts).alias("quantile"), "speed")
 
 
 def speed_stats(df: DataFrame) -> DataFrame:

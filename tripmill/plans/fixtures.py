@@ -33,7 +33,7 @@ k AS (
 SELECT trip_id, seq,
   CAST(1735689600000000 + CAST(seq AS BIGINT) * 100000 AS BIGINT) AS ts_us,
   (49000000000 + CAST(sum(dlat) OVER (PARTITION BY trip_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT)) / 1e9 AS lat,
-  (1000000000 + trip_id % 2000 * 50000000 + CAST(sum(dlon) OVER (PARTITION BY trip_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT)) / 1e9 AS lon,
+  (1000000000 + CAST(trip_id % 2000 AS BIGINT) * 50000000 + CAST(sum(dlon) OVER (PARTITION BY trip_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT)) / 1e9 AS lon,
   v_cms / 100.0e0 AS speed,
   CASE WHEN trip_id % 6 <> 0 AND seq BETWEEN 120 AND 129 THEN 1.5e0 WHEN trip_id % 6 <> 1 AND n - seq BETWEEN 131 AND 140 THEN -1.6e0
        WHEN trip_id % 3 <> 0 AND c BETWEEN 1500 AND 1509 THEN -3.5e0 WHEN trip_id % 3 <> 1 AND c BETWEEN 1550 AND 1559 THEN 3.2e0

@@ -11,12 +11,13 @@ from tripmill.operators import quality as Q
 from tripmill.operators import recurrences as R
 from tripmill.operators import report as A
 from tripmill.plans.fixtures import view, with_views
-from tripmill.plans.sqltext import AFTER, HEADING, STEP, UPTO, bearing, clip, frame, gradient, gradient_at, lag, lead, r6
+from tripmill.plans.sqltext import AFTER, HEADING, STEP, TIE, UPTO, bearing, clip, frame, gradient, gradient_at, lag, lead, r6
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Floating outputs to 6 decimals, without negative zeros."""
-    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c, t in df.dtypes if t == "double"})
+    """Floating outputs to 6 decimals, without negative zeros. Means of whole cents can lie on a tie of the sixth decimal, where the order of a
+    sum would decide: so ties are moved up by a little more than sums can be off."""
+    return df.withColumns({c: F.round(F.col(c) + TIE, 6) + F.lit(0.0) for c, t in df.dtypes if t == "double"})
 
 
 def motion(spark: SparkSession, d: str) -> DataFrame:
