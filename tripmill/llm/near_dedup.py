@@ -230,12 +230,15 @@ def links_across(sets: DataFrame, parts: DataFrame, scratch: Scratch, percent: i
     ids = sets.select("grp", "rep").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
     main = ids.groupBy("grp", "part").agg(F.count("*").alias("m")).groupBy("grp").agg(F.count("*").alias("parts"), F.max(F.struct("m", "part"))["part"].alias("main"))
     ids = scratch.keep(ids.join(main.where("parts > 1"), "grp").select("rep", "part", (F.col("part") == F.col("main")).alias("main")), "parts")
-    tokens = sets.join(ids, "rep").select("grp", "rep", "part", "main", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
-    often = scratch.keep(tokens.groupBy("grp", "token").agg(F.count("*").alias("often"), F.min("part").alias("a"), F.max("part").alias("b")), "often")
+    # no more than keys goes with every token; what belongs to a set comes back when only its first tokens are left
+    one = lambda *more: sets.join(ids, "rep").select("grp", "rep", *more, F.explode("tokens").alias("token"))
+    often = scratch.keep(one("part").groupBy("grp", "token").agg(F.count("*").alias("often"), (F.min("part") < F.max("part")).alias("across")), "often")
+    tokens = join_by_share(one(), often, ["grp", "token"], "often")
     # rarest first: a pair whose first common token comes later has too few left for a link
-    head = join_by_share(tokens, often, ["grp", "token"], "often").withColumn("nth", F.row_number().over(W.partitionBy("rep").orderBy("often", "token")))
-    head = head.where(f"a < b AND 100 * (n - nth + 1) >= {percent} * n").withColumn("band", F.floor(F.log("n") / float(np.log(BAND))).cast("int"))
-    head = scratch.keep(head.select("grp", "rep", "part", "main", "n", "token", "nth", "band"), "head")
+    head = tokens.withColumn("nth", F.row_number().over(W.partitionBy("rep").orderBy("often", "token"))).withColumn("n", F.count("*").over(W.partitionBy("rep")))
+    head = head.where(f"across AND 100 * (n - nth + 1) >= {percent} * n").withColumn("band", F.floor(F.log("n") / float(np.log(BAND))).cast("int"))
+    head = scratch.keep(head.join(ids, "rep").select("grp", "rep", "part", "main", "n", "token", "nth", "band"), "head")
+    scratch.drop(often)
     smaller = head.where(f"{100 + percent} * (n - nth + 1) >= {2 * percent} * n").selectExpr("grp", "token", "band", "main AS side", "rep AS u", "part AS pu", "n AS nu", "nth AS iu")
     steps = int(np.log(100 / percent) / np.log(BAND)) + 1
     larger = head.withColumn("band", F.explode(F.expr(f"transform(sequence(0, {steps}), d -> band - d)")))
