@@ -1,8 +1,7 @@
 """Enrichment joins: lookups, as-of, nearest, containment and intervals, all as equi-joins on a key or a grid cell.
 
-Nearest searches take candidates from a row's cell and its neighbours only; the cell is at least as wide as the search radius, so
-nothing within the radius is missed. Searches without a radius widen the cell for the rows that are still without an answer
-(``nearest_points``). A side is broadcast where Spark knows it to be small, never by hint.
+Joins within a distance take candidates from cells that are as wide as the distance at every latitude and wrap around at 180 degrees
+(``functions.grid``), so nothing within it is missed. Searches without a limit go down a pyramid of cells (``grid.nearest_points``).
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tripmill.functions import geo
 from tripmill.functions.labels import EVENT_CATEGORIES, HIGHWAY_TO_ROAD_TYPE, lookup
-from tripmill.functions.windows import bfill, centred, ffill, gradient, written
+from tripmill.functions.grid import cover, home, nearest_points
+from tripmill.functions.windows import bfill, centred, ffill, gradient
 from tripmill.operators.kinematics import step_m
 from tripmill.operators.recurrences import spaced
 
@@ -64,38 +64,6 @@ def asof_event(grid: DataFrame, events: DataFrame, tolerance_us: int = 500_000)
     return both.withColumn("event", F.coalesce(hit, own)).drop("_g", "_e", "_a", "_b", "_n")
 
 
-def neighbours(df: DataFrame, size: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Each row once for its grid cell and each of the eight around it: cell_lat, cell_lon."""
-    around = F.array(*(F.struct((geo.cell(F.col(lat), size) + i).alias("cell_lat"), (geo.cell(F.col(lon), size) + j).alias("cell_lon")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    return df.withColumn("_cell", F.explode(around)).select("*", "_cell.*").drop("_cell")
-
-
-def nearest_points(here: DataFrame, points: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], size: float, same: tuple[str, ...] = (), when=None, metric: str = "degrees") -> DataFrame:
-    """For each row of ``here`` (keys, lat, lon, columns ``same``) the nearest of ``points`` (_lat, _lon, values, same), at any distance:
-    keys, n (d, then the values in the order that breaks ties). ``same`` must agree and ``when`` hold.
-
-    The cell grows eightfold for the rows without a point within its width, until it spans the globe; few rows go that far.
-    """
-    found = None
-    while True:
-        cells = {"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)}
-        pairs = here.withColumns(cells).join(neighbours(points, size, "_lat", "_lon"), [*same, "cell_lat", "cell_lon"])
-        d = F.sqrt(F.pow(F.col("lat") - F.col("_lat"), 2) + F.pow(F.col("lon") - F.col("_lon"), 2)) if metric == "degrees" else geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-        # what is certainly within the neighbouring cells: a degree of longitude shrinks with the latitude
-        reach = F.lit(size) if metric == "degrees" else 110_000.0 * size * F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(89.9))))
-        pairs = pairs.withColumn("d", F.round(d, 12 if metric == "degrees" else 6))
-        pairs = pairs.where(when) if when is not None else pairs
-        pairs = pairs.where(F.col("d") <= reach) if size < 360 else pairs
-        best = written(pairs.groupBy(*keys).agg(F.min(F.struct("d", *values)).alias("n")))
-        found = best if found is None else found.union(best)
-        if size >= 360:
-            return found
-        here = written(here.join(best.select(*keys), list(keys), "left_anti"))
-        if here.isEmpty():
-            return found
-        size *= 8
-
-
 def nearest_road(df: DataFrame, nodes: DataFrame, size: float = 0.002) -> DataFrame:
     """The nearest node in degree space, however far: highway_near, node_id, nearest_distance_m (true metres); ties to the smaller
     node_id. size: the cell of the first search, in degrees."""
@@ -115,13 +83,13 @@ def node_highway(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def weather_join(df: DataFrame, weather: DataFrame, within_us: int = 1_800_000_000, size: float = 0.05) -> DataFrame:
     """Of the weather points within half an hour the nearest in degrees, then the earliest; its values or nulls. The search is on
-    the bucket of the time, with the two beside, and a spatial cell that widens from ``size``."""
+    the bucket of the time, with the two beside, and cells from ``size`` degrees on."""
     values = [c for c in weather.columns if c not in ("ts_us", "lat", "lon")]
     bucket = lambda c: F.floor(F.col(c) / within_us)
     there = weather.select(F.col("ts_us").alias("_wt"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *values)
     there = there.withColumn("_bucket", F.explode(F.array(*(bucket("_wt") + i for i in (-1, 0, 1)))))
     here = df.select("trip_id", "seq", "ts_us", "lat", "lon").withColumn("_bucket", bucket("ts_us"))
-    best = nearest_points(here, there, ("trip_id", "seq"), ("_wt", *values), size, ("_bucket",), F.abs(F.col("_wt") - F.col("ts_us")) <= within_us)
+    best = nearest_points(here, there, ("trip_id", "seq"), ("_wt", *values), size, ("_bucket",), ("ts_us", "_wt", within_us))
     return df.join(best.select("trip_id", "seq", *(F.col(f"n.{v}").alias(v) for v in values)), ["trip_id", "seq"], "left")
 
 
@@ -167,9 +135,8 @@ def elevation_join(df: DataFrame, dem: DataFrame, cells: int = 1000, smooth: int
 def snap_points(df: DataFrame, pois: DataFrame, most_m: float = 100.0, least: int = 800) -> DataFrame:
     """(poi_id, trip_id, lat, lon) -> the closest sample of the trip within ``most_m``, if at least ``least`` samples after the last
     one accepted in its trip: poi_id, trip_id, seq, distance_m."""
-    size = most_m / 60_000  # a degree of longitude is over 60 km up to 57 degrees; finer than that the cell is still wide enough
-    there = neighbours(pois.select("poi_id", "trip_id", F.col("lat").alias("_plat"), F.col("lon").alias("_plon")), size, "_plat", "_plon")
-    here = df.select("trip_id", "seq", "lat", "lon").withColumns({"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)})
+    there = cover(pois.select("poi_id", "trip_id", F.col("lat").alias("_plat"), F.col("lon").alias("_plon")), most_m, "_plat", "_plon")
+    here = df.select("trip_id", "seq", "lat", "lon").withColumns(home(F.col("lat"), F.col("lon"), most_m))
     d = F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon")), 6)
     near = here.join(there, ["trip_id", "cell_lat", "cell_lon"]).withColumn("distance_m", d).where(F.col("distance_m") <= most_m)
     hits = near.groupBy("poi_id", "trip_id").agg(F.min(F.struct("distance_m", "seq")).alias("b")).select("poi_id", "trip_id", "b.seq", "b.distance_m")
@@ -203,18 +170,19 @@ def flag_intervals(df: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 def revisits(df: DataFrame, within_m: float = 30.0, apart: int = 10) -> DataFrame:
-    """Per trip: whether two samples at least ``apart`` rows apart are closer than ``within_m``. Cells are as wide as that; runs in
-    one cell are kept as their ends, so standing still makes no pairs."""
-    size = within_m / 60_000
-    cells = df.select("trip_id", "seq", "lat", "lon").withColumns({"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)})
-    # two rows of one cell at least `apart` apart in one cell of half the width are certainly close: first and last row decide
-    half = cells.groupBy("trip_id", geo.cell(F.col("lat"), size / 4).alias("a"), geo.cell(F.col("lon"), size / 4).alias("b")).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    sure = half.where(F.col("hi") - F.col("lo") >= apart).select("trip_id").distinct().withColumn("_sure", F.lit(True))
-    rest = cells.join(sure, "trip_id", "left_anti")
-    other = neighbours(rest.select("trip_id", F.col("seq").alias("_s"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), size, "_lat", "_lon")
+    """Per trip: whether two samples at least ``apart`` rows apart are closer than ``within_m``. Cells are as wide as that; two rows far enough
+    apart in one cell of a third of the width are certainly close, and decide their trip by the cell's first and last row: so standing
+    still makes no pairs."""
+    at = df.select("trip_id", "seq", "lat", "lon")
+    small = home(F.col("lat"), F.col("lon"), within_m / 3)  # a cell is at most twice as wide as high between the poles' caps
+    ends = at.withColumns(small).groupBy("trip_id", "cell_lat", "cell_lon").agg(F.min(F.struct("seq", "lat", "lon")).alias("a"), F.max(F.struct("seq", "lat", "lon")).alias("b"))
+    close = geo.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) < within_m
+    sure = ends.where((F.col("b.seq") - F.col("a.seq") >= apart) & close).select("trip_id").distinct().withColumn("_sure", F.lit(True))
+    rest = at.withColumns(home(F.col("lat"), F.col("lon"), within_m)).join(sure, "trip_id", "left_anti")
+    other = cover(rest.select("trip_id", F.col("seq").alias("_s"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), within_m, "_lat", "_lon")
     pair = rest.join(other, ["trip_id", "cell_lat", "cell_lon"]).where(F.col("_s") >= F.col("seq") + apart)
-    close = pair.where(geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) < within_m).select("trip_id").distinct().withColumn("_sure", F.lit(True))
-    return df.select("trip_id").distinct().join(sure.union(close), "trip_id", "left").select("trip_id", F.coalesce("_sure", F.lit(False)).alias("revisits"))
+    met = pair.where(geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) < within_m).select("trip_id").distinct().withColumn("_sure", F.lit(True))
+    return df.select("trip_id").distinct().join(sure.union(met), "trip_id", "left").select("trip_id", F.coalesce("_sure", F.lit(False)).alias("revisits"))
 
 
 def attach_columns(df: DataFrame, enriched: DataFrame, *columns: str) -> DataFrame:
@@ -248,9 +216,8 @@ def road_within_buffer(df: DataFrame, segments: DataFrame, buffer_m: float = 10.
 
 def proximity_labels(df: DataFrame, events: DataFrame, within_m: float = 3.0) -> DataFrame:
     """(event_order, label, lat, lon) -> event of each sample: the first by order of those within the distance; else its own."""
-    size = within_m / 50_000
-    there = neighbours(events.select("event_order", F.col("label").alias("_label"), F.col("lat").alias("_elat"), F.col("lon").alias("_elon")), size, "_elat", "_elon")
-    here = df.select("trip_id", "seq", "lat", "lon").withColumns({"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)})
+    there = cover(events.select("event_order", F.col("label").alias("_label"), F.col("lat").alias("_elat"), F.col("lon").alias("_elon")), within_m, "_elat", "_elon")
+    here = df.select("trip_id", "seq", "lat", "lon").withColumns(home(F.col("lat"), F.col("lon"), within_m))
     near = here.join(there, ["cell_lat", "cell_lon"]).where(geo.haversine(F.col("lat"), F.col("lon"), F.col("_elat"), F.col("_elon")) < within_m)
     best = near.groupBy("trip_id", "seq").agg(F.min_by("_label", "event_order").alias("_near"))
     return df.join(best, ["trip_id", "seq"], "left").withColumn("event", F.coalesce("_near", "event")).drop("_near")
