@@ -52,8 +52,10 @@ def canonical_events(df: DataFrame) -> DataFrame:
     return df.withColumn("event", F.coalesce(lookup(ALIASES, label), label))
 
 
-def drop_leading_stop(df: DataFrame) -> DataFrame:
-    """Clears the first 'stop' label of a trip."""
+def drop_leading_stop(df: DataFrame, anywhere: bool = True) -> DataFrame:
+    """Clears the first 'stop' label of a trip; not ``anywhere``: only one on its first row."""
+    if not anywhere:
+        return df.withColumn("event", F.when((F.col("event") == "stop") & (F.col("seq") == 0), None).otherwise(F.col("event")))
     nth = F.sum(F.when(F.col("event") == "stop", 1).otherwise(0)).over(so_far())
     return df.withColumn("event", F.when((F.col("event") == "stop") & (nth == 1), None).otherwise(F.col("event")))
 
@@ -173,9 +175,10 @@ def lock_end(df: DataFrame, seconds: float = 8.0) -> DataFrame:
 
 
 def zero_ends(df: DataFrame, rows: int = 10) -> DataFrame:
-    """Head := 0 if its median is under 0.6 or its 80th percentile under 1 m/s; tail := 0 if its median is under 0.4."""
+    """Head := 0 if its median is under 0.6 or its 80th percentile under 1 m/s; tail := 0 if its median is under 0.4. A trip shorter
+    than its head, or no longer than its tail, keeps it."""
     n = F.count("*").over(trip())
-    df = df.withColumn("_head", F.col("seq") < rows).withColumn("_tail", n - F.col("seq") <= rows)
+    df = df.withColumn("_head", (F.col("seq") < rows) & (n >= rows)).withColumn("_tail", (n - F.col("seq") <= rows) & (n > rows))
     q = lambda part, p: F.percentile(F.when(F.col(part), F.col("speed")), F.lit(p)).over(trip())
     still = (F.col("_head") & ((q("_head", 0.5) < 0.6) | (q("_head", 0.8) < 1.0))) | (F.col("_tail") & (q("_tail", 0.5) < 0.4))
     return df.withColumn("_still", still).withColumn("speed", F.when(F.col("_still"), 0.0).otherwise(F.col("speed"))).drop("_head", "_tail", "_still")

@@ -6,6 +6,8 @@ Joins within a distance take candidates from cells that are as wide as the dista
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from tripmill.functions import geo
 from tripmill.functions.labels import EVENT_CATEGORIES, HIGHWAY_TO_ROAD_TYPE, lookup
 from tripmill.functions.grid import cover, home, nearest_points
 from tripmill.functions.windows import bfill, centred, ffill, gradient
+from tripmill.functions.zones import zones_at
 from tripmill.operators.kinematics import step_m
 from tripmill.operators.recurrences import spaced
 
@@ -94,19 +97,35 @@ def weather_join(df: DataFrame, weather: DataFrame, within_us: int = 1_800_000_0
 
 
 def zone_join(df: DataFrame, zones: DataFrame, size: float = 0.05, default: str = "inconnu") -> DataFrame:
-    """(zone_id, zone_type, ring) -> osm_zone of each sample: ray casting within the zones whose bounding box meets the
-    sample's cell; of several the last by zone_id."""
-    z = zones.withColumns({f"_{f}_{c}": fn(F.expr(f"transform(ring, p -> p.{c})")) for c in ("lat", "lon") for f, fn in (("lo", F.array_min), ("hi", F.array_max))})
-    for c in ("lat", "lon"):
-        z = z.withColumn(f"cell_{c}", F.explode(F.sequence(geo.cell(F.col(f"_lo_{c}"), size), geo.cell(F.col(f"_hi_{c}"), size))))
-    here = df.select("trip_id", "seq", "lat", "lon").withColumns({"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)})
-    hit = here.join(z, ["cell_lat", "cell_lon"]).where(geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring")))
+    """(zone_id, zone_type, ring) -> osm_zone of each sample: the type of the zone that holds it, of several the last by zone_id. Zones are
+    covered by cells of ``size`` degrees, so only samples near a border are tested against it (``functions.zones``)."""
+    hit = zones_at(df.select("trip_id", "seq", "lat", "lon"), zones, ("trip_id", "seq"), size)
     best = hit.groupBy("trip_id", "seq").agg(F.max_by("zone_type", "zone_id").alias("osm_zone"))
     return df.join(best, ["trip_id", "seq"], "left").na.fill(default, ["osm_zone"])
 
 
-def grid_zone(df: DataFrame, size: float = 0.01) -> DataFrame:
-    return df.withColumn("grid_id", F.concat_ws(":", geo.cell(F.col("lat"), size), geo.cell(F.col("lon"), size)))
+def hexagon(df: DataFrame, size: float = 0.01) -> DataFrame:
+    """hex_q, hex_r: the axial coordinates of the hexagon (corner to the north, ``size`` degrees from centre to corner) that holds the sample, by rounding
+    its cube coordinates; hex_lat, hex_lon: its centre."""
+    q, r = (math.sqrt(3) / 3 * F.col("lon") - F.col("lat") / 3) / size, 2 / 3 * F.col("lat") / size
+    half = lambda x: F.floor(x + 0.5)
+    df = df.withColumns({"_q": q, "_r": r}).withColumn("_s", -F.col("_q") - F.col("_r"))
+    df = df.withColumns({f"_{c}0": half(F.col(f"_{c}")) for c in "qrs"}).withColumns({f"_{c}d": F.abs(F.col(f"_{c}0") - F.col(f"_{c}")) for c in "qrs"})
+    largest_q = (F.col("_qd") > F.col("_rd")) & (F.col("_qd") > F.col("_sd"))
+    largest_r = ~largest_q & (F.col("_rd") > F.col("_sd"))
+    df = df.withColumns({"hex_q": F.when(largest_q, -F.col("_r0") - F.col("_s0")).otherwise(F.col("_q0")), "hex_r": F.when(largest_r, -F.col("_q0") - F.col("_s0")).otherwise(F.col("_r0"))})
+    df = df.withColumns({"hex_lat": 1.5 * size * F.col("hex_r"), "hex_lon": math.sqrt(3) * size * (F.col("hex_q") + F.col("hex_r") / 2)})
+    return df.drop("_q", "_r", "_s", *(f"_{c}{x}" for c in "qrs" for x in "0d"))
+
+
+def grid_zone(df: DataFrame, zones: DataFrame, size: float = 0.01, default: str = "inconnu") -> DataFrame:
+    """grid_id (``q:r`` of the sample's hexagon) and grid_zone, the type of the zone that holds the hexagon's centre: zones are looked up once a
+    hexagon that holds samples, not once a sample."""
+    df = hexagon(df, size)
+    centres = df.select("hex_q", "hex_r", F.col("hex_lat").alias("lat"), F.col("hex_lon").alias("lon")).distinct()
+    types = zones_at(centres, zones, ("hex_q", "hex_r"), 5 * size).groupBy("hex_q", "hex_r").agg(F.max_by("zone_type", "zone_id").alias("grid_zone"))
+    df = df.join(types, ["hex_q", "hex_r"], "left").na.fill(default, ["grid_zone"])
+    return df.withColumn("grid_id", F.concat_ws(":", "hex_q", "hex_r")).drop("hex_q", "hex_r", "hex_lat", "hex_lon")
 
 
 def elevation_join(df: DataFrame, dem: DataFrame, cells: int = 1000, smooth: int = 21, mode: str = "nearest") -> DataFrame:

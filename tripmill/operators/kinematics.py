@@ -22,7 +22,9 @@ def step_m(df: DataFrame, out: str = "step_m") -> DataFrame:
 
 
 def step_m_ellipsoid(df: DataFrame, out: str = "step_ellipsoid_m") -> DataFrame:
-    return df.withColumn(out, F.coalesce(geo.ellipsoid_step(lag("lat"), lag("lon"), F.col("lat"), F.col("lon")), F.lit(0.0)))
+    """Geodesic metres on WGS84 from the sample before; 0 for the first."""
+    df = df.withColumns({"_lat0": lag("lat"), "_lon0": lag("lon")})
+    return df.withColumn(out, F.coalesce(geo.geodesic(F.col("_lat0"), F.col("_lon0"), F.col("lat"), F.col("lon")), F.lit(0.0))).drop("_lat0", "_lon0")
 
 
 def heading(df: DataFrame, out: str = "heading", spare: str = "last") -> DataFrame:
@@ -35,8 +37,9 @@ def cumulative_distance(df: DataFrame, out: str = "distance_m") -> DataFrame:
     return step_m(df, "_step").withColumn(out, F.sum("_step").over(so_far())).drop("_step")
 
 
-def total_distance(df: DataFrame) -> DataFrame:
-    return step_m(df).groupBy("trip_id").agg(F.sum("step_m").alias("distance_m"))
+def total_distance(df: DataFrame, ellipsoid: bool = False) -> DataFrame:
+    """Metres a trip, on the sphere or along geodesics of the ellipsoid."""
+    return (step_m_ellipsoid(df, "step_m") if ellipsoid else step_m(df)).groupBy("trip_id").agg(F.sum("step_m").alias("distance_m"))
 
 
 def dt_s(df: DataFrame, out: str = "dt_s") -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripmill.functions.labels import POINT_EVENTS, ROAD_ORDER
 from tripmill.functions.windows import lag, ordered, trip
@@ -152,21 +157,57 @@ def duplicate_keys(df: DataFrame) -> DataFrame:
     return round_keys(df).groupBy("trip_id", "t_key", "lat_key", "lon_key").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def validate_dataset(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
-    """One row a rule that can fail: column, rule, n_bad. rules: column -> {"nullable": bool, "values": [...], "type": "double"}."""
-    exprs: dict[str, Column] = {}
+def _first_offenders(most: int) -> Callable:
+    """(k, key) -> of each k the number of rows and the ``most`` smallest keys, once a task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        first: dict[str, list] = {}
+        for batch in batches:
+            rules, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            n.update(rules)
+            for k, key in zip(rules, found):
+                first.setdefault(k, []).append(key)
+            for k, held in first.items():
+                held.sort(key=lambda key: [(v is not None, v) for v in key.values()])
+                del held[most:]
+        kind = pa.list_(batch.column(1).type) if n else None
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values())), pa.array([first[k] for k in n], kind)], names=["k", "n_bad", "offenders"])
+
+    return count
+
+
+def validate_dataset(df: DataFrame, rules: dict[str, dict], strict_order: bool = False, most: int = 5, keys: tuple[str, ...] = ("trip_id", "seq")) -> DataFrame:
+    """One row a rule that can fail: column, rule, n_bad, and offenders, the keys of the first ``most`` rows that break it.
+
+    rules: column -> {"nullable": bool, "values": [...], "type": "double"}, in the order of the schema. Rules: missing (all rows are bad), null, value,
+    type (what is there can't be cast); with ``strict_order`` also order, with n_bad 1 if the first columns are not those of the schema; and extra, a
+    remark with n_bad 0, for each other column. One pass: a task counts and keeps the first offenders of each rule, so their lists stay short.
+    """
+    bad: dict[tuple[str, str], Column] = {}
+    fixed = [("*", "order", int(list(df.columns[: len(rules)]) != list(rules)))] if strict_order and all(c in df.columns for c in rules) else []
+    fixed += [(c, "extra", 0) for c in df.columns if c not in rules]
     for c, rule in rules.items():
         if c not in df.columns:
-            exprs[f"{c}|missing"] = F.count("*")
+            bad[c, "missing"] = F.lit(True)
             continue
         if not rule.get("nullable", True):
-            exprs[f"{c}|null"] = F.count_if(F.col(c).isNull())
+            bad[c, "null"] = F.col(c).isNull()
         if "values" in rule:
-            exprs[f"{c}|value"] = F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(rule["values"]))
+            bad[c, "value"] = F.col(c).isNotNull() & ~F.col(c).isin(rule["values"])
         if "type" in rule:
-            exprs[f"{c}|type"] = F.count_if(F.expr(f"`{c}` IS NOT NULL AND try_cast(`{c}` AS {rule['type']}) IS NULL"))
-    one = df.agg(F.array(*(F.struct(F.lit(k.split("|")[0]).alias("column"), F.lit(k.split("|")[1]).alias("rule"), v.alias("n_bad")) for k, v in exprs.items())).alias("r"))
-    return one.select(F.explode("r").alias("r")).select("r.*")
+            bad[c, "type"] = F.expr(f"`{c}` IS NOT NULL AND try_cast(`{c}` AS {rule['type']}) IS NULL")
+    broken = F.explode(F.array_compact(F.array(*(F.when(v, F.lit(f"{c}|{r}")) for (c, r), v in bad.items())))) if bad else F.explode(F.array().cast("array<string>"))
+    rows = df.select(broken.alias("k"), F.struct(*keys).alias("key"))
+    kind = rows.schema["key"].dataType
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("n_bad", T.LongType()), T.StructField("offenders", T.ArrayType(kind))])
+    firsts = F.slice(F.array_sort(F.flatten(F.collect_list("offenders"))), 1, most).alias("offenders")
+    parts = rows.mapInArrow(_first_offenders(most), schema).groupBy("k", (F.spark_partition_id() % 1000).alias("p")).agg(F.sum("n_bad").alias("n_bad"), firsts)
+    found = parts.groupBy("k").agg(F.sum("n_bad").alias("n_bad"), firsts)
+    listed = df.sparkSession.createDataFrame([(c, r, f"{c}|{r}", None) for c, r in bad] + [(c, r, "", n) for c, r, n in fixed], "column string, rule string, k string, known long")
+    none = F.array().cast(T.ArrayType(kind))
+    return listed.join(found, "k", "left").select("column", "rule", F.coalesce("n_bad", "known", F.lit(0)).alias("n_bad"), F.coalesce("offenders", none).alias("offenders"))
 
 
 def imu_coherence(df: DataFrame) -> DataFrame:

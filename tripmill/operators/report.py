@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tripmill.functions.labels import POINT_EVENTS, is_blank
 from tripmill.functions.quantiles import quantiles
 from tripmill.functions.windows import centred, lag, spans, trip
-from tripmill.operators.kinematics import G, cumulative_distance, dt_s, gps_speed, step_m
+from tripmill.operators.kinematics import G, cumulative_distance, dt_s, gps_speed, step_m, step_m_ellipsoid
 from tripmill.operators.resample import downsample
 
 
@@ -26,8 +26,9 @@ def trip_summary(df: DataFrame) -> DataFrame:
 
 
 def trip_metrics(df: DataFrame) -> DataFrame:
-    rows = gps_speed(step_m(df))
-    return rows.groupBy("trip_id").agg(((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("duration_s"), F.sum("step_m").alias("distance_m"), F.avg("gps_speed_kmh").alias("gps_kmh"), (F.avg("speed") * 3.6).alias("declared_kmh"))
+    """Duration, geodesic distance, and the mean speeds from positions and as declared."""
+    rows = step_m_ellipsoid(gps_speed(step_m(df)))
+    return rows.groupBy("trip_id").agg(((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("duration_s"), F.sum("step_ellipsoid_m").alias("distance_m"), F.avg("gps_speed_kmh").alias("gps_kmh"), (F.avg("speed") * 3.6).alias("declared_kmh"))
 
 
 def event_counts(df: DataFrame, total: bool = False) -> DataFrame:

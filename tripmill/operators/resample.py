@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from tripmill.functions import geo
 from tripmill.functions.labels import is_blank
-from tripmill.functions.windows import lag, so_far, trip
+from tripmill.functions.windows import bfill, ffill, lag, so_far, trip
+from tripmill.operators.clean import zero_ends
 from tripmill.operators.joins import asof_event
-from tripmill.operators.kinematics import gps_speed, rolling_mean, rolling_median, step_m
-from tripmill.operators.recurrences import slew_limit_dt
+from tripmill.operators.kinematics import gps_speed, rolling_median, step_m
+from tripmill.operators.recurrences import compose_clean, slew_limit_dt
 
 
 def time_grid(df: DataFrame, hz: float = 10.0, expected: DataFrame | None = None) -> DataFrame:
@@ -112,24 +113,45 @@ def densify_1m(points: DataFrame) -> DataFrame:
     return seg.select("trip_id", "seq", "part", (F.col("lat") + share * (F.col("lat2") - F.col("lat"))).alias("lat"), (F.col("lon") + share * (F.col("lon2") - F.col("lon"))).alias("lon"))
 
 
-def resample_full(df: DataFrame, hz: float = 10.0, tolerance_us: int = 500_000, expected: DataFrame | None = None) -> DataFrame:
-    """Numbers linear by time on the grid, other columns from the last sample (else the next), labels from the nearest in reach."""
-    numbers = tuple(c for c, t in df.dtypes if t in ("double", "float"))
-    texts = [c for c, t in df.dtypes if t == "string" and c != "event"]
-    grid = resample_linear(df, numbers, hz, expected)
-    if texts:
-        known = df.groupBy("trip_id", "ts_us").agg(*(F.min_by(c, "seq").alias(c) for c in texts))
+def resample_positions(df: DataFrame, hz: float = 10.0, tolerance_us: int = 500_000) -> DataFrame:
+    """The rows of the grid, from the samples at exactly its times (of one time the first by seq): numbers linear by the count of grid rows between two that are known, the
+    nearest known one at the ends; other columns from the last known row, else the next; labels from the nearest sample in reach."""
+    step = int(1000 / hz) * 1000
+    fixed = ("trip_id", "seq", "ts_us")
+    numbers = [c for c, t in df.dtypes if c not in fixed and t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal")]
+    others = [c for c in df.columns if c not in (*fixed, *numbers, "event")]
+    first = df.withColumn("_nth", F.row_number().over(W.partitionBy("trip_id", "ts_us").orderBy("seq"))).where("_nth = 1").drop("_nth", "seq")
+    ends = first.groupBy("trip_id").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
+    grid = ends.select("trip_id", F.posexplode(F.sequence("a", "b", F.lit(step).cast("long"))).alias("seq", "ts_us"))
+    rows = grid.join(first.drop("event"), ["trip_id", "ts_us"], "left")
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).cast("double").alias("v")))
+    rows = rows.withColumns({f"_{s}_{c}": fill(at(c)) for s, fill in (("a", ffill), ("b", bfill)) for c in numbers})
+    between = {}
+    for c in numbers:
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        between[c] = F.when(a.isNull(), b.v).when(b.isNull() | (a.seq == b.seq), a.v).otherwise(a.v + (F.col("seq") - a.seq) / (b.seq - a.seq) * (b.v - a.v))
+    rows = rows.withColumns(between | {c: F.coalesce(ffill(c), bfill(c)) for c in others}).select("trip_id", "seq", "ts_us", *numbers, *others)
+    return asof_event(rows, df.where(~is_blank(F.col("event"))), tolerance_us) if "event" in df.columns else rows
+
+
+def resample_full(df: DataFrame, hz: float = 10.0, tolerance_us: int = 500_000) -> DataFrame:
+    """Onto the grid by positions, then the chain of repairs: jumps, standing still, speed from positions, slew and absolute limits, distance."""
+    return compose_clean(resample_positions(df, hz, tolerance_us))
+
+
+def sync_grid(df: DataFrame, hz: float = 10.0, rate: float = 3.0, expected: DataFrame | None = None) -> DataFrame:
+    """A grid of exactly round(duration * hz) + 1 rows for the observed duration or that of ``expected`` (trip_id, duration_s), if longer: positions
+    linear by time, all other columns from the last sample that has them (else the next); speed from the positions, slew-limited, and 0 at
+    ends that hardly move, over one second each."""
+    grid = resample_linear(df, ("lat", "lon"), hz, expected)
+    others = [c for c in df.columns if c not in ("trip_id", "seq", "ts_us", "lat", "lon", "speed")]
+    if others:
+        known = df.groupBy("trip_id", "ts_us").agg(*(F.min_by(c, "seq").alias(c) for c in others))
         both = grid.withColumn("_g", F.lit(1)).unionByName(known.withColumn("_g", F.lit(0)), allowMissingColumns=True)
-        order, back = trip().orderBy("ts_us", "_g"), trip().orderBy(F.desc("ts_us"), F.desc("_g"))
-        upto, after = order.rowsBetween(W.unboundedPreceding, 0), back.rowsBetween(W.unboundedPreceding, 0)
-        grid = both.withColumns({c: F.coalesce(F.last(c, True).over(upto), F.last(c, True).over(after)) for c in texts}).where("_g = 1").drop("_g")
-    return asof_event(grid, df.where(~is_blank(F.col("event"))), tolerance_us) if "event" in df.columns else grid
-
-
-def sync_grid(df: DataFrame, hz: float = 10.0, rate: float = 3.0, window: int = 5, expected: DataFrame | None = None) -> DataFrame:
-    """The full resampling (to the expected duration, trip_id and duration_s, if that is longer), then speed from the positions, slew-limited and smoothed."""
-    grid = gps_speed(resample_full(df, hz, expected=expected)).withColumn("speed", F.col("gps_speed_mps")).drop("gps_speed_mps", "gps_speed_kmh")
-    return rolling_mean(slew_limit_dt(grid, rate), "speed", window, "speed")
+        upto, after = (trip().orderBy(*order).rowsBetween(W.unboundedPreceding, 0) for order in (("ts_us", "_g"), (F.desc("ts_us"), F.desc("_g"))))
+        grid = both.withColumns({c: F.coalesce(F.last(c, True).over(upto), F.last(c, True).over(after)) for c in others}).where("_g = 1").drop("_g")
+    grid = gps_speed(grid).withColumn("speed", F.col("gps_speed_mps")).drop("gps_speed_mps", "gps_speed_kmh")
+    return zero_ends(slew_limit_dt(grid, rate), rows=max(1, int(hz)))
 
 
 def stitch(points: DataFrame, legs: DataFrame, hz: float = 10.0, start_us: int = 1_735_689_600_000_000) -> DataFrame:

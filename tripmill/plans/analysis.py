@@ -14,7 +14,7 @@ from tripmill.operators import quality as Q
 from tripmill.operators import recurrences as R
 from tripmill.operators import report as A
 from tripmill.plans.fixtures import view, with_views
-from tripmill.plans.motion import DT, TURN, rounded
+from tripmill.plans.motion import DT, ELLIPSOID, TURN, rounded
 from tripmill.plans.sqltext import HEADING, STEP, UPTO, frame, gradient, gradient_at, islands, lag, metres, r6, road_type
 
 BLANK = "(event IS NULL OR trim(event) = '')"
@@ -192,14 +192,27 @@ u AS (SELECT trip_id, count(*) AS n FROM (SELECT trip_id FROM rough GROUP BY tri
 SELECT a.trip_id, n_falling, n_equal, n_nulls, ordered, coalesce(u.n, 0) AS n_duplicate_keys FROM a JOIN o ON a.trip_id = o.trip_id LEFT JOIN u ON a.trip_id = u.trip_id"""
 
 
+VALID = {"event": {"nullable": True, "values": ["stop", "wait", "freinage"]}, "osm_highway": {"nullable": False}, "speed": {"nullable": False, "type": "int"}, "lat": {"nullable": False}, "altitude": {"nullable": False}}
+
+
 def validated(spark: SparkSession, d: str) -> DataFrame:
-    rules = {"event": {"nullable": True, "values": ["stop", "wait", "freinage"]}, "osm_highway": {"nullable": False}, "speed": {"nullable": False, "type": "double"}, "altitude": {"nullable": False}}
-    return Q.validate_dataset(view(spark, d), rules).unionByName(A.null_counts(view(spark, d)).select("column", F.lit("count").alias("rule"), F.col("n_null").alias("n_bad")))
+    rough = view(spark, d, "rough")
+    found = Q.validate_dataset(rough, VALID, strict_order=True)
+    strict = Q.validate_dataset(rough.select("event", "osm_highway", "speed", "lat"), {c: VALID[c] for c in ("osm_highway", "event", "speed", "lat")}, strict_order=True, keys=("event",)).where("rule = 'order'")
+    rows = F.array_join(F.transform("offenders", lambda k: F.concat_ws(":", k.trip_id, k.seq)), ",").alias("offenders")
+    counts = A.null_counts(rough).select("column", F.lit("count").alias("rule"), F.col("n_null").alias("n_bad"), F.lit("").alias("offenders"))
+    return found.select("column", "rule", "n_bad", rows).unionByName(strict.select("column", "rule", "n_bad", F.lit("").alias("offenders"))).unionByName(counts)
+
+
+def _validated_sql() -> str:
+    listed = lambda c, r, bad: f"SELECT '{c}' AS \"column\", '{r}' AS rule, count(*) AS n_bad, coalesce(string_agg(trip_id || ':' || seq, ',' ORDER BY trip_id, seq) FILTER (i <= 5), '') AS offenders FROM (SELECT trip_id, seq, row_number() OVER (ORDER BY trip_id, seq) AS i FROM rough WHERE {bad}) z"
+    columns = ("trip_id", "seq", "ts_us", "lat", "lon", "speed", "acc_x", "acc_y", "acc_z", "gyro_x", "gyro_y", "gyro_z", "event", "osm_highway")
+    parts = [listed("event", "value", "event NOT IN ('stop', 'wait', 'freinage')"), listed("osm_highway", "null", "osm_highway IS NULL"), listed("speed", "null", "speed IS NULL"), listed("speed", "type", "speed IS NOT NULL AND NOT isfinite(speed)"), listed("lat", "null", "lat IS NULL"), listed("altitude", "missing", "true")]
+    parts += [f"SELECT '{c}', 'extra', 0, ''" for c in columns if c not in VALID] + ["SELECT '*', 'order', 1, ''"]
+    return " UNION ALL ".join(parts + [f"SELECT '{c}', 'count', count(*) FILTER ({c} IS NULL), '' FROM rough" for c in columns])
 
 
-VALIDATED = "SELECT 'event' AS \"column\", 'value' AS rule, count(*) FILTER (event NOT IN ('stop', 'wait', 'freinage')) AS n_bad FROM trace UNION ALL SELECT 'osm_highway', 'null', count(*) FILTER (osm_highway IS NULL) FROM trace UNION ALL SELECT 'speed', 'null', count(*) FILTER (speed IS NULL) FROM trace UNION ALL SELECT 'speed', 'type', count(*) FILTER (speed IS NOT NULL AND TRY_CAST(speed AS DOUBLE) IS NULL) FROM trace UNION ALL SELECT 'altitude', 'missing', count(*) FROM trace" + "".join(
-    f" UNION ALL SELECT '{c}', 'count', count(*) FILTER ({c} IS NULL) FROM trace" for c in ("trip_id", "seq", "ts_us", "lat", "lon", "speed", "acc_x", "acc_y", "acc_z", "gyro_x", "gyro_y", "gyro_z", "event", "osm_highway")
-)
+VALIDATED = _validated_sql()
 
 
 def imu_coherence(spark: SparkSession, d: str) -> DataFrame:
@@ -215,8 +228,8 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.trip_metrics(df).join(A.point_event_counts(df), "trip_id").join(A.road_types_seen(df), "trip_id"))
 
 
-METRICS = f"""WITH s AS ({DT}), t AS (SELECT *, {road_type()} AS road_type FROM s)
-SELECT trip_id, {r6('(max(ts_us) - min(ts_us)) / 1e6')} AS duration_s, {r6('sum(step_m)')} AS distance_m, {r6('avg(step_m / dt_s * 3.6e0)')} AS gps_kmh, {r6('avg(speed) * 3.6e0')} AS declared_kmh,
+METRICS = f"""WITH s AS (SELECT *, {ELLIPSOID} AS long FROM ({DT}) y), t AS (SELECT *, {road_type()} AS road_type FROM s)
+SELECT trip_id, {r6('(max(ts_us) - min(ts_us)) / 1e6')} AS duration_s, {r6('sum(long)')} AS distance_m, {r6('avg(step_m / dt_s * 3.6e0)')} AS gps_kmh, {r6('avg(speed) * 3.6e0')} AS declared_kmh,
   {", ".join(f"count(*) FILTER (event = '{e}') AS n_{e}" for e in POINTS)}, array_to_string(list_sort(list(DISTINCT road_type)), ',') AS road_types FROM t GROUP BY trip_id"""
 
 
@@ -358,7 +371,7 @@ QUERIES = {
     "q_report": qa_report, "q_coherence": coherence, "q_realism": realism, "q_basics": basics, "q_validated": validated, "q_imu_coherence": imu_coherence,
     "a_metrics": metrics, "a_event_counts": event_counts, "a_heatmap": heatmap, "a_described": described, "a_imu_stats": imu_stats, "a_portions": portions, "a_windows": windows, "a_markers": markers, "a_spikes": spikes, "a_tracks": tracks,
 }
-ORACLES = {k: with_views(v, "rough" if k == "q_basics" else "trace") for k, v in {
+ORACLES = {k: with_views(v, "rough" if k in ("q_basics", "q_validated") else "trace") for k, v in {
     "a_charts": CHARTS, "q_plateau_order": PLATEAU_ORDER,
     "a_bands": BANDS, "a_distribution": DISTRIBUTION, "a_stats": STATS, "d_lateral": LATERAL,
     "a1_trip_summary": SUMMARY, "d_window_events": _window_events_sql(), "d_halts": HALTS, "d_ends": ENDS, "d_anomalies": ANOMALIES, "d_tagged": TAGGED, "d_onsets": ONSETS, "d_plateaus": PLATEAU_SQL, "d_deliveries": DELIVERIES, "d_detected": _detected_sql(), "d_anchored": ANCHORED,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,12 +68,18 @@ SELECT trip_id, seq, node_id, highway AS highway_near, {r6('m')} AS nearest_dist
 def zones(spark: SparkSession, d: str) -> DataFrame:
     corner = lambda a, b: F.struct(F.col(a).alias("lat"), F.col(b).alias("lon"))
     z = view(spark, d, "zones").select("zone_id", "zone_type", F.array(corner("lat_min", "lon_min"), corner("lat_min", "lon_max"), corner("lat_max", "lon_max"), corner("lat_max", "lon_min")).alias("ring"))
-    return J.grid_zone(J.zone_join(view(spark, d), z)).select("trip_id", "seq", "osm_zone", "grid_id")
-
-
-ZONES = """WITH m AS (SELECT t.trip_id, t.seq, t.lat, t.lon, z.zone_type, row_number() OVER (PARTITION BY t.trip_id, t.seq ORDER BY z.zone_id DESC) AS r FROM trace t
-  LEFT JOIN zones z ON t.lat >= lat_min AND t.lat < lat_max AND t.lon >= lon_min AND t.lon < lon_max)
-SELECT trip_id, seq, coalesce(zone_type, 'inconnu') AS osm_zone, concat(CAST(floor(lat / 0.01) AS BIGINT), ':', CAST(floor(lon / 0.01) AS BIGINT)) AS grid_id FROM m WHERE r = 1"""
+    return J.grid_zone(J.zone_join(view(spark, d), z), z).select("trip_id", "seq", "osm_zone", "grid_id", "grid_zone")
+
+
+ZONES = f"""WITH m AS (SELECT t.trip_id, t.seq, z.zone_type, row_number() OVER (PARTITION BY t.trip_id, t.seq ORDER BY z.zone_id DESC) AS r FROM trace t
+  LEFT JOIN zones z ON t.lat >= lat_min AND t.lat < lat_max AND t.lon >= lon_min AND t.lon < lon_max),
+c AS (SELECT trip_id, seq, ({math.sqrt(3) / 3!r} * lon - lat / 3) / 0.01e0 AS q, {2 / 3!r} * lat / 0.01e0 AS r FROM trace),
+d AS (SELECT trip_id, seq, CAST(floor(q + 0.5) AS BIGINT) AS q0, CAST(floor(r + 0.5) AS BIGINT) AS r0, CAST(floor(-q - r + 0.5) AS BIGINT) AS s0, q, r, -q - r AS s FROM c),
+h AS (SELECT trip_id, seq, CASE WHEN abs(q0 - q) > abs(r0 - r) AND abs(q0 - q) > abs(s0 - s) THEN -r0 - s0 ELSE q0 END AS hq,
+  CASE WHEN NOT (abs(q0 - q) > abs(r0 - r) AND abs(q0 - q) > abs(s0 - s)) AND abs(r0 - r) > abs(s0 - s) THEN -q0 - s0 ELSE r0 END AS hr FROM d),
+x AS (SELECT hq, hr, {1.5 * 0.01!r} * hr AS lat, {math.sqrt(3) * 0.01!r} * (hq + hr / 2e0) AS lon FROM (SELECT DISTINCT hq, hr FROM h) y),
+y AS (SELECT hq, hr, arg_max(zone_type, zone_id) AS t FROM x JOIN zones z ON x.lat >= lat_min AND x.lat < lat_max AND x.lon >= lon_min AND x.lon < lon_max GROUP BY hq, hr)
+SELECT m.trip_id, m.seq, coalesce(zone_type, 'inconnu') AS osm_zone, concat(h.hq, ':', h.hr) AS grid_id, coalesce(y.t, 'inconnu') AS grid_zone FROM m JOIN h USING (trip_id, seq) LEFT JOIN y ON y.hq = h.hq AND y.hr = h.hr WHERE m.r = 1"""
 
 
 def elevation(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripmill.functions.zones import zones_at
 from tripmill.operators import clean as C
 from tripmill.operators import detect as D
 from tripmill.operators import joins as J
@@ -53,7 +54,7 @@ def export(spark: SparkSession, d: str) -> DataFrame:
     for _ in range(2):
         io.export_dataset(df, path, "r2", START, artifacts=True)
     rows = io.latest_run(spark, path).select("trip_id", "seq", F.unix_micros("timestamp").alias("ts_us"), F.col("speed").cast("double").alias("speed"), "event", "road_type", "run_id")
-    sizes = spark.read.json(f"{path}_meta").select("run_id", "n_points").join(spark.read.json(f"{path}_json").groupBy("run_id").agg(F.count("*").alias("n_json")), "run_id")
+    sizes = io.runs(spark, path).select("run_id", "n_points").join(spark.read.json(f"{path}_json").groupBy("run_id").agg(F.count("*").alias("n_json")), "run_id")
     return rounded(rows.join(sizes, "run_id"))
 
 
@@ -61,6 +62,23 @@ EXPORT = f"""WITH n AS (SELECT count(*) AS n FROM trace)
 SELECT trip_id, seq, ts_us + {START - 1_735_689_600_000_000} AS ts_us, {r6('CAST(CAST(speed AS FLOAT) AS DOUBLE)')} AS speed, CASE WHEN trip_id % 2 = 0 THEN event WHEN speed = 0 THEN 'stop' WHEN speed < 2 THEN 'wait' END AS event, osm_highway AS road_type, 'r2' AS run_id, n AS n_points, n AS n_json FROM trace, n"""
 
 
+def zones_read(spark: SparkSession, d: str) -> DataFrame:
+    """Zones as GeoJSON files, one a zone type, read back: how many zones of each type the samples meet, and that ids are unique."""
+    path, z = folder(spark), view(spark, d, "zones")
+    corner = lambda a, b: F.array(F.col(b), F.col(a))
+    ring = F.array(F.array(corner("lat_min", "lon_min"), corner("lat_min", "lon_max"), corner("lat_max", "lon_max"), corner("lat_max", "lon_min")))
+    feature = F.struct(F.struct("zone_type").alias("properties"), F.struct(ring.alias("coordinates")).alias("geometry"))
+    z.withColumn("t", F.col("zone_type")).groupBy("t").agg(F.collect_list(feature).alias("features")).repartition("t").write.partitionBy("t").json(path)
+    back = io.read_zones(spark, f"{path}/*/*.json")
+    met = zones_at(view(spark, d).select("trip_id", "seq", "lat", "lon"), back, ("trip_id", "seq"), 0.05)
+    held = met.groupBy("zone_type").agg(F.count("*").alias("n_samples"), F.count_distinct("zone_id").alias("n_met"))
+    return back.groupBy("zone_type").agg(F.count_distinct("zone_id").alias("n_zones")).join(held, "zone_type", "left").na.fill(0)
+
+
+ZONES_READ = """WITH m AS (SELECT zone_type, count(*) AS n_samples, count(DISTINCT zone_id) AS n_met FROM trace t JOIN zones z ON t.lat >= lat_min AND t.lat < lat_max AND t.lon >= lon_min AND t.lon < lon_max GROUP BY zone_type)
+SELECT zone_type, count(*) AS n_zones, coalesce(any_value(n_samples), 0) AS n_samples, coalesce(any_value(n_met), 0) AS n_met FROM zones LEFT JOIN m USING (zone_type) GROUP BY zone_type"""
+
+
 def anomalies_written(spark: SparkSession, d: str) -> DataFrame:
     df, a, b = view(spark, d), folder(spark), folder(spark)
     io.write_json(df.select("trip_id", "seq", "ts_us", "lat", "lon"), a)
@@ -270,11 +288,11 @@ UNION ALL SELECT 'n_trips', {r6('count(DISTINCT trip_id)')} FROM s UNION ALL SEL
 
 
 QUERIES = {
-    "s_csv": csv_round_trip, "s_export": export, "s_anomalies": anomalies_written, "s_weather": weather_read, "s_routes": routes, "s_plan": plan_read, "p_schemas": schemas, "p_labels": labels, "c_rough": rough_repaired, "c_cleaned": cleaned,
+    "s_csv": csv_round_trip, "s_export": export, "s_anomalies": anomalies_written, "s_weather": weather_read, "s_zones": zones_read, "s_routes": routes, "s_plan": plan_read, "p_schemas": schemas, "p_labels": labels, "c_rough": rough_repaired, "c_cleaned": cleaned,
     "j_nodes": node_tags, "j_compared": elevations_compared, "r_metres": metre_points, "q_limits": limits, "a_totals": totals,
 }
 ORACLES = {
-    "s_csv": with_views(CSV, "trace"), "s_export": with_views(EXPORT, "trace"), "s_anomalies": with_views(ANOMALIES, "trace"), "s_weather": with_views(WEATHER_READ, "weather"), "s_routes": with_views(ROUTES, "delivery_plan"), "s_plan": with_views(PLAN_READ, "delivery_plan"),
+    "s_csv": with_views(CSV, "trace"), "s_export": with_views(EXPORT, "trace"), "s_anomalies": with_views(ANOMALIES, "trace"), "s_weather": with_views(WEATHER_READ, "weather"), "s_zones": with_views(ZONES_READ, "zones"), "s_routes": with_views(ROUTES, "delivery_plan"), "s_plan": with_views(PLAN_READ, "delivery_plan"),
     "p_schemas": with_views(SCHEMAS, "rough"), "p_labels": with_views(LABELS, "trace"), "c_rough": with_views(ROUGH_REPAIRED, "rough"), "c_cleaned": with_views(CLEANED, "trace"), "j_nodes": with_views(NODE_TAGS, "road_nodes"), "j_compared": with_views(COMPARED, "dem"),
     "r_metres": with_views(METRES, "trace"), "q_limits": with_views(LIMITS, "trace"), "a_totals": with_views(TOTALS, "trace", "delivery_plan"),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,23 +31,34 @@ def write_traces_padded(df: DataFrame, path: str, columns: tuple[str, ...] = EXP
     write_traces_csv(df.withColumns({c: F.lit(None).cast("string") for c in missing_columns(df, list(columns))}), path, columns)
 
 
-def export_dataset(df: DataFrame, path: str, run_id: str, start_us: int | None = None, schema: T.StructType | None = None, artifacts: bool = False) -> None:
+def export_dataset(df: DataFrame, path: str, run_id: str, start_us: int | None = None, schema: T.StructType | None = None, artifacts: bool = False) -> dict:
     """Moves trips to a start time, makes labels of flags, applies the schema and writes a run's partition; a run that is written
-    again replaces its own. With ``artifacts`` also CSV and JSON lines of the run and its manifest, in folders beside (path_csv, ...)."""
+    again replaces its own. With ``artifacts`` also CSV and JSON lines of the run, in folders beside (path_csv, path_json).
+
+    The rows are computed once: their number is observed while they are written, and the artifacts are copies of the written partition. The
+    manifest (path_meta) comes last and commits the run: without it a run doesn't count as written. Returns the manifest.
+    """
+    spark = df.sparkSession
     if start_us is not None:
         df = shift_start(df, start_us)
     df = event_from_flags(df).withColumn("timestamp", F.timestamp_micros("ts_us"))
-    rows = apply_schema(df, schema or canonical()).withColumn("run_id", F.lit(run_id))
+    rows = apply_schema(df, schema or canonical())
+    _remove(spark, f"{path}_meta/run_id={run_id}")
+    seen = Observation()
+    at = lambda kind: f"{path}{kind}/run_id={run_id}"
+    rows.observe(seen, F.count(F.lit(1)).alias("n_points")).write.mode("overwrite").parquet(at(""))
+    if artifacts:
+        back = spark.read.schema(rows.schema).parquet(at(""))
+        back.select(*(c for c, t in back.dtypes if not t.startswith(("array", "map", "struct")))).write.mode("overwrite").option("header", True).csv(at("_csv"))
+        back.write.mode("overwrite").json(at("_json"))
+    found = {"n_points": seen.get["n_points"], "columns": [*rows.columns, "run_id"], "version": "1.0"}
+    spark.createDataFrame([(*found.values(),)], "n_points long, columns array<string>, version string").withColumn("finished", F.current_timestamp()).coalesce(1).write.json(at("_meta"))
+    return {"run_id": run_id, **found}
 
-    def run_of(frame: DataFrame):
-        return frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
 
-    run_of(rows).parquet(path)
-    if artifacts:
-        flat = rows.select(*(c for c, t in rows.dtypes if not t.startswith(("array", "map", "struct"))))
-        run_of(flat).option("header", True).csv(f"{path}_csv")
-        run_of(rows).json(f"{path}_json")
-        run_of(manifest(rows, run_id)).json(f"{path}_meta")
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def event_from_flags(df: DataFrame) -> DataFrame:
@@ -73,10 +84,18 @@ def manifest(df: DataFrame, run_id: str, version: str = "1.0") -> DataFrame:
     return df.agg(F.count("*").alias("n_points")).select(F.lit(run_id).alias("run_id"), "n_points", F.array(*(F.lit(c) for c in df.columns)).alias("columns"), F.lit(version).alias("version"))
 
 
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """The manifests of all committed runs: run_id, n_points, columns, version, finished. No run's own files are opened."""
+    return spark.read.schema("n_points long, columns array<string>, version string, finished timestamp, run_id string").json(f"{path}_meta")
+
+
 def latest_run(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the largest run_id; only its partition is read."""
-    runs = spark.read.parquet(path)
-    return runs.where(F.col("run_id") == F.lit(runs.agg(F.max("run_id")).first()[0]))
+    """The rows of the run that was committed last (of one time the largest run_id), with run_id; unfinished runs don't count, and only the
+    run's own partition is read."""
+    last = runs(spark, path).orderBy(F.desc("finished"), F.desc("run_id")).first()
+    if last is None:
+        raise ValueError(f"no finished run in {path}")
+    return spark.read.parquet(f"{path}/run_id={last['run_id']}").withColumn("run_id", F.lit(last["run_id"]))
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
@@ -85,11 +104,15 @@ def read_weather(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON polygons -> zone_id, zone_type, ring array<struct<lat, lon>> (outer rings; coordinates are lon, lat)."""
+    """GeoJSON polygons of one file or a folder -> zone_id, zone_type, ring array<struct<lat, lon>> (outer rings; coordinates are lon, lat).
+    zone_id rises in the order of the files' names and of the zones within a file, and no two zones share one."""
     schema = "features array<struct<properties: struct<zone_type: string>, geometry: struct<coordinates: array<array<array<double>>>>>>"
-    rows = spark.read.json(path, schema=schema, multiLine=True).select(F.posexplode("features").alias("zone_id", "f"))
+    files = spark.read.json(path, schema=schema, multiLine=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("nth", "f"))
+    sizes = files.groupBy("file").agg(F.max("nth").alias("last"))
+    before = F.coalesce(F.sum(F.col("last").cast("long") + 1).over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    rows = files.join(sizes.select("file", before.alias("before")), "file")
     ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon")))
-    return rows.select("zone_id", F.col("f.properties.zone_type").alias("zone_type"), ring.alias("ring"))
+    return rows.select((F.col("before") + F.col("nth")).alias("zone_id"), F.col("f.properties.zone_type").alias("zone_type"), ring.alias("ring"))
 
 
 ROUTES = "struct<routes: array<struct<duration: double, geometry: struct<coordinates: array<array<double>>>, legs: array<struct<annotation: struct<duration: array<double>>, steps: array<struct<maneuver: struct<type: string, location: array<double>>>>>>>>>"
