@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_operators import brute_components, by_row, key, make, prose
-from tripmill.llm import html_extraction, near_dedup, resampling, vector_codes
+from tripmill.llm import html_extraction, mixing, near_dedup, resampling, vector_codes
 from tripmill.llm.common import join_by_share
 from tripmill.llm.labelled_pages import PAGES
 
@@ -57,6 +57,24 @@ def test_confirmer_compares_first_and_last(members, tokens):
     assert got == [(members - 1, 0)]
 
 
+# 6
+
+
+def test_mixing_rows_without_id_and_kept_names(spark):
+    """Many rows without doc_id, in ranges of the order each; kept columns may have any names but those of the result."""
+    rows = [(None if i % 3 else i, f"word{i} " * (1 + i % 7), f"s{i % 4}", i, f"p{i}", i * 2) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, bucket int, place string, cap int").repartition(4)
+    mixed = mixing.mix_sources(docs, keep=("bucket", "place", "cap", "text")).collect()
+    assert sorted((r.bucket, r.place, r.cap, r.size) for r in mixed) == sorted((i, p, c, len(t.split())) for _, t, _, i, p, c in rows)
+    assert sum(r.taken for r in mixed) == sum(r.size for r in mixed) and max(r.taken / r.size for r in mixed) <= 3
+    other = mixing.mix_sources(docs, buckets=7, keep=("bucket",)).collect()
+    assert {r.bucket: (r.taken, r.finish) for r in other} == {r.bucket: (r.taken, r.finish) for r in mixed}
+    held = mixing.shuffled(docs, 1024).groupBy("source", "bucket").count().agg({"count": "max"}).first()[0]
+    assert held < 20
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs.withColumn("size", docs.cap), keep=("size",))
+
+
 # 11
 
 

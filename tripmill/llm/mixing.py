@@ -14,7 +14,8 @@ goes to the other sources by weight, until no target is above.
 
 The running total of a source is a two-level prefix sum too: sources are cut by hash into ``buckets`` ranges of the shuffled order,
 so that a source with a third of all rows is no larger a group than any other. Null texts count 0 words and take 0. A null
-source is a source of its own, the last. Repeated rows, and rows with a null or repeated doc_id, are separate documents. Other columns are
+source is a source of its own, the last. Repeated rows, and rows with a null or repeated doc_id, are separate documents; those without doc_id are
+shuffled by their text. Other columns are
 ignored.
 """
 
@@ -59,7 +60,7 @@ def queued(docs: DataFrame, bounds: DataFrame, buckets: int, keep: tuple[str, ..
 
 def shuffled(docs: DataFrame, buckets: int, keep: tuple[str, ...] = ()) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), "text"), F.lit(":")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), place.alias("place"), *keep)
     return rows.withColumn("bucket", F.pmod(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32), F.lit(buckets)).cast("int"))
 
@@ -85,9 +86,17 @@ def cut_of(queue: DataFrame, budget: int, most: int, scratch: Scratch) -> tuple
     return None
 
 
-def mix_sources(docs: DataFrame, *, most: int = 3, buckets: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, *, most: int = 3, buckets: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, source, the columns of ``keep``, size, source_size, target, taken (words taken, repeats
-    counted) and ``finish``, the virtual finish time of its first copy."""
+    counted) and ``finish``, the virtual finish time of its first copy.
+
+    buckets: into how many ranges a source's order is cut; by default one for 50 000 rows of the table, and 1024 at least. It changes no
+    result. keep: any columns but those named here.
+    """
+    if clash := {"doc_id", "source", "size", "source_size", "target", "taken", "finish"} & set(keep):
+        raise ValueError(f"columns of the result can't be kept: {sorted(clash)}")
+    kept, docs, keep = keep, docs.withColumn("__kept", F.struct(*keep)) if keep else docs, ("__kept",) if keep else ()
+    buckets = buckets or max(1024, docs.count() // 50_000)
     scratch = Scratch(docs.sparkSession, "mix")
     parts = scratch.keep(shuffled(docs, buckets).groupBy("source", "bucket").agg(F.sum("size").alias("part")), "parts")
     targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), most).withColumnRenamed("source", "t")
@@ -113,7 +122,7 @@ def mix_sources(docs: DataFrame, *, most: int = 3, buckets: int = 1024, keep: tu
 
     taken = F.when((F.col("size") > 0) & (F.col("target") > 0), sum((words(k) for k in range(1, most)), words(0))).otherwise(0)
     finish = F.when(F.col("target") > 0, F.col("upto") / F.col("target"))
-    return queue.select("doc_id", "source", *keep, "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish"))
+    return queue.select("doc_id", "source", *(F.col("__kept")[c].alias(c) for c in kept), "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish"))
 
 
 def service_order(mixed: DataFrame, most: int = 3) -> DataFrame:
@@ -138,7 +147,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS i, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+  SELECT row_number() OVER () AS i, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), ':' || coalesce(text, ''))) AS place FROM documents),
 s AS (SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 l AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
