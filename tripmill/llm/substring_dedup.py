@@ -250,8 +250,9 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, cover: str = "minim
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     if repeated:
         keyed = docs.withColumn("h", F.xxhash64("text"))
-        order = keyed.where("doc_id IS NOT NULL").select("doc_id", "h").distinct().sort("doc_id", "h").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-        order = scratch.keep(order.toDF("doc_id long, h long, okey long"), "order")
+        # numbers that rise with the order, not without gaps
+        order = keyed.where("doc_id IS NOT NULL").select("doc_id", "h").distinct().sort("doc_id", "h").withColumn("okey", F.monotonically_increasing_id())
+        order = scratch.keep(order, "order")
         rows = scratch.keep(keyed.join(order, ["doc_id", "h"], "left").select("okey", "doc_id", "text"), "keyed")
     else:
         rows = docs.select(F.col("doc_id").alias("okey"), "doc_id", "text")
