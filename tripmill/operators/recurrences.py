@@ -110,8 +110,8 @@ def cap_absolute_speed(df: DataFrame, most_kmh: float = 130.0, sweeps: int = 8)
 
 def evened(lat: np.ndarray, lon: np.ndarray, fixed: np.ndarray, most: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Rounds of repairs from the front: a sample too far from the one before goes to the middle of its neighbours, then three
-    quarters back if that is still too far; a step too far after it is repaired likewise and the check goes one back. Each
-    round ends with a median of three away from standing samples; a round without repairs is the last."""
+    quarters back if that is still too far; a step too far after it is repaired likewise and the check goes one back. A round
+    makes at most 50 looks a sample, so that a rough trip can't go on for ever: what is left waits for the next round. Each round ends with a median of three away from standing samples; a round without repairs is the last."""
     n, free = len(lat), ~(fixed[:-2] | fixed[1:-1] | fixed[2:]) if len(lat) >= 3 else None
     lat, lon, fixed, most = lat.astype(float).tolist(), lon.astype(float).tolist(), fixed.tolist(), most.tolist()
     step = lambda i: _metres(lat[i - 1], lon[i - 1], lat[i], lon[i])

@@ -229,6 +229,17 @@ def composed(spark: SparkSession, d: str) -> DataFrame:
     return rounded(df.groupBy("trip_id").agg(F.count("*").alias("n"), F.sum("distance_m").alias("distance_m"), F.max("speed").alias("max_speed"), F.avg("lat").alias("lat")))
 
 
+def smoothed(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.smooth_stops(view(spark, d)).select("trip_id", "seq", "speed"))
+
+
+#: The stops of the trace lie more than two ramps apart, so each row belongs to one run before it and one after it at most.
+SMOOTHED = f"""WITH t AS (SELECT *, count(*) OVER (PARTITION BY trip_id) AS n FROM trace),
+r AS (SELECT trip_id, seq, n, speed, max(CASE WHEN speed = 0 THEN seq END) OVER {UPTO} AS b, min(CASE WHEN speed = 0 THEN seq END) OVER {AFTER} AS a FROM t),
+i AS (SELECT *, CASE WHEN a > seq AND a - seq <= 20 THEN least(greatest(speed * (1 - (seq - greatest(0, a - 20)) / CAST(a - greatest(0, a - 20) AS DOUBLE)), 0.3e0), speed) ELSE speed END AS v FROM r)
+SELECT trip_id, seq, {r6('CASE WHEN speed = 0 THEN 0e0 WHEN seq > b AND seq - b <= 20 THEN greatest(v, (seq - b) / CAST(least(n - 1, b + 20) - b AS DOUBLE)) ELSE v END')} AS speed FROM i"""
+
+
 def synced(spark: SparkSession, d: str) -> DataFrame:
     """The grid composition over the moving samples, so that trips start and end slowly; every third trip is expected to last longer than it does."""
     df = view(spark, d).where("speed > 0")
@@ -282,11 +293,11 @@ def stitched(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "r_synced": synced, "r_regridded": regridded, "r_stitched": stitched,
+    "r_synced": synced, "r_regridded": regridded, "c_smoothed": smoothed, "r_stitched": stitched,
     "p_projected": projected, "p_label_policy": label_policy, "c_geo_spikes": geo_spikes, "c_immobility": immobility, "c_jump_chain": jump_chain, "c_target_ramp": target_ramp, "c_dedupe": dedupe, "c_locks": locks, "c_blocks": blocks,
     "c_mid_stops": mid_stops, "c_slew": slew, "c_composed": composed, "r_resampled": resampled, "r_retimed": retimed, "r_thinned": thinned, "r_densified": densified, "r_leg_points": leg_points,
 }
 ORACLES = {"p_projected": with_views(PROJECTED, "rough")} | {k: with_views(v, "trace") for k, v in {
-    "p_label_policy": LABEL_POLICY, "r_synced": SYNCED, "r_regridded": _regridded_sql(), "c_geo_spikes": GEO_SPIKES, "c_immobility": IMMOBILITY, "c_jump_chain": JUMP_CHAIN, "c_target_ramp": TARGET_RAMP, "c_dedupe": _dedupe_sql(), "c_locks": LOCKS, "c_blocks": BLOCKS,
+    "p_label_policy": LABEL_POLICY, "r_synced": SYNCED, "r_regridded": _regridded_sql(), "c_smoothed": SMOOTHED, "c_geo_spikes": GEO_SPIKES, "c_immobility": IMMOBILITY, "c_jump_chain": JUMP_CHAIN, "c_target_ramp": TARGET_RAMP, "c_dedupe": _dedupe_sql(), "c_locks": LOCKS, "c_blocks": BLOCKS,
     "c_mid_stops": MID_STOPS, "c_slew": SLEW, "r_resampled": RESAMPLED, "r_retimed": RETIMED, "r_thinned": THINNED, "r_densified": DENSIFIED,
 }.items()} | {"r_leg_points": with_views(LEG_POINTS, "delivery_plan")}
