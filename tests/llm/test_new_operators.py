@@ -11,8 +11,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tests.conftest import DATA
 from tests.llm.test_operators import brute_components, by_row, key, make, prose
-from tripmill.llm import html_extraction, mixing, near_dedup, resampling, vector_codes
+from tripmill.llm import html_extraction, mixing, near_dedup, quality_classifier, resampling, vector_codes
 from tripmill.llm.common import join_by_share
 from tripmill.llm.labelled_pages import PAGES
 
@@ -57,6 +58,46 @@ def test_confirmer_compares_first_and_last(members, tokens):
     assert got == [(members - 1, 0)]
 
 
+# 3
+
+
+def test_quality_scores_end_to_end(spark):
+    """The registered query against features counted by loops and trees walked one node at a time."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    forest = quality_classifier.train(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
+
+    def features(text):
+        data = text.encode()
+        w = re.findall(rb"[^\x20\x09-\x0d]+", data)
+        n, k, sizes, pairs = max(1, len(data)), max(1, len(w)), [len(x) for x in w] or [0], list(zip(w, w[1:]))
+        share = lambda chars, per: sum(c in chars for c in data) / per
+        windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        again = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        known = b".,;:!|#*$%&<>\n \t\r\x0b\x0c"
+        others = sum(c < 128 and c not in known and not bytes([c]).isalnum() for c in data)
+        lines = data.split(b"\n")
+        out = [math.log1p(len(data)), math.log1p(len(w)), sum(sizes) / k, float(np.std(sizes)), share(range(97, 123), n), share(range(65, 91), n), share(range(48, 58), n), share(range(128, 256), n)]
+        out += [share(b".", k), share(b",;:", k), share(b"!", k), share(b"|", k), share(b"#*$%&<>", k), others / k, share(b"\n", k)]
+        out += [len(set(w)) / len(w), max(Counter(w).values()) / len(w)] if w else [0, 0]
+        out += [sum(a == b for a, b in pairs) / len(pairs), len(set(pairs)) / len(pairs)] if pairs else [0, 0]
+        return [*out, 1 - len(set(lines)) / len(lines), len(again) / k, sum(65 <= x[0] <= 90 for x in w) / k]
+
+    def score(x):
+        raw = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+            raw += leaf[node - len(feature)]
+        return 1 / (1 + math.exp(-raw))
+
+    rows = quality_classifier.op3_quality_classifier(spark, DATA).collect()
+    assert len(rows) == len(texts) and len(forest.leaf) > 0
+    off = [r.doc_id for r in rows if not math.isclose(r.score, score(features(texts[r.doc_id])), rel_tol=1e-9)]
+    assert not off
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
 # 6
 
 
