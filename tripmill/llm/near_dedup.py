@@ -246,7 +246,8 @@ def links_across(sets: DataFrame, parts: DataFrame, scratch: Scratch, percent: i
     # side: that of the smaller set; a set in the main part meets only sets outside of it
     larger = larger.withColumn("side", F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
     larger = larger.selectExpr("grp", "token", "band", "side", "rep AS v", "part AS pv", "n AS nv", "nth AS iv")
-    pairs = smaller.join(larger, ["grp", "token", "band", "side"]).where(
+    # by shuffle: the table's size on disk says nothing of what its rows grow to, so it must not be taken for small
+    pairs = smaller.join(larger.hint("merge"), ["grp", "token", "band", "side"]).where(
         f"pu <> pv AND (nu < nv OR nu = nv AND u < v) AND 100 * nu >= {percent} * nv AND {100 + percent} * (1 + least(nu - iu, nv - iv)) >= {percent} * (nu + nv)"
     )
     pairs = scratch.keep(pairs.select("u", "v", "pu", "pv").distinct(), "pairs")
