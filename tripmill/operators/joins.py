@@ -67,7 +67,7 @@ def asof_event(grid: DataFrame, events: DataFrame, tolerance_us: int = 500_000)
     return both.withColumn("event", F.coalesce(hit, own)).drop("_g", "_e", "_a", "_b", "_n")
 
 
-def nearest_road(df: DataFrame, nodes: DataFrame, size: float = 0.002) -> DataFrame:
+def nearest_road(df: DataFrame, nodes: DataFrame, size: float = 0.0005) -> DataFrame:
     """The nearest node in degree space, however far: highway_near, node_id, nearest_distance_m (true metres); ties to the smaller
     node_id. size: the cell of the first search, in degrees."""
     points = nodes.select("node_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "highway")
