@@ -1,6 +1,11 @@
 """Results that only larger tables show: ties of doubles, and forms that spare a shuffle or a sort against those that don't."""
 
-from tripmill.operators import detect
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tripmill.operators import detect, resample
 
 
 def standing(spark, n, speed=None):
@@ -13,3 +18,11 @@ def test_the_last_seconds_are_decided_as_in_sql(spark):
     assert 2992 * 0.1 < 3092 * 0.1 - 10 and 299.2 >= 309.2 - 10
     got = detect.tag_events(standing(spark, n, [20.0 - 0.1 * max(0, i - 2900) for i in range(n)])).where("event IS NOT NULL")
     assert [(r.seq, r.event) for r in got.collect()] == [(2993, "final_deceleration")]
+
+
+def test_times_are_exact_sums(spark):
+    step, n = 0.1000005, 400
+    got = [r.ts_us for r in resample.retime(standing(spark, n).withColumn("target_speed", F.lit(1.0)), least_s=step).orderBy("seq").collect()]
+    want = [0] + [math.floor(math.fsum([step] * (i + 1)) * 1e6 + 0.5) for i in range(1, n)]
+    plain = np.cumsum([step] * n) * 1e6
+    assert got == want != [0] + [math.floor(x + 0.5) for x in plain[1:]]
