@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tripmill.operators import detect, resample
+from tripmill.operators import detect, plan, resample
 
 
 def standing(spark, n, speed=None):
@@ -26,3 +26,20 @@ def test_times_are_exact_sums(spark):
     want = [0] + [math.floor(math.fsum([step] * (i + 1)) * 1e6 + 0.5) for i in range(1, n)]
     plain = np.cumsum([step] * n) * 1e6
     assert got == want != [0] + [math.floor(x + 0.5) for x in plain[1:]]
+
+
+def straight(spark):
+    rng = np.random.default_rng(7)
+    stops = [(p, s, 49 + float(rng.integers(0, 9)) / 500, 1 + float(rng.integers(0, 9)) / 500, 60 * int(rng.integers(0, 3))) for p in (1, 2, 3) for s in range(5)]
+    stops += [(4, s, 49.0, 1.0, 30) for s in range(3)]  # never moves
+    plans = spark.createDataFrame([(*s, f"S{s[0]}-{s[1]}") for s in stops], "plan_id int, stop_seq int, lat double, lon double, service_s int, stop_id string")
+    return plan.straight_line_legs(plan.build_legs(plans))
+
+
+def test_seams_without_a_sort(spark):
+    legs = straight(spark)
+    fast = resample.seam_dedupe(plan.leg_points(legs, before=True))
+    want = resample.seam_dedupe(plan.leg_points(legs))
+    assert fast.columns == want.columns and fast.count() == want.count() > 0 and fast.exceptAll(want).isEmpty()
+    text = fast._jdf.queryExecution().executedPlan().toString()
+    assert text.rindex("Generate explode") < text.index("Window")  # printed from the top: no window, sort or exchange above the points
