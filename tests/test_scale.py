@@ -43,3 +43,21 @@ def test_seams_without_a_sort(spark):
     assert fast.columns == want.columns and fast.count() == want.count() > 0 and fast.exceptAll(want).isEmpty()
     text = fast._jdf.queryExecution().executedPlan().toString()
     assert text.rindex("Generate explode") < text.index("Window")  # printed from the top: no window, sort or exchange above the points
+
+
+def test_stitch_of_packed_points(spark):
+    """Straight legs against points as rows, and against a loop in plain Python."""
+    legs = straight(spark)
+    packed = resample.stitch(None, legs, 1.0, 0)
+    assert packed.exceptAll(resample.stitch(plan.leg_points(legs), legs, 1.0, 0)).isEmpty()
+    got, t0, known = [r for r in packed.where("trip_id = 1").orderBy("seq").collect()], 0.0, {}
+    points = [[r for r in plan.leg_points(legs.where("plan_id = 1")).orderBy("leg_idx", "pt_idx").collect() if r.leg_idx == i] for i in range(4)]
+    for leg, of_leg in zip(legs.where("plan_id = 1").orderBy("leg_idx").collect(), points):
+        times = [(p.t_rel_s, p.lat, p.lon) for p in of_leg] + [(of_leg[-1].t_rel_s + leg.service_s, of_leg[-1].lat, of_leg[-1].lon)]
+        for t, lat, lon in times:
+            known.setdefault(math.floor((t0 + t) * 1e6 + 0.5), (lat, lon))
+        t0 += leg.duration_s + leg.service_s
+    at = sorted(known)
+    assert [r.ts_us for r in got] == list(range(at[0], at[-1] + 1, 1_000_000)) and [r.seq for r in got] == list(range(len(got)))
+    for axis, c in enumerate(("lat", "lon")):
+        assert np.allclose([r[c] for r in got], np.interp([r.ts_us for r in got], at, [known[t][axis] for t in at]), rtol=0, atol=1e-9)
