@@ -70,8 +70,12 @@ def slice_keys(docs: pa.Table, chosen: pa.Array) -> tuple[np.ndarray, np.ndarray
         inside = np.repeat(hit, n)
         every += [word, pair, np.full(int((n > 0).sum()), START)]
         target += [word[inside], pair[inside], np.full(int((hit & (n > 0)).sum()), START)]
-    keys, b = np.unique(np.concatenate(every), return_counts=True)
-    return keys, np.bincount(np.searchsorted(keys, np.concatenate(target)), minlength=len(keys)), b
+    every, target = np.concatenate(every), np.concatenate(target)  # frees the pieces
+    every.sort()
+    at = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+    keys, b = every[at], np.diff(at, append=len(every))
+    del every, at
+    return keys, np.bincount(np.searchsorted(keys, target), minlength=len(keys)), b
 
 
 def cuts(keys: np.ndarray, n: int) -> np.ndarray:
@@ -98,22 +102,36 @@ def sender(n: int, *, counts: bool, asks: bool) -> Callable:
             t, b = np.zeros_like(t), np.zeros_like(b)
         at = cuts(keys, n)
         some = np.flatnonzero(np.diff(at)).tolist()
-        columns = [[planes(x[at[i] : at[i + 1]]) for i in some] for x in (keys, t, b)]
-        return pa.table([pa.array(some, pa.int32()), pa.array([key[0].as_py() if asks else -1] * len(some), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)
+        columns = [pa.array([planes(x[at[i] : at[i + 1]]) for i in some], pa.binary()) for x in (keys, t, b)]  # one at a time, so that its pieces are freed
+        return pa.table([pa.array(some, pa.int32()), pa.array([key[0].as_py() if asks else -1] * len(some), pa.int32()), *columns], schema=schema)
 
     return send
 
 
+def numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """All numbers of a column of planes, without copies of its bytes."""
+    n = pc.sum(pc.binary_length(column)).as_py() or 0
+    out, at = np.empty(n // 8, np.uint64), 0
+    for x in column:
+        some = unplanes(x.as_buffer())
+        out[at : at + len(some)] = some
+        at += len(some)
+    return out
+
+
 def add_up(sent: pa.Table) -> pa.Table:
     """Of one bucket: to each slice the sums of its keys over all slices."""
-    rows = [sent.column(c).to_pylist() for c in ("slice", "keys", "t", "b")]
-    n = np.array([len(x) // 8 for x in rows[1]])
-    keys, where = np.unique(np.concatenate([unplanes(x) for x in rows[1]]), return_inverse=True)
-    t, b = (np.bincount(where, np.concatenate([unplanes(x) for x in c]), len(keys)).astype(np.int64) for c in rows[2:])
-    end = np.cumsum(n)
-    out = [(s, planes(t[where[j - k : j]]), planes(b[where[j - k : j]])) for s, j, k in zip(rows[0], end.tolist(), n.tolist()) if s >= 0]
+    n = pc.binary_length(sent.column("keys")).to_numpy() // 8
+    keys, where = np.unique(numbers(sent.column("keys")), return_inverse=True)
+    many, end, slices = len(keys), np.cumsum(n).tolist(), sent.column("slice").to_pylist()
+    del keys
+    asked = [(j - k, j) for s, j, k in zip(slices, end, n.tolist()) if s >= 0]
+    sums = []
+    for c in ("t", "b"):
+        total = np.bincount(where, numbers(sent.column(c)), many).astype(np.int64)
+        sums.append(pa.array([planes(total[where[i:j]]) for i, j in asked], pa.binary()))
     bucket = sent.column("bucket")[0].as_py()
-    return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2))], names=["slice", "bucket", "t", "b"])
+    return pa.table([pa.array([s for s in slices if s >= 0], pa.int32()), pa.array([bucket] * len(asked), pa.int32()), *sums], names=["slice", "bucket", "t", "b"])
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +209,7 @@ def score_documents(docs: DataFrame, models: Models) -> DataFrame:
     if docs is not models.docs:
         size = max(size, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = max(1, -(-size // SLICE))
+    buckets = 2 * n  # a bucket holds all that it got, its sums and its answers at once, so it gets half of what a slice sends
 
     def dealt(df: DataFrame, key) -> DataFrame:
         return df.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition(n, "slice")
@@ -199,7 +218,7 @@ def score_documents(docs: DataFrame, models: Models) -> DataFrame:
         return dealt(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.coalesce("doc_id", F.xxhash64("text")))
 
     def send(rows: DataFrame, **role) -> DataFrame:
-        return rows.groupBy("slice").cogroup(dealt(models.target, F.col("doc_id")).groupBy("slice")).applyInArrow(sender(n, **role), SENT)
+        return rows.groupBy("slice").cogroup(dealt(models.target, F.col("doc_id")).groupBy("slice")).applyInArrow(sender(buckets, **role), SENT)
 
     sizes = totals(models, Scratch(docs.sparkSession, "lm"))
     rows = texts(docs)  # read twice, shuffled once
