@@ -40,3 +40,22 @@ def test_a_cell_keeps_only_what_is_near(spark):
     rows = found.select("k", F.size("items").alias("n_items"), "n.v").collect()
     assert {r.k: r.v for r in rows} == {k: min((round(math.hypot(y - a, x - b), 12), v) for v, a, b in points)[1] for k, y, x in here}
     assert max(r.n_items for r in rows) <= 30
+
+
+def test_nearest_node_and_weather_make_no_pairs_to_sort(spark):
+    """Three hundred nodes and reports within a hundred metres, some in one place: brute force agrees, and no plan groups pairs by sample."""
+    rng = np.random.default_rng(6)
+    spots = [(49 + float(y), 1 + float(x)) for y, x in rng.uniform(0, 0.001, (250, 2))]
+    spots += [spots[0]] * 50
+    here = [(1, k, int(rng.integers(0, 500)), 49 + float(y), 1 + float(x)) for k, (y, x) in enumerate(rng.uniform(0, 0.001, (200, 2)))] + [(1, 200, 100, *spots[0]), (1, 201, 100, None, 1.0)]
+    df = spark.createDataFrame(here, "trip_id int, seq int, ts_us long, lat double, lon double")
+    nodes = [(1000 - k, *p, f"h{k}") for k, p in enumerate(spots)]
+    reports = [(int(rng.integers(0, 500)), *p, float(k)) for k, p in enumerate(spots)]
+    far = lambda y, x, p: round(math.hypot(y - p[1], x - p[2]), 12)
+    road = joins.nearest_road(df, spark.createDataFrame(nodes, "node_id int, lat double, lon double, highway string"))
+    assert {r.seq: r.node_id for r in road.collect()} == {k: min((far(y, x, n), n[0]) for n in nodes)[1] if y else None for _, k, _, y, x in here}
+    weather = joins.weather_join(df, spark.createDataFrame(reports, "ts_us long, lat double, lon double, temperature double"), 60)
+    want = {k: min(((far(y, x, w), w[0], w[3]) for w in reports if abs(w[0] - t) <= 60), default=(0, 0, None))[2] if y else None for _, k, t, y, x in here}
+    assert {r.seq: r.temperature for r in weather.collect()} == want
+    for frame in (road, weather):
+        assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString()
