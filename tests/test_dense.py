@@ -5,8 +5,10 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from tripmill.functions import grid
 from tripmill.operators import joins
+from tripmill.plans import fixtures
 
 
 def apart(y, x, s):
@@ -59,3 +61,11 @@ def test_nearest_node_and_weather_make_no_pairs_to_sort(spark):
     assert {r.seq: r.temperature for r in weather.collect()} == want
     for frame in (road, weather):
         assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitions_of_the_trace_grow_with_its_files(spark):
+    assert fixtures.parts(spark, f"{DATA}/lineitem.parquet") == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert fixtures.parts(spark, f"{DATA}/lineitem.parquet", each=10_000) > 4
+    trace = fixtures.view(spark, DATA)
+    plan = trace._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan  # the windows over trips need no other
