@@ -9,6 +9,7 @@ from tests.conftest import DATA
 from tripmill.functions import grid
 from tripmill.operators import joins
 from tripmill.plans import fixtures
+from tripmill.sources import io
 
 
 def apart(y, x, s):
@@ -69,3 +70,21 @@ def test_partitions_of_the_trace_grow_with_its_files(spark):
     trace = fixtures.view(spark, DATA)
     plan = trace._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan  # the windows over trips need no other
+
+
+def test_artifacts_are_compressed_and_whole(spark, tmp_path):
+    df = fixtures.view(spark, DATA).where("trip_id = 0").withColumns({"flag_stop": F.lit(0), "flag_wait": F.lit(0)})
+    n = io.export_dataset(df, f"{tmp_path}/out", "r", artifacts=True)["n_points"]
+    for kind, read in (("csv", lambda p: spark.read.csv(p, header=True)), ("json", spark.read.json)):
+        files = [f.name for f in (tmp_path / f"out_{kind}" / "run_id=r").glob("part-*")]
+        assert files and all(f.endswith(".gz") for f in files)
+        assert read(f"{tmp_path}/out_{kind}").count() == n > 0
+
+
+def test_rows_are_spread_and_points_are_not(spark, monkeypatch):
+    """Anchors are few, samples many: only anchors are copied to the cells around."""
+    spread, cover = [], grid.cover
+    monkeypatch.setattr(grid, "cover", lambda df, *a: spread.append(set(df.columns)) or cover(df, *a))
+    samples = spark.range(100).selectExpr("1 AS trip_id", "CAST(id AS INT) AS seq", "49 + id / 100000 AS lat", "1D AS lon")
+    got = joins.anchor_at_geo(samples, spark.createDataFrame([(1, 7, 49.0003, 1.0)], "trip_id int, anchor_id int, lat double, lon double"))
+    assert [r.seq for r in got.collect()] == [30] and spread and not any("_lat" in c for c in spread)

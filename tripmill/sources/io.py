@@ -33,7 +33,7 @@ def write_traces_padded(df: DataFrame, path: str, columns: tuple[str, ...] = EXP
 
 def export_dataset(df: DataFrame, path: str, run_id: str, start_us: int | None = None, schema: T.StructType | None = None, artifacts: bool = False) -> dict:
     """Moves trips to a start time, makes labels of flags, applies the schema and writes a run's partition; a run that is written
-    again replaces its own. With ``artifacts`` also CSV and JSON lines of the run, in folders beside (path_csv, path_json).
+    again replaces its own. With ``artifacts`` also CSV and JSON lines of the run, compressed, in folders beside (path_csv, path_json).
 
     The rows are computed once: their number is observed while they are written, and the artifacts are copies of the written partition. The
     manifest (path_meta) comes last and commits the run: without it a run doesn't count as written. Returns the manifest.
@@ -49,8 +49,8 @@ def export_dataset(df: DataFrame, path: str, run_id: str, start_us: int | None =
     rows.observe(seen, F.count(F.lit(1)).alias("n_points")).write.mode("overwrite").parquet(at(""))
     if artifacts:
         back = spark.read.schema(rows.schema).parquet(at(""))
-        back.select(*(c for c, t in back.dtypes if not t.startswith(("array", "map", "struct")))).write.mode("overwrite").option("header", True).csv(at("_csv"))
-        back.write.mode("overwrite").json(at("_json"))
+        back.select(*(c for c, t in back.dtypes if not t.startswith(("array", "map", "struct")))).write.mode("overwrite").option("header", True).option("zlib.compress.level", "BEST_SPEED").csv(at("_csv"), compression="gzip")
+        back.write.mode("overwrite").option("zlib.compress.level", "BEST_SPEED").json(at("_json"), compression="gzip")
     found = {"n_points": seen.get["n_points"], "columns": [*rows.columns, "run_id"], "version": "1.0"}
     spark.createDataFrame([(*found.values(),)], "n_points long, columns array<string>, version string").withColumn("finished", F.current_timestamp()).coalesce(1).write.json(at("_meta"))
     return {"run_id": run_id, **found}
