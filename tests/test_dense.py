@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from tripmill.functions import grid
+from tripmill.functions import grid, zones
 from tripmill.operators import joins
 from tripmill.plans import fixtures
 from tripmill.sources import io
@@ -88,3 +88,23 @@ def test_rows_are_spread_and_points_are_not(spark, monkeypatch):
     samples = spark.range(100).selectExpr("1 AS trip_id", "CAST(id AS INT) AS seq", "49 + id / 100000 AS lat", "1D AS lon")
     got = joins.anchor_at_geo(samples, spark.createDataFrame([(1, 7, 49.0003, 1.0)], "trip_id int, anchor_id int, lat double, lon double"))
     assert [r.seq for r in got.collect()] == [30] and spread and not any("_lat" in c for c in spread)
+
+
+def test_last_of_many_zones_in_one_place(spark):
+    """Forty boxes on top of each other: a cell keeps its last zone all around and the later ones at its borders, and a position gets the last that holds it."""
+    rng = np.random.default_rng(9)
+    boxes = [(k, f"z{k}", *(49 + np.sort(rng.uniform(0, 0.01, 2))), *(1 + np.sort(rng.uniform(0, 0.01, 2)))) for k in range(40)]
+    rings = [(k, t, [(float(a), float(c)), (float(a), float(d)), (float(b), float(d)), (float(b), float(c))]) for k, t, a, b, c, d in boxes]
+    here = [(1, k, 49 + float(y), 1 + float(x)) for k, (y, x) in enumerate(rng.uniform(-0.001, 0.011, (300, 2)))] + [(1, 300, None, 1.0)]
+    df = spark.createDataFrame(here, "trip_id int, seq int, lat double, lon double")
+    shapes = spark.createDataFrame(rings, "zone_id int, zone_type string, ring array<struct<lat: double, lon: double>>")
+    want = {k: max(((z, t) for z, t, a, b, c, d in boxes if y and a <= y < b and c <= x < d), default=(0, "inconnu"))[1] for _, k, y, x in here}
+    assert {r.seq: r.osm_zone for r in joins.zone_join(df, shapes).collect()} == want
+    assert {r.seq: r.t for r in zones.last_zone_at(df, shapes, 0.0005, "t").na.fill("inconnu").collect()} == want
+
+
+def test_revisits_of_a_trip_that_stands(spark):
+    """Standing rows are one place: a trip that stands for long revisits by its first and last row, one that stands shortly doesn't."""
+    rows = [(1, k, 49.0, 1.0) for k in range(11)] + [(2, k, 49.0, 1.0) for k in range(10)] + [(3, k, 49.0 if k in (0, 10) else 49.1 + k / 100, 1.0) for k in range(11)] + [(4, k, 49 + k / 100, 1.0) for k in range(30)]
+    got = joins.revisits(spark.createDataFrame(rows, "trip_id int, seq int, lat double, lon double"))
+    assert {r.trip_id: r.revisits for r in got.collect()} == {1: True, 2: False, 3: True, 4: False}

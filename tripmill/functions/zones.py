@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripmill.functions import geo
+from tripmill.functions.windows import written
 
 LEVELS = 6  # 8 ** 5 cells of a thousandth of a degree go around the globe nearly once
 
@@ -64,3 +65,21 @@ def zones_at(here: DataFrame, zones: DataFrame, keys: tuple[str, ...], size: flo
     border = banded.select("zone_id", "zone_type", "cell_lat", F.explode("border").alias("cell_lon"))
     close = at.join(border, ["cell_lat", "cell_lon"]).join(banded.select("zone_id", "cell_lat", "edges"), ["zone_id", "cell_lat"])
     return sure.union(close.where(crosses(F.col("lat"), F.col("lon"), F.col("edges"))).select(*keys, "zone_id", "zone_type"))
+
+
+def last_zone_at(here: DataFrame, zones: DataFrame, size: float, out: str) -> DataFrame:
+    """here with the type of the last zone by zone_id that holds the position (null: none). Zones are looked up once for every cell that holds positions:
+    its last zone all around, and only the later ones whose border crosses it; a position meets those beside it in its own row."""
+    zones = zones.where("zone_id IS NOT NULL")
+    at = here.withColumns({"cell_lat": geo.cell(F.col("lat"), size), "cell_lon": geo.cell(F.col("lon"), size)})
+    banded = written(bands(zones, size))
+    cells = written(at.select("cell_lat", "cell_lon").where("cell_lat IS NOT NULL AND cell_lon IS NOT NULL").distinct())
+    level = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.floor(F.col("cell_lon") / 8**n).cast("long").alias("piece")) for n in range(LEVELS))))
+    inside = cells.withColumn("x", level).select("cell_lat", "cell_lon", "x.*").join(inner_pieces(banded, size), ["cell_lat", "level", "piece"])
+    inside = inside.groupBy("cell_lat", "cell_lon").agg(F.max("zone_id").alias("_sure"), F.max(F.struct("zone_id", "zone_type")).alias("_in"))
+    close = cells.join(banded.select("cell_lat", F.explode("border").alias("cell_lon"), "zone_id", "zone_type", "edges"), ["cell_lat", "cell_lon"]).join(inside.drop("_in"), ["cell_lat", "cell_lon"], "left")
+    close = close.where("_sure IS NULL OR zone_id > _sure").groupBy("cell_lat", "cell_lon").agg(F.collect_list(F.struct("zone_id", "zone_type", "edges")).alias("_close"))
+    met = F.filter("_close", lambda z: crosses(F.col("lat"), F.col("lon"), z.edges))
+    last = F.greatest(F.col("_in"), F.array_max(F.transform(met, lambda z: F.struct(z.zone_id.alias("zone_id"), z.zone_type.alias("zone_type")))))
+    known = inside.drop("_sure").join(close, ["cell_lat", "cell_lon"], "full")
+    return at.join(known, ["cell_lat", "cell_lon"], "left").withColumn(out, last.getField("zone_type")).select(*here.columns, out)
