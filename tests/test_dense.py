@@ -103,8 +103,11 @@ def test_last_of_many_zones_in_one_place(spark):
     assert {r.seq: r.t for r in zones.last_zone_at(df, shapes, 0.0005, "t").na.fill("inconnu").collect()} == want
 
 
-def test_revisits_of_a_trip_that_stands(spark):
+def test_revisits_of_a_trip_that_stands(spark, monkeypatch):
     """Standing rows are one place: a trip that stands for long revisits by its first and last row, one that stands shortly doesn't."""
     rows = [(1, k, 49.0, 1.0) for k in range(11)] + [(2, k, 49.0, 1.0) for k in range(10)] + [(3, k, 49.0 if k in (0, 10) else 49.1 + k / 100, 1.0) for k in range(11)] + [(4, k, 49 + k / 100, 1.0) for k in range(30)]
+    met, cover = [], joins.cover
+    monkeypatch.setattr(joins, "cover", lambda df, *a: met.append(df) or cover(df, *a))
     got = joins.revisits(spark.createDataFrame(rows, "trip_id int, seq int, lat double, lon double"))
     assert {r.trip_id: r.revisits for r in got.collect()} == {1: True, 2: False, 3: True, 4: False}
+    assert met[0].where("trip_id = 2").count() == 1
