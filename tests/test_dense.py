@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tripmill.functions import grid, zones
 from tripmill.operators import joins
-from tripmill.plans import fixtures
+from tripmill.plans import fixtures, tools
 from tripmill.sources import io
 
 
@@ -111,3 +111,8 @@ def test_revisits_of_a_trip_that_stands(spark, monkeypatch):
     got = joins.revisits(spark.createDataFrame(rows, "trip_id int, seq int, lat double, lon double"))
     assert {r.trip_id: r.revisits for r in got.collect()} == {1: True, 2: False, 3: True, 4: False}
     assert met[0].where("trip_id = 2").count() == 1
+
+
+def test_labels_are_made_in_one_pass(spark):
+    plan = tools.labels(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
