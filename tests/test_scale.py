@@ -5,7 +5,9 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tripmill.operators import detect, plan, resample
+from tests.conftest import DATA
+from tripmill.operators import detect, joins, plan, resample
+from tripmill.plans import enrich
 
 
 def standing(spark, n, speed=None):
@@ -61,3 +63,32 @@ def test_stitch_of_packed_points(spark):
     assert [r.ts_us for r in got] == list(range(at[0], at[-1] + 1, 1_000_000)) and [r.seq for r in got] == list(range(len(got)))
     for axis, c in enumerate(("lat", "lon")):
         assert np.allclose([r[c] for r in got], np.interp([r.ts_us for r in got], at, [known[t][axis] for t in at]), rtol=0, atol=1e-9)
+
+
+def test_buffered_of_trips_with_large_numbers(spark, tmp_path):
+    """126 000 trips further everything but the number repeats itself; the trip times 100 000 is no int there."""
+    far = 126_000
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    lines.withColumn("l_orderkey", F.col("l_orderkey") + far * 750).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = enrich.buffered(spark, str(tmp_path)).withColumn("trip_id", F.col("trip_id") - far)
+    want = enrich.buffered(spark, DATA)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty() and want.select("road_tag").distinct().count() > 2
+
+
+def test_segments_and_samples_of_one_place_meet_once(spark, monkeypatch):
+    """Fifty halts in one place and a road that ends there: two items a cell, and the halt with the smallest number wins; no array function sees a sample."""
+    halts = [(100 - k, 49.0, 1.0, 49.0, 1.0, f"h{k}") for k in range(50)] + [(7, 49.001, 1.0, 49.0, 1.0, "road"), (8, 49.001, 1.0, 49.0, 1.0, "again")]
+    segments = spark.createDataFrame(halts, "segment_id int, lat1 double, lon1 double, lat2 double, lon2 double, highway string")
+    here = [(1, k, 49.0, 1.0) for k in range(30)] + [(1, 30, 48.9999, 1.0), (1, 31, 49.0005, 1.0), (1, 32, 49.1, 1.0), (1, 33, None, 1.0), (1, 34, 49.0, None)]
+    met, refine = [], joins.refine
+    monkeypatch.setattr(joins, "refine", lambda leaves, coarse, *a, **k: met.append(coarse) or refine(leaves, coarse, *a, **k))
+    df = spark.createDataFrame(here, "trip_id int, seq int, lat double, lon double")
+    got = joins.road_within_buffer(df, segments.where("segment_id <> 8"), 20.0)
+    assert got.columns == [*df.columns, "road_tag"]
+    assert [r.road_tag for r in got.orderBy("seq").collect()] == ["road"] * 32 + ["inconnu"] * 3
+    only = joins.road_within_buffer(df, segments.where("segment_id > 8"), 20.0).where("seq <= 30").select("road_tag").distinct().collect()
+    assert [r.road_tag for r in only] == ["h49"]
+    joins.road_within_buffer(df, segments, 20.0)
+    assert met[2].selectExpr("max(size(items))").first()[0] == 2
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.index("lambda") > text.index("Generate explode")  # printed from the top: below the rows of pairs there are only cells
