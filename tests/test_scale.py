@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from tripmill.operators import detect, joins, plan, resample
-from tripmill.plans import enrich
+from tripmill.operators import detect, joins, plan, recurrences, resample
+from tripmill.plans import enrich, repair
 
 
 def standing(spark, n, speed=None):
@@ -92,3 +92,72 @@ def test_segments_and_samples_of_one_place_meet_once(spark, monkeypatch):
     assert met[2].selectExpr("max(size(items))").first()[0] == 2
     text = got._jdf.queryExecution().executedPlan().toString()
     assert text.index("lambda") > text.index("Generate explode")  # printed from the top: below the rows of pairs there are only cells
+
+
+def uneven(spark):
+    """Legs that meet or don't, holds of zero, of a fraction, unknown and negative, one place, unknown places, plans of one short leg and of many."""
+    rng, rows = np.random.default_rng(12), []
+    for p in range(12):
+        here = rng.uniform(0, 0.02, 2) + (49, 1)
+        for leg in range(1 if p < 2 else int(rng.integers(2, 9))):
+            there = here if p == 3 else rng.uniform(0, 0.02, 2) + (49, 1)
+            a, b = (here + (1e-4 if p == 4 else 0)).tolist(), there.tolist()
+            lat = None if p == 5 and leg == 1 else a[0]
+            service = [0.0, 0.25, None, 60.0, 61.5, -3.0 if p == 6 else 0.0][int(rng.integers(6))]
+            rows.append((p, leg, lat, a[1], b[0], b[1], service))
+            here = there
+    return plan.straight_line_legs(spark.createDataFrame(rows, "plan_id int, leg_idx int, lat1 double, lon1 double, lat2 double, lon2 double, service_s double").repartition(3))
+
+
+def loop_stitched(legs, step):
+    """One plan, its points sorted by time and place, of one time the first."""
+    known, t0 = [], 0.0
+    for r in sorted(legs, key=lambda r: r.leg_idx):
+        n, nan = r.n_points, math.nan
+        y, x, z, w = (nan if v is None else v for v in (r.lat1, r.lon1, r.lat2, r.lon2))
+        at = [(t0 + i / (n - 1) * r.duration_s, y + i / (n - 1) * (z - y), x + i / (n - 1) * (w - x)) for i in range(n)]
+        if r.service_s and r.service_s > 0:
+            at.append((t0 + (r.duration_s + r.service_s), *at[-1][1:]))
+        known += [(math.floor(t * 1e6 + 0.5), math.isnan(lat), lat, lon) for t, lat, lon in at]
+        t0 += 0.0 if r.service_s is None else r.duration_s + r.service_s
+    known.sort()
+    known = [k for i, k in enumerate(known) if i == 0 or k[0] != known[i - 1][0]]
+    rows, a = [], 0
+    for g in range(known[0][0], known[-1][0] + 1, step):
+        while a + 1 < len(known) and known[a + 1][0] <= g:
+            a += 1
+        b = min(a + 1, len(known) - 1)
+        s = (g - known[a][0]) / max(known[b][0] - known[a][0], 1)
+        rows.append((g, *(known[a][c] + s * (known[b][c] - known[a][c]) for c in (2, 3))))
+    v = [0.0] + [recurrences._metres(*p[1:], *q[1:]) / (step / 1e6) for p, q in zip(rows, rows[1:])]
+    if len(v) > 1:
+        v = [(v[0] + v[1]) / 2] + [math.nan if any(map(math.isnan, v[i - 1 : i + 2])) else sorted(v[i - 1 : i + 2])[1] for i in range(1, len(v) - 1)] + [(v[-2] + v[-1]) / 2]
+    return [(*r, x) for r, x in zip(rows, v)]
+
+
+def test_plans_stitched_many_at_once(spark):
+    """Whatever legs are like and however many plans are done at once, rows are those of a loop over one plan's points; the sums of plans are those of their rows."""
+    legs = uneven(spark).cache()
+    at = resample._started(legs)
+    for hz, block in ((1.0, 1), (3.0, 1 << 14), (1.0, 10**9)):
+        got, want = {}, {}
+        for r in recurrences.stitched_straight(at, hz, 7, block=block).collect():
+            got.setdefault(r.trip_id, []).append((r.seq, r.ts_us - 7, r.lat, r.lon, r.speed))
+        for r in legs.collect():
+            want.setdefault(r.plan_id, []).append(r)
+        assert got.keys() == want.keys()
+        for p, of_plan in want.items():
+            mine, loop = sorted(got[p]), loop_stitched(of_plan, round(1e6 / hz))
+            assert [r[:2] for r in mine] == [(i, r[0]) for i, r in enumerate(loop)], (p, hz)
+            assert np.allclose([r[2:] for r in mine], [r[1:] for r in loop], rtol=0, atol=1e-8, equal_nan=True), (p, hz)
+    whole = resample.stitch(plan.leg_points(legs), legs, 1.0).groupBy("trip_id").agg(F.count("*").alias("n"), F.max("speed").alias("s"), F.avg("lat").alias("l"))
+    sums = {r.trip_id: r for r in resample.stitch_summary(legs, 1.0).collect()}
+    assert len(sums) == 12
+    for r in whole.collect():
+        assert r.n == sums[r.trip_id].n and np.allclose([r.s, r.l], [sums[r.trip_id].max_speed, sums[r.trip_id].lat], rtol=0, atol=1e-10, equal_nan=True)
+
+
+def test_stitched_rows_stay_where_they_are_made(spark):
+    """One row a plan leaves the workers, not four hundred a leg; partitions grow with the orders."""
+    text = repair.stitched(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in text and text.count("MapInArrow") == 1 and "REPARTITION_BY_NUM" in text
