@@ -88,7 +88,8 @@ def test_segments_and_samples_of_one_place_meet_once(spark, monkeypatch):
     assert [r.road_tag for r in got.orderBy("seq").collect()] == ["road"] * 32 + ["inconnu"] * 3
     only = joins.road_within_buffer(df, segments.where("segment_id > 8"), 20.0).where("seq <= 30").select("road_tag").distinct().collect()
     assert [r.road_tag for r in only] == ["h49"]
-    joins.road_within_buffer(df, segments, 20.0)
+    parted = joins.road_within_buffer(df, segments, 20.0, parts=7)
+    assert "7), REPARTITION_BY_NUM" in parted._jdf.queryExecution().executedPlan().toString()
     assert met[2].selectExpr("max(size(items))").first()[0] == 2
     text = got._jdf.queryExecution().executedPlan().toString()
     assert text.index("lambda") > text.index("Generate explode")  # printed from the top: below the rows of pairs there are only cells
